@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from panelforge.llm import decontaminate, linededup, mixing, secrets, sharding
+from panelforge.llm import decontaminate, jaccard, linededup, mixing, secrets, sharding
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
     "op3_secrets": secrets.op3_secrets,
     "op4_sharding": sharding.op4_sharding,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
