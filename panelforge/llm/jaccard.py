@@ -5,12 +5,16 @@ similarity is at least ``least``. The result names each document's component of
 No link is missed:
 
 1. Equal sets become one node (named by the set's digest), counted by one aggregation.
+   If a node links with any other, at least ``least`` of its shingles are in other nodes too.
+   Fingerprints of all shingles are dealt out by hash, as packed arrays, to count for each
+   node how many of its own others have; only nodes with enough go on. (A collision makes a
+   shingle seem shared, which keeps a node and never loses one.)
 2. Groups that can hold links: if A and B link, then under any fixed order of all shingles
    each has a common shingle among its first n - ceil(least * n) + 1. The order is by a
-   sketch's count of the shingle (a table of fixed size, summed over all documents), rare
-   first, so that a passage that many documents share seldom is among them. Each shingle's
-   holders are tied to one of them, and the components of these ties are the groups.
-   What a worker keeps for it is one holder for each distinct shingle of its hash range.
+   sketch's count of the shingle among the nodes left (a table of fixed size), rare first, so
+   that a passage that many documents share seldom is among them. Each shingle's holders are
+   tied to one of them, and the components of these ties are the groups. What a worker keeps
+   for it is one holder for each distinct shingle of its hash range.
 3. In every group a signature tree: leaves hold documents' token bitmaps, bits being the
    shingles that at least two documents of the group have; a node has the OR of its
    children's bitmaps and their range of sizes. Two trees' nodes are walked together; a pair
@@ -37,11 +41,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import WordHash, components, doc_key, need, raw_texts, shingle_set, shuffle_parts, slices, stored, word_hashes
+from panelforge.llm.common import WordHash, components, doc_key, need, raw_texts, shingle_set, shuffle_parts, stored, text_bytes, word_hashes
 
 #: Counters of the sketch that orders shingles: its size, whatever the data.
-COUNTERS = 1 << 21
+COUNTERS = 1 << 23
 PIECES = 16
+#: Rows up to which a narrow table is broadcast.
+BROADCAST_ROWS = 500_000
 #: Shingles in one block of a group.
 BLOCK = 1 << 19
 #: Children of a tree node.
@@ -64,30 +70,165 @@ def _sets(batch: pa.RecordBatch, column: int, cache: WordHash) -> Iterator[np.nd
         yield shingle_set(word_hashes(text, cache))
 
 
-def _describe(batches):
-    """doc -> n and digest; and, after the last, this task's share of the sketch."""
-    cache, table, seen = WordHash(), np.zeros(COUNTERS, np.uint32), set()
-    empty = pa.array([None], pa.int64())
+_DEALT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+DEALT = "part int, doc_id long, n long, node long, a binary, b binary, c binary"
+
+
+def _packed(parts: list[int], *columns: list[bytes]) -> pa.RecordBatch:
+    none = pa.nulls(len(parts), pa.int64())
+    columns = [pa.array(c, pa.binary()) for c in columns]
+    columns += [pa.nulls(len(parts), pa.binary())] * (3 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), none, none, none, *columns], schema=_DEALT)
+
+
+def _cut(part: np.ndarray) -> list[np.ndarray]:
+    """Positions by part, in the order they have."""
+    by = np.argsort(part, kind="stable")
+    edges = np.r_[0, np.flatnonzero(np.diff(part[by])) + 1, len(by)]
+    return [by[x:y] for x, y in zip(edges, edges[1:], strict=False) if y > x]
+
+
+def _describe(parts: int):
+    """doc -> n and node; and packed (fingerprints, owners of runs, lengths of runs) for each
+    hash range, once for each set that this task has."""
+
+    def run(batches):
+        cache, seen, turn = WordHash(), set(), 0
+        tokens, owners, size = [], [], 0
+
+        def flush():
+            t = np.concatenate(tokens)
+            o = np.repeat(np.array(owners, np.int64), [len(x) for x in tokens])
+            part = (t >> np.uint64(33)) % np.uint64(parts)
+            ids, fp, who, long = [], [], [], []
+            for rows in _cut(part):
+                ids.append(int(part[rows[0]]))
+                fp.append((t[rows] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
+                at = np.r_[0, np.flatnonzero(np.diff(o[rows])) + 1]
+                who.append(o[rows][at].tobytes())
+                long.append(np.diff(np.r_[at, len(rows)]).astype(np.uint32).tobytes())
+            return _packed(ids, fp, who, long)
+
+        for batch in batches:
+            n, node = [], []
+            for s in _sets(batch, 1, cache):
+                n.append(len(s))
+                node.append(digest(s) if len(s) else None)
+                if len(s) and node[-1] not in seen:
+                    seen.add(node[-1])
+                    tokens.append(s)
+                    owners.append(node[-1])
+                    size += len(s)
+                    if size > 2 * FLUSH:
+                        yield flush()
+                        tokens, owners, size = [], [], 0
+            if len(seen) > 1_000_000:
+                seen.clear()
+            turn += 1
+            none = pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([(turn + i) % parts for i in range(len(n))], pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none, none, none], schema=_DEALT)
+        if size:
+            yield flush()
+
+    return run
+
+
+def _repeats(parts: int):
+    """A hash range's fingerprints -> packed (nodes, how many of their shingles others have),
+    by node; rows that describe documents pass."""
+
+    def run(batches):
+        known, first, many = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.bool_)
+        tokens, owners, size = [], [], 0
+
+        def merge():
+            nonlocal known, first, many
+            fresh = sum(map(len, tokens))
+            t, o = np.concatenate([known, *tokens]), np.concatenate([first, *owners])
+            m = np.concatenate([many, np.zeros(fresh, np.bool_)])
+            by = np.argsort(t, kind="stable")
+            t, o, m = t[by], o[by], m[by]
+            start = np.r_[True, t[1:] != t[:-1]]
+            head = np.flatnonzero(start)
+            run_of = np.cumsum(start) - 1
+            other = o != o[head][run_of]
+            shared = np.zeros(len(head), np.bool_)
+            shared[run_of[other]] = True
+            counted = np.concatenate([o[other], o[head][shared & ~m[head]]])
+            known, first, many = t[head], o[head], m[head] | shared
+            nodes, count = np.unique(counted, return_counts=True)
+            if not len(nodes):
+                return None
+            part = nodes.view(np.uint64) % np.uint64(parts)
+            rows = _cut(part)
+            return _packed([int(part[r[0]]) for r in rows], [nodes[r].tobytes() for r in rows], [count[r].astype(np.uint32).tobytes() for r in rows])
+
+        for batch in batches:
+            packed = batch.column(4).is_valid()
+            yield batch.filter(batch.column(4).is_null())
+            rows = batch.filter(packed)
+            for t, o, k in zip(*(rows.column(c).to_pylist() for c in (4, 5, 6)), strict=True):
+                tokens.append(np.frombuffer(t, np.uint32))
+                owners.append(np.repeat(np.frombuffer(o, np.int64), np.frombuffer(k, np.uint32)))
+                size += len(tokens[-1])
+                if size > max(4 * FLUSH, len(known)):
+                    if (out := merge()) is not None:
+                        yield out
+                    tokens, owners, size = [], [], 0
+        if size and (out := merge()) is not None:
+            yield out
+
+    return run
+
+
+def _summed(batches):
+    """Packed (nodes, counts) of a range of nodes -> node, repeated."""
+    nodes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wait: list = []
+
+    def merge():
+        nonlocal nodes, counts
+        n, c = np.concatenate([nodes, *[x for x, _ in wait]]), np.concatenate([counts, *[y for _, y in wait]])
+        nodes, at = np.unique(n, return_inverse=True)
+        counts = np.bincount(at, weights=c, minlength=len(nodes)).astype(np.int64)
+
     for batch in batches:
-        n, node, held, size = [], [], [], 0
-        for s in _sets(batch, 1, cache):
-            n.append(len(s))
-            node.append(digest(s) if len(s) else None)
-            if len(s) and node[-1] not in seen:
-                seen.add(node[-1])
-                held.append(s)
-                size += len(s)
-                if size > FLUSH:
-                    table += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                    held, size = [], 0
-        if held:
-            table += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        if len(seen) > 1_000_000:
-            seen.clear()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "node", "piece", "counts"])
+        for n, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            wait.append((np.frombuffer(n, np.int64), np.frombuffer(c, np.uint32)))
+        if sum(len(x) for x, _ in wait) > FLUSH:
+            merge()
+            wait = []
+    merge()
+    for i in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(counts[i : i + 100_000])], ["node", "repeated"])
+
+
+def _verified(batches):
+    """node, d, text -> once each node whose text it is."""
+    cache = WordHash()
+    for batch in batches:
+        mine = [digest(s) if len(s) else None for s in _sets(batch, 2, cache)]
+        yield batch.filter(pa.array([a == b for a, b in zip(mine, batch.column(0).to_pylist(), strict=True)], pa.bool_()))
+
+
+def _sketch(batches):
+    cache, table, held, size = WordHash(), np.zeros(COUNTERS, np.uint32), [], 0
+
+    def count():
+        np.add.at(table, (np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), 1)
+
+    for batch in batches:
+        for s in _sets(batch, 0, cache):
+            held.append(s)
+            size += len(s)
+            if size > FLUSH:
+                count()
+                held, size = [], 0
+    if size:
+        count()
     if table.any():
         for i, part in enumerate(np.split(table, PIECES)):
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array([i], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], ["doc_id", "n", "node", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], ["piece", "counts"])
 
 
 def _add_up(batches):
@@ -97,21 +238,20 @@ def _add_up(batches):
             part = np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.uint64)
             total[i] = total[i] + part if i in total else part
     for i, part in total.items():
-        yield pa.RecordBatch.from_pydict({"piece": [i], "counts": [np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes()]}, schema=pa.schema([("piece", pa.int32()), ("counts", pa.binary())]))
+        fine = np.minimum(part, 128 + 8 * np.log2(np.maximum(part, 128) / 128)).clip(0, 255)  # exact to 128, then by powers
+        yield pa.RecordBatch.from_pydict({"piece": [i], "counts": [fine.astype(np.uint8).tobytes()]}, schema=pa.schema([("piece", pa.int32()), ("counts", pa.binary())]))
 
 
 def _prefixes(counts, parts: int, least: float):
     def run(batches):
-        order = np.frombuffer(b"".join(counts.value), np.uint32)
+        order = np.frombuffer(b"".join(counts.value), np.uint8)
         cache, seen = WordHash(), set()
         tokens, owners, size = [], [], 0
 
         def flush():
             t, o = np.concatenate(tokens), np.concatenate(owners)
             part = (t >> np.uint64(33)) % np.uint64(parts)
-            by = np.argsort(part, kind="stable")
-            cuts = np.r_[0, np.flatnonzero(np.diff(part[by])) + 1, len(by)]
-            rows = [by[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+            rows = _cut(part)
             return pa.RecordBatch.from_arrays([pa.array([int(part[r[0]]) for r in rows], pa.int32()), pa.array([t[r].tobytes() for r in rows], pa.binary()), pa.array([o[r].tobytes() for r in rows], pa.binary())], ["part", "tokens", "owners"])
 
         for batch in batches:
@@ -321,32 +461,42 @@ def _tasks(least: float):
     return run
 
 
-def _linked(nodes: DataFrame, docs: DataFrame, tasks: DataFrame, least: float, first: bool) -> DataFrame:
+def _near(df: DataFrame, narrow: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a narrow table, which is broadcast if it is small."""
+    return df.join(F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow, keys)
+
+
+def _linked(nodes: DataFrame, texts: DataFrame, tasks: DataFrame, least: float, first: bool) -> DataFrame:
     """tasks: grp, i, j, block. The links found where a task's blocks meet."""
-    spark = docs.sparkSession
-    rows = tasks.join(nodes, ["grp", "block"]).select("grp", "i", "j", "node", "block", "root", "d")
-    texts = rows.join(docs.select(doc_key().alias("d"), "text"), "d").select("grp", "i", "j", "node", "block", "root", F.lit(first).alias("first"), "text")
-    parts = shuffle_parts(spark)
-    return stored(texts.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_tasks(least), "a long, b long"), "links")
+    rows = stored(tasks.join(nodes, ["grp", "block"]).select("grp", "i", "j", "node", "block", "root"), "tasks")
+    read = _near(texts, rows, ["node"]).select("grp", "i", "j", "node", "block", "root", F.lit(first).alias("first"), "text")
+    parts = shuffle_parts(texts.sparkSession)
+    return stored(read.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_tasks(least), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """doc_id, n_shingles, component_id and node (the digest of the document's set)."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    both = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe, "doc_id long, n long, node long, piece int, counts binary"), "sets")
-    described = both.where("piece is null").select("doc_id", "n", "node")
-    pieces = both.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece").mapInArrow(_add_up, "piece int, counts binary")
-    table = {r.piece: bytes(r.counts) for r in pieces.collect()}  # COUNTERS x 4 bytes, whatever the data
-    blank = bytes(4 * COUNTERS // PIECES)
+    parts = shuffle_parts(spark, text_bytes(docs))
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe(parts), DEALT)
+    both = stored(dealt.repartition(parts, "part").mapInArrow(_repeats(parts), DEALT), "sets")
+    described = both.where("a is null").select("doc_id", "n", "node")
+    repeated = both.where("a is not null").select("part", "a", "b").repartition(parts, "part").mapInArrow(_summed, "node long, repeated long")
+    ids = described.where("node is not null").groupBy("node").agg(F.min(doc_key()).alias("d"), F.first("n").alias("n"))
+    left = ids.join(repeated, "node").where(F.col("repeated") >= F.ceil(F.lit(least) * F.col("n") - 1e-9)).select("node", "d")
+    left = stored(left, "left")
+    texts = _near(docs.select(doc_key().alias("d"), "text"), left, ["d"]).select("node", "d", "text").mapInArrow(_verified, "node long, d long, text string")
+    texts = stored(texts, "texts")
+
+    pieces = texts.select("text").mapInArrow(_sketch, "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(_add_up, "piece int, counts binary")
+    table = {r.piece: bytes(r.counts) for r in pieces.collect()}  # COUNTERS bytes, whatever the data
+    blank = bytes(COUNTERS // PIECES)
     counts = spark.sparkContext.broadcast([table.get(i, blank) for i in range(PIECES)])
-    total = described.agg(F.sum("n")).first()[0] or 0
-    parts = shuffle_parts(spark, 16 * (1 - least) * total)
-    entries = docs.select("text").mapInArrow(_prefixes(counts, parts, least), "part int, tokens binary, owners binary")
+    entries = texts.select("text").mapInArrow(_prefixes(counts, parts, least), "part int, tokens binary, owners binary")
     ties = stored(entries.repartition(parts, "part").mapInArrow(_ties, "a long, b long"), "ties")
     groups = components(ties).select("node", F.col("root").alias("grp"))
 
-    ids = described.where("node is not null").groupBy("node").agg(F.min(doc_key()).alias("d"), F.first("n").alias("n"))
     members = stored(groups.join(ids, "node"), "members")
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     members = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -355,7 +505,7 @@ def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     blocks = members.groupBy("grp", "block").agg(F.first("blocks").alias("blocks"))
     own = blocks.select("grp", F.lit(0).alias("i"), F.col("block").alias("j"), "block")
     zero = blocks.where("block > 0").select("grp", F.lit(0).alias("i"), F.col("block").alias("j"), F.lit(0).alias("block"))
-    found = _linked(members, docs, own.unionAll(zero), least, True)
+    found = _linked(members, texts, own.unionAll(zero), least, True)
     if not members.where("blocks > 2").isEmpty():
         roots = components(found)
         rooted = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -364,7 +514,7 @@ def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
         x, y = state.select("grp", F.col("block").alias("i"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), state.select("grp", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
         pairs = stored(x.join(y, "grp").where("i < j and least(lo1, lo2) < greatest(hi1, hi2)").select("grp", "i", "j"), "pairs")
         tasks = pairs.select("grp", "i", "j", F.explode(F.array("i", "j")).alias("block"))
-        found = found.unionAll(_linked(rooted, docs, tasks, least, False))
+        found = found.unionAll(_linked(rooted, texts, tasks, least, False))
     roots = components(found)
     named = stored(ids.join(roots, "node", "left").select("node", "d", F.coalesce("root", "node").alias("root")), "named")
     smallest = named.groupBy("root").agg(F.min("d").alias("component_id"))
