@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Text bytes that a worker tokenises at once; a longer document is taken alone.
 SLICE_BYTES = 2 << 20
 #: Distinct words that a worker remembers before it forgets them all.
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for a null doc_id where a key is needed; sorts after every other id.
 NO_ID = 2**63 - 1

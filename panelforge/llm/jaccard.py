@@ -478,7 +478,7 @@ def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """doc_id, n_shingles, component_id and node (the digest of the document's set)."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    parts = shuffle_parts(spark, text_bytes(docs))
+    parts = shuffle_parts(spark, text_bytes(docs), 8 << 20)
     dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe(parts), DEALT)
     both = stored(dealt.repartition(parts, "part").mapInArrow(_repeats(parts), DEALT), "sets")
     described = both.where("a is null").select("doc_id", "n", "node")
