@@ -544,7 +544,8 @@ def keep_one(docs: DataFrame, least: float = 0.75) -> DataFrame:
     ids = found.groupBy("_d").agg(F.count(F.lit(1)).alias("_rows"), F.collect_set(F.when(F.col("_d") == F.col("_c"), F.coalesce("node", F.lit(0)))).alias("_nodes"))
     ids = stored(ids.where(F.size("_nodes") > 0), "kept")
     keyed = docs.withColumn("_d", doc_key())
-    out = keyed.join(ids.where("_rows = 1").select("_d"), "_d", "left_semi").select(*docs.columns)
+    once = ids.where("_rows = 1").select("_d")
+    out = keyed.join(F.broadcast(once) if once.count() <= BROADCAST_ROWS else once, "_d", "left_semi").select(*docs.columns)
     if ids.where("_rows > 1").isEmpty():
         return out
     # Ids on several rows: each row's own set decides.

@@ -174,7 +174,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_low_quality(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score below ``least``."""
     need(docs, "doc_id", "text")
-    model = learn(with_statistics(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"]), labels)
+    # Statistics of all documents, so that no text is shuffled to meet its label.
+    model = learn(with_statistics(docs, ["doc_id"]), labels)
     at = docs.columns.index("text")
 
     def run(batches):
