@@ -10,7 +10,7 @@ on documents (``weight``) make these probabilities unequal within a source as we
 The sample: with u a hash of the record, q = (u/(1-u)) / (p/(1-p)) orders a source's
 documents, and the first of them, as many as fill the words that certain copies left open,
 are taken. So the sample has a fixed size, in words; what remains before the first that is
-too long is filled by a few of the documents next in order that fit it best.
+too long is filled by those next in order that still fit.
 
 The order is never sorted as a whole: words are summed by (source, slice of the order), and
 only the slice in which the target falls is ordered exactly. Sources are joined by
@@ -33,7 +33,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 50_000
 #: Documents in one slice of a source's order, on average.
 SLICE_ROWS = 2_000
-#: Documents that fill what the sample leaves open.
+#: Rounds that fill what the sample leaves open.
 FILLS = 4
 
 
@@ -99,16 +99,20 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), mos
     inside = inside.withColumn("_end", F.col("_before") + F.sum("_x").over(order)).withColumn("_in", (F.col("_end") <= F.col("_open")) & (F.col("_x") > 0))
     inside = inside.withColumn("_left", F.col("_open") - F.greatest(F.max(F.when(F.col("_in"), F.col("_end"))).over(Window.partitionBy("source")), F.col("_before")))
     inside = inside.withColumn("_left", F.coalesce("_left", F.col("_open") - F.col("_before")))
-    # What is left is filled by those that fit it best from below, then from either side if
-    # that comes nearer than taking none.
+    # On in the same order, passing over documents longer than what is left; at last the one
+    # that fits best, if that comes nearer than taking none.
     in_source = Window.partitionBy("source")
     for turn in range(FILLS):
-        miss = F.abs(F.col("_x") - F.col("_left"))
         free = ~F.col("_in") & (F.col("_x") > 0)
-        fits = free & (F.col("_x") <= F.col("_left") if turn < FILLS - 1 else miss < F.col("_left"))
-        best = F.row_number().over(in_source.orderBy(F.when(fits, miss).asc_nulls_last(), "_v", "doc_id", "tie"))
-        inside = inside.withColumn("_take", fits & (best == 1))
-        filled = F.coalesce(F.max(F.when(F.col("_take"), F.col("_x"))).over(in_source), F.lit(0))
+        miss = F.abs(F.col("_x") - F.col("_left"))
+        if turn < FILLS - 1:
+            fits = free & (F.col("_x") <= F.col("_left"))
+            inside = inside.withColumn("_take", fits & (F.sum(F.when(fits, F.col("_x")).otherwise(0)).over(order) <= F.col("_left")))
+        else:
+            fits = free & (miss < F.col("_left"))
+            best = F.row_number().over(in_source.orderBy(F.when(fits, miss).asc_nulls_last(), "_v", "doc_id", "tie"))
+            inside = inside.withColumn("_take", fits & (best == 1))
+        filled = F.coalesce(F.sum(F.when(F.col("_take"), F.col("_x"))).over(in_source), F.lit(0))
         inside = inside.withColumn("_left", F.col("_left") - filled).withColumn("_in", F.col("_in") | F.col("_take"))
     inside = inside.withColumn("_more", F.when(F.col("_in"), 1).otherwise(0))
     rest = df.where("_k != _edge or _edge is null").withColumn("_more", F.when(((F.col("_k") < F.col("_edge")) | F.col("_edge").isNull()) & (F.col("_x") > 0), 1).otherwise(0))
