@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import need, stored
 
 #: Vectors in a tree and queries in a block, on average; entries of a page.
-PART_ROWS, BLOCK_ROWS, PAGE = 8192, 2048, 128
+PART_ROWS, BLOCK_ROWS, PAGE = 8192, 2048, 256
 
 
 class MTree:
@@ -48,7 +48,7 @@ class MTree:
         own = x[rows]
         to_parent = np.zeros(len(rows)) if parent is None else np.linalg.norm(own - parent, axis=1)
         if len(rows) <= PAGE:
-            node = {"leaf": True, "ids": ids[rows], "vectors": vectors[rows].astype(np.float32), "to_parent": to_parent}
+            node = {"leaf": True, "ids": ids[rows], "vectors": vectors[rows], "to_parent": to_parent}
         else:
             pivots = own[rng.choice(len(rows), min(PAGE, max(2, -(-2 * len(rows) // PAGE))), replace=False)]
             near = ((pivots**2).sum(1)[None] - 2 * own @ pivots.T).argmin(1)
@@ -86,15 +86,20 @@ class MTree:
             node = self.nodes[at]
             root = at == self.root
             if node["leaf"]:
-                see = np.arange(len(node["ids"])) if root else np.flatnonzero(np.abs(to_routing - node["to_parent"]) <= limit)
-                if not len(see):
-                    continue
-                score = node["vectors"][see].astype(np.float64) @ q
-                ids = node["ids"][see]
+                ids, page = node["ids"], node["vectors"]
+                if not root and limit < np.inf:
+                    see = np.abs(to_routing - node["to_parent"]) <= limit
+                    if not see.all():
+                        ids, page = ids[see], page[see]
+                score = page @ q
                 ok = ids != own
                 if len(best) == k:
                     ok &= score >= best[0][0]
-                for s, i in zip(score[ok].tolist(), ids[ok].tolist(), strict=True):
+                ids, score = ids[ok], score[ok]
+                if len(ids) > k:
+                    top = np.lexsort((ids, -score))[:k]
+                    ids, score = ids[top], score[top]
+                for s, i in zip(score.tolist(), ids.tolist(), strict=True):
                     item = (int(s), -i)
                     if len(best) < k:
                         heapq.heappush(best, item)
