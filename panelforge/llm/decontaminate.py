@@ -112,7 +112,7 @@ WITH w AS (
   SELECT 'i', item_id, regexp_split_to_array(trim(lower(coalesce(text, '')), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') FROM benchmark
 ), s AS (
   SELECT DISTINCT kind, id, array_to_string(w[i:i+4], ' ') AS s
-  FROM (SELECT kind, id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM w WHERE w <> [''])
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE w <> [''])
 ), q AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM s WHERE kind = 'i')
 SELECT q.id AS item_id, d.id AS doc_id, q.n AS n_item, count(*) AS n_shared, count(*) / q.n AS containment
 FROM q JOIN s d ON d.kind = 'd' AND d.s = q.s
