@@ -558,3 +558,23 @@ def keep_one(docs: DataFrame, least: float = 0.75) -> DataFrame:
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)
+), sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS same FROM s GROUP BY doc_id),
+rep AS (SELECT same, min(doc_id) AS r, any_value(n) AS n FROM sets GROUP BY same),
+t AS (SELECT r, n, s FROM rep JOIN s ON s.doc_id = rep.r),
+p AS (
+  SELECT a.r AS x, b.r AS y FROM t a JOIN t b ON a.s = b.s AND a.r < b.r AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+root AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(least(rep.r, root.y), d.doc_id) AS component_id
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (same) LEFT JOIN root ON root.x = rep.r
+"""

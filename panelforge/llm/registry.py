@@ -20,4 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
     "op5_topk": topk.ORACLE,
+    "op8_jaccard": jaccard.ORACLE,
+    "op10_line_dedup": linededup.ORACLE,
 }
