@@ -82,7 +82,9 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), mos
     odds, chance = u / (1 - u), F.col("_p") / (1 - F.col("_p"))
     # v in (0, 1) grows with q = odds / chance; documents without a chance come last.
     df = df.withColumn("_v", F.when((F.col("_p") > 0) & (F.col("size") > 0), odds / (odds + chance)).otherwise(F.lit(1.0)))
-    df = df.withColumn("_k", F.least(F.floor(F.col("_v") * F.col("_slices")), F.col("_slices") - 1).cast("int"))
+    # Those have a slice of their own, in which no target falls.
+    slice_of = F.when(F.col("_v") < 1, F.least(F.floor(F.col("_v") * F.col("_slices")), F.col("_slices") - 1)).otherwise(F.col("_slices"))
+    df = df.withColumn("_k", slice_of.cast("int"))
     extra = F.when((F.col("_v") < 1) & (F.col("_sure") < most), F.col("size")).otherwise(F.lit(0))
     df = stored(df.withColumn("_x", extra).drop("_weighted", "_docs", "_slices"), "mix")
 
