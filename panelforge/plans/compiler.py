@@ -120,7 +120,10 @@ class _Run:
         self.frames = lower.Frames(sym, t, self.pos)
         self.column: dict[int, str] = {}
         self.name = {id(n): f"_n{i}" for i, n in enumerate(plan.order)}
-        self.readers = Counter(id(a) for n in plan.order for a in n.args)
+        self.readers: Counter[int] = Counter()
+        for n in plan.order:
+            for a in n.args:
+                self.readers[id(a)] += 2 if n.kind != "elem" or n.op in lower.SPELLS_TWICE else 1
         for n in plan.outputs.values():
             self.readers[id(n)] += 1
         self.inline: dict[int, Column] = {}
@@ -150,7 +153,7 @@ class _Run:
         return keep, seen - keep
 
     def share(self, df: DataFrame, done: set[int]) -> DataFrame:
-        """Gives element-wise nodes with several readers a column, innermost first, so that
+        """Gives element-wise nodes that are read more than once a column, innermost first, so that
         no expression is spelled twice."""
         rounds: dict[int, int] = {}
         todo: dict[int, list[Node]] = {}
@@ -195,6 +198,9 @@ class _Run:
                 for n in plain:
                     make = lower.look_back if n.kind == "ts" else lower.cross_section
                     cols.append(make(n, [self.expr(a) for a in n.args], self.frames).alias(self.name[id(n)]))
+                if pool := self.frames.pool:
+                    df = df.select("*", *[c.alias(k) for k, c in pool.values()])
+                    self.frames.pool = {}
                 if cols:
                     df = df.select("*", *cols)
                 if scans:

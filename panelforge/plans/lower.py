@@ -67,6 +67,9 @@ ELEM: dict[str, Callable[..., Column]] = {
     "pow": _pow,
 }
 
+#: Element-wise operators whose column mentions an argument more than once.
+SPELLS_TWICE = {"div", "max", "min", "log", "pow", "finite_or"}
+
 
 def elementwise(node: Node, args: list[Column]) -> Column:
     if node.op == "finite_or":
@@ -84,15 +87,30 @@ class Frames:
         self.rows = Window.partitionBy(sym).orderBy(t)
         self.cross = Window.partitionBy(t)
         self.pos = pos
+        #: (width, aggregate) -> (name, column) of the step that is being lowered.
+        self.pool: dict[tuple[int, str], tuple[str, Column]] = {}
+
+    def last(self, w: int) -> Span:
+        return Span(self, w)
+
+
+class Span:
+    """The last w rows: puts an aggregate over them into the pool, once however often it is
+    asked for (Spark would compute each mention), and returns its column."""
+
+    def __init__(self, frames: Frames, w: int):
+        self.frames, self.w = frames, w
 
-    def last(self, w: int):
-        return self.rows.rowsBetween(-(w - 1), 0)
+    def __call__(self, aggregate: Column) -> Column:
+        pool = self.frames.pool
+        name, _ = pool.setdefault((self.w, str(aggregate)), (f"_w{len(pool)}", aggregate.over(self.frames.rows.rowsBetween(-(self.w - 1), 0))))
+        return F.col(name)
 
 
 def full(w: int, frame, value: Column, *inputs: Column) -> Column:
     """``value`` where all w rows of the frame are there and no input is missing in them."""
     seen = inputs[0] if len(inputs) == 1 else F.when(inputs[0].isNotNull() & inputs[1].isNotNull(), F.lit(1))
-    return F.when(F.count(seen).over(frame) == w, value)
+    return F.when(frame(F.count(seen)) == w, value)
 
 
 def look_back(node: Node, args: list[Column], fr: Frames) -> Column:
@@ -103,15 +121,14 @@ def look_back(node: Node, args: list[Column], fr: Frames) -> Column:
     if op in ("slope", "rsquare", "resi"):
         x = F.when(F.abs(x) != INF, x)
         if op == "rsquare":
-            return F.when(F.var_samp(x).over(frame) > 0, F.regr_r2(x, pos).over(frame))
-        slope = F.regr_slope(x, pos).over(frame)
-        return slope if op == "slope" else x - (slope * pos + F.regr_intercept(x, pos).over(frame))
+            return F.when(frame(F.var_samp(x)) > 0, frame(F.regr_r2(x, pos)))
+        slope = frame(F.regr_slope(x, pos))
+        return slope if op == "slope" else x - (slope * pos + frame(F.regr_intercept(x, pos)))
     if op in ("cov", "corr"):
         y = args[1]
-        both = x.isNotNull() & y.isNotNull()
-        cov = F.covar_samp(x, y).over(frame)
+        cov = frame(F.covar_samp(x, y))
         if op == "corr":
-            vx, vy = (F.var_samp(F.when(both, v)).over(frame) for v in (x, y))
+            vx, vy = frame(F.var_samp(x)), frame(F.var_samp(y))  # nothing is missing where the result counts
             cov = F.when((vx > 0) & (vy > 0), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
         return clean(full(w, frame, cov, x, y))
     if op in _STRICT:
@@ -120,13 +137,13 @@ def look_back(node: Node, args: list[Column], fr: Frames) -> Column:
 
 
 def _ts_rank(x, w, frame, pos, params):
-    a = F.collect_list(x).over(frame)
+    a = frame(F.collect_list(x))
     less, same = F.size(F.filter(a, lambda v: v < x)), F.size(F.filter(a, lambda v: v == x))
     return less + (same + 1) / F.lit(2.0)
 
 
 def _drawdown(x, w, frame, pos, params):
-    a = F.collect_list(x).over(frame)
+    a = frame(F.collect_list(x))
     peak = F.array_max(a)
     trough = F.array_min(F.slice(a, F.array_position(a, peak).cast("int"), F.lit(w)))
     return divide(peak - trough, peak)
@@ -134,27 +151,27 @@ def _drawdown(x, w, frame, pos, params):
 
 def _reduce(x, w, frame, pos, params):
     _, merge, zero, finish = params
-    return F.aggregate(F.collect_list(x).over(frame), F.lit(zero), merge, finish)
+    return F.aggregate(frame(F.collect_list(x)), F.lit(zero), merge, finish)
 
 
 def _decay(x, w, frame, pos, params):
-    weighted = F.sum(x * pos).over(frame) - (pos - w) * F.sum(x).over(frame)
+    weighted = frame(F.sum(x * pos)) - (pos - w) * frame(F.sum(x))
     return weighted / F.lit(w * (w + 1) / 2)
 
 
 _STRICT: dict[str, Callable] = {
-    "sum": lambda x, w, fr, pos, p: F.sum(x).over(fr),
-    "avg": lambda x, w, fr, pos, p: F.avg(x).over(fr),
-    "product": lambda x, w, fr, pos, p: F.product(x).over(fr),
-    "wmin": lambda x, w, fr, pos, p: F.min(x).over(fr),
-    "wmax": lambda x, w, fr, pos, p: F.max(x).over(fr),
-    "var": lambda x, w, fr, pos, p: F.var_samp(x).over(fr),
-    "std": lambda x, w, fr, pos, p: F.stddev_samp(x).over(fr),
-    "skew": lambda x, w, fr, pos, p: F.skewness(x).over(fr) * F.lit((w * (w - 1)) ** 0.5 / (w - 2)),
-    "kurt": lambda x, w, fr, pos, p: ((w + 1) * F.kurtosis(x).over(fr) + 6) * F.lit((w - 1) / ((w - 2) * (w - 3))),
-    "argmax": lambda x, w, fr, pos, p: F.max_by(pos, F.struct(x, -pos)).over(fr) - (pos - w) + F.lit(0.0),
-    "argmin": lambda x, w, fr, pos, p: F.min_by(pos, F.struct(x, pos)).over(fr) - (pos - w) + F.lit(0.0),
-    "quantile": lambda x, w, fr, pos, p: F.percentile(x, F.lit(p[1])).over(fr),
+    "sum": lambda x, w, fr, pos, p: fr(F.sum(x)),
+    "avg": lambda x, w, fr, pos, p: fr(F.avg(x)),
+    "product": lambda x, w, fr, pos, p: fr(F.product(x)),
+    "wmin": lambda x, w, fr, pos, p: fr(F.min(x)),
+    "wmax": lambda x, w, fr, pos, p: fr(F.max(x)),
+    "var": lambda x, w, fr, pos, p: fr(F.var_samp(x)),
+    "std": lambda x, w, fr, pos, p: fr(F.stddev_samp(x)),
+    "skew": lambda x, w, fr, pos, p: fr(F.skewness(x)) * F.lit((w * (w - 1)) ** 0.5 / (w - 2)),
+    "kurt": lambda x, w, fr, pos, p: ((w + 1) * fr(F.kurtosis(x)) + 6) * F.lit((w - 1) / ((w - 2) * (w - 3))),
+    "argmax": lambda x, w, fr, pos, p: fr(F.max_by(pos, F.struct(x, -pos))) - (pos - w) + F.lit(0.0),
+    "argmin": lambda x, w, fr, pos, p: fr(F.min_by(pos, F.struct(x, pos))) - (pos - w) + F.lit(0.0),
+    "quantile": lambda x, w, fr, pos, p: fr(F.percentile(x, F.lit(p[1]))),
     "decay": _decay,
     "ts_rank": _ts_rank,
     "drawdown": _drawdown,
