@@ -6,10 +6,20 @@ passage is cut alike wherever it stands. Cuts that crowd another are dropped and
 are split, by rules that look at the neighbourhood alone.
 
 Chunks of equal digest in two or more documents are repeats; the smallest doc_id keeps its
-own. Chunks in a row that a document repeats are one span; spans of at least ``least_words``
-words are reported or removed. The words at a passage's rim, before its first and after its
-last cut, stay, so a span is shorter than its passage: with 20 words every passage of over
-50 words is found but for a chance of one in a hundred or so.
+own. There are two forms:
+
+``repeated_passages``, which ``dedup_substrings`` removes by: chunks in a row that stand in
+the same row in the first document with them are a candidate, however few. It is extended
+byte by byte to both sides against that document (windows of both texts, wider ones while
+all of a window agrees), and extended spans of at least ``least_words`` words are reported,
+without those inside another. So each span is whole in kept_doc_id. A passage without any
+whole chunk, or each of whose chunks has an earlier first holder without the passage, is
+missed.
+
+``repeated_spans``: chunks in a row that a document repeats are one span, whoever keeps them;
+spans of at least ``least_words`` words between cuts are reported. The words at a passage's
+rim, before its first and after its last cut, do not count, so passages of just over 50 words
+are missed more often (figures: README), and a span need not be whole in kept_doc_id.
 
 Chunks are counted by one aggregation with a partial step and met again by a join that Spark
 splits where a digest is in very many documents; no task gathers a digest's holders.
@@ -28,10 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import NO_ID, doc_key, need, raw_texts, slices, stored
+from panelforge.llm.common import NO_ID, SLICE_BYTES, doc_key, need, raw_texts, slices, stored
 
 #: Bits of the hash that cut, crowding distance and longest chunk in bytes.
 SHIFT, CUT, CROWD, LONGEST = 11, 31, 8, 512
+#: Bytes beside a candidate that are compared at first, and how much wider each next window is.
+WINDOW, WIDER = 128, 8
 GEAR = np.random.default_rng(9).integers(0, 2**32, 256, np.uint64).astype(np.uint32)
 
 
@@ -103,11 +115,124 @@ def repeated_spans(docs: DataFrame, least_words: int = 20) -> DataFrame:
     return spans.where(F.col("words") >= least_words).drop("_run")
 
 
+def _with_row(batches):
+    for batch in batches:
+        row = [xxhash.xxh32_intdigest(x) >> 1 for x in raw_texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row, pa.int32()), batch.column(1)], ["d", "r", "text"])
+
+
+_ENDS = "d long, r int, s int, e int, before binary, after binary"
+
+
+def _ends(width: int):
+    """d, r, text, asked -> for each (s, e) asked for up to width + 1 bytes before s, and the
+    byte before e with up to width after it."""
+
+    def run(batches):
+        for batch in batches:
+            ids, rows, asked = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            texts = raw_texts(batch.column(2))
+            for x, y in slices(texts, SLICE_BYTES):
+                out: list[list] = [[] for _ in range(6)]
+                for d, r, ask, text in zip(ids[x:y], rows[x:y], asked[x:y], texts[x:y], strict=True):
+                    for q in ask:
+                        s, e = q["s"], q["e"]
+                        for c, v in zip(out, (d, r, s, e, text[max(0, s - width - 1) : s], text[e - 1 : e + width]), strict=True):
+                            c.append(v)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["d", "r", "s", "e", "before", "after"])
+
+    return run
+
+
+def same_end(a: bytes, b: bytes) -> int:
+    """Length of the longest common suffix."""
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[len(a) - n :], "big") ^ int.from_bytes(b[len(b) - n :], "big")
+    return ((x & -x).bit_length() - 1) // 8 if x else n
+
+
+def same_start(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
+
+
+def words_begun(text: bytes, last: bytes) -> int:
+    """Beginnings of words in a text that follows ``last``."""
+    return len(text.split()) - bool(text and last and not text[:1].isspace() and not last.isspace())
+
+
+_FOUND = "d long, r int, s int, e int, w int, kd long, kr int, by int"
+
+
+def _grown(width: int):
+    """_FOUND and the ends in both documents -> _FOUND extended, and whether it may go on."""
+
+    def run(batches):
+        for batch in batches:
+            s, e, w, more = ([] for _ in range(4))
+            cols = [batch.column(i).to_pylist() for i in (2, 3, 4, 8, 9, 10, 11)]
+            for s0, e0, w0, la, ra, lb, rb in zip(*cols, strict=True):
+                n, m = same_end(la[-width:], lb[-width:]), same_start(ra[1:], rb[1:])
+                on = (n == width and len(la) > width and len(lb) > width) or m == width
+                if not on:  # no part of a character
+                    while n and la[len(la) - n] & 0xC0 == 0x80:
+                        n -= 1
+                    while m and m + 1 < len(ra) and ra[m + 1] & 0xC0 == 0x80:
+                        m -= 1
+                at = len(la) - n
+                s.append(s0 - n)
+                e.append(e0 + m)
+                w.append(w0 + words_begun(la[at:], la[at - 1 : at]) + words_begun(ra[1 : m + 1], ra[:1]))
+                more.append(on)
+            out = [batch.column(0), batch.column(1), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(w, pa.int32()), *(batch.column(i) for i in (5, 6, 7)), pa.array(more, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(out, ["d", "r", "s", "e", "w", "kd", "kr", "by", "more"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, least_words: int = 20) -> DataFrame:
+    """d, r, start, end, words, kept_d like ``repeated_spans``, of extended spans."""
+    need(docs, "doc_id", "text")
+    chunks = stored(docs.select(doc_key().alias("d"), "text").mapInArrow(_chunks, _ROWS), "chunks")
+    first = chunks.groupBy("h").agg(F.min(F.struct("d", "r", "s")).alias("k"), F.max("d").alias("last")).where("k.d < last").select("h", "k")
+    again = chunks.join(first, "h").where("d > k.d").selectExpr("d", "r", "i", "s", "e", "w", "k.d as kd", "k.r as kr", "s - k.s as by")
+    place = ["d", "r", "kd", "kr", "by"]
+    # Equal rows have each chunk equally often: ranks are dense, and words are divided.
+    order = Window.partitionBy("d", "r").orderBy("kd", "kr", "by", "i")
+    apart = F.sum(F.when((F.col("i") - F.col("_i") <= 1) & (F.col("kd") == F.col("_kd")) & (F.col("kr") == F.col("_kr")) & (F.col("by") == F.col("_by")), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = again.select("*", *[F.lag(c).over(order).alias(f"_{c}") for c in ("i", "kd", "kr", "by")]).withColumn("_run", apart).groupBy(*place, "_run")
+    once = (F.max("i") - F.min("i") + 1) / F.count(F.lit(1))
+    found = runs.agg(F.min("s").alias("s"), F.max("e").alias("e"), F.round(F.sum("w") * once).cast("int").alias("w"))
+    found = stored(found.select("d", "r", "s", "e", "w", "kd", "kr", "by"), "found")
+    texts = docs.select(doc_key().alias("d"), "text").mapInArrow(_with_row, "d long, r int, text string").dropDuplicates(["d", "r"])
+    whole, width = None, WINDOW
+    while True:
+        asked = found.select("d", "r", "s", "e").unionAll(found.selectExpr("kd", "kr", "s - by", "e - by"))
+        asked = asked.groupBy("d", "r").agg(F.collect_set(F.struct("s", "e")).alias("asked"))
+        ends = stored(texts.join(asked, ["d", "r"]).mapInArrow(_ends(width), _ENDS), "ends")
+        theirs = ends.selectExpr("d as kd", "r as kr", "s as ks", "e as ke", "before as before_k", "after as after_k")
+        both = found.join(ends, ["d", "r", "s", "e"]).withColumns({"ks": F.col("s") - F.col("by"), "ke": F.col("e") - F.col("by")}).join(theirs, ["kd", "kr", "ks", "ke"])
+        grown = both.select("d", "r", "s", "e", "w", "kd", "kr", "by", "before", "after", "before_k", "after_k").mapInArrow(_grown(width), _FOUND + ", more boolean")
+        grown = stored(grown, "grown")
+        whole = grown.where("not more") if whole is None else whole.unionAll(grown.where("not more"))
+        # Of those that have met in one place, one goes on for all.
+        met = F.max("e").over(Window.partitionBy(*place).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+        found = stored(grown.where("more").drop("more").distinct().withColumn("_met", met).where("_met is null or _met < s").drop("_met"), "found")
+        if found.isEmpty():
+            break
+        width *= WIDER
+    spans = whole.where(F.col("w") >= least_words).groupBy("d", "r", "s", "e").agg(F.min("kd").alias("kept_d"), F.first("w").alias("words"))
+    before = F.max("e").over(Window.partitionBy("d", "r").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_before", before).where("_before is null or _before < e")
+    return spans.select("d", "r", F.col("s").alias("start"), F.col("e").alias("end"), "words", "kept_d")
+
+
 def dedup_substrings(docs: DataFrame, least_words: int = 20) -> DataFrame:
-    """``docs`` with the repeated spans cut out of their texts, and n_cut, their number."""
+    """``docs`` with the repeated passages cut out of their texts, and n_cut, their number."""
     from pyspark.sql import types as T
 
-    spans = repeated_spans(docs, least_words).groupBy("d").agg(F.collect_list(F.struct("r", "start", "end")).alias("_spans")).withColumnRenamed("d", "_d")
+    spans = repeated_passages(docs, least_words).groupBy("d").agg(F.collect_list(F.struct("r", "start", "end")).alias("_spans")).withColumnRenamed("d", "_d")
     cols = docs.columns
     at = cols.index("text")
     rows = docs.withColumn("_d", doc_key()).join(spans, "_d", "left").select(*cols, "_spans")
@@ -119,7 +244,13 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20) -> DataFrame:
                 mine = xxhash.xxh32_intdigest(raw) >> 1
                 gone = sorted((f["start"], f["end"]) for f in found or () if f["r"] == mine)
                 if gone:
-                    edges = [0, *[x for s in gone for x in s], len(raw)]
+                    met: list[list[int]] = []
+                    for x, y in gone:
+                        if met and x <= met[-1][1]:
+                            met[-1][1] = max(y, met[-1][1])
+                        else:
+                            met.append([x, y])
+                    edges = [0, *[x for s in met for x in s], len(raw)]
                     text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore")
                 texts.append(text)
                 cuts.append(len(gone))
@@ -130,8 +261,16 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_cut", T.LongType())]))
 
 
-def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """One row for each repeated span that is to go: whose it is and who keeps it."""
-    spans = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _named(spans: DataFrame) -> DataFrame:
     name = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return spans.select(name("d").alias("doc_id"), F.col("start").cast("long").alias("start_byte"), F.col("end").cast("long").alias("end_byte"), F.col("words").cast("long"), name("kept_d").alias("kept_doc_id"))
+
+
+def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row for each repeated span that is to go: whose it is and who keeps it."""
+    return _named(repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op9_passages(spark, sf_dir: str) -> DataFrame:
+    """The same of extended spans, each whole in the document that keeps it."""
+    return _named(repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")))

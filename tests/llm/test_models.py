@@ -98,6 +98,51 @@ def test_passages_are_found_wherever_they_stand(spark):
         assert text[r.d].encode()[r.start : r.end] in text[r.kept_d].encode()
 
 
+def test_passages_of_51_words_are_cut_out(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 7)))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    passages = [fresh(51) for _ in range(400)]
+    data = [(k * 1000 + i, f"{fresh(40)} {p} {fresh(40)}") for k in (0, 1) for i, p in enumerate(passages)]
+    left = {r.doc_id: r.text for r in chunks.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(p in left[i] for i, p in enumerate(passages)) == 400
+    assert sum(p[20:-20] in left[1000 + i] for i, p in enumerate(passages)) <= 4
+    assert sum(len(left[1000 + i].split()) <= 82 for i in range(400)) >= 396
+
+
+def test_passages_are_whole_in_their_keeper(spark, rows, odd, none):
+    raw = collections.defaultdict(list)
+    for d, t in rows:
+        raw[d].append((t or "").encode())
+    got = chunks.op9_passages(spark, SF).collect()
+    assert len(got) == len(set(got)) > 100
+    for r in got:
+        (mine,), (kept,) = raw[r.doc_id], raw[r.kept_doc_id]
+        span = mine[r.start_byte : r.end_byte]
+        assert r.kept_doc_id < r.doc_id and span in kept
+        begins = [m.start() for m in re.finditer(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", mine)]
+        assert r.words == sum(r.start_byte <= b < r.end_byte for b in begins) >= 20
+    assert chunks.repeated_passages(odd).count() >= 0 and chunks.repeated_passages(none).count() == 0
+
+
+def test_windows_widen(spark, monkeypatch):
+    """Accents that differ in their second byte stand beside a passage; equal rows, no ids."""
+    rng = np.random.default_rng(5)
+    p = " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60))
+    data = [(1, f"x é{p}é y"), (2, f"z ã{p}ã w"), (2, f"z ã{p}ã w"), (None, f"{p} v"), (None, f"{p} v"), (None, f"u {p}")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = None
+    for window in (128, 2):
+        monkeypatch.setattr(chunks, "WINDOW", window)
+        got = sorted(tuple(r) for r in chunks.repeated_passages(df).select("d", "start", "end", "kept_d").collect())
+        assert want in (None, got)
+        want = got
+    n = len(p.encode())
+    big = 2**63 - 1
+    assert want == [(2, 4, 4 + n, 1), (big, 0, n, 1), (big, 2, 2 + n, 1)]
+    assert [r.text for r in chunks.dedup_substrings(df).where("doc_id = 2").collect()] == ["z ãã w"] * 2
+
+
 # -- top-k -------------------------------------------------------------------------------
 
 
