@@ -1,8 +1,8 @@
 """N-gram Jaccard join with signature trees.
 
 Documents are sets of 5-word shingles (64-bit hashes); two link when their sets' Jaccard
-similarity is at least ``least``. The result names each document's component of links.
-No link is missed:
+similarity is at least ``least``. ``jaccard_components`` names each document's component of
+links, ``jaccard_links`` counts each document's links as well. No link is missed:
 
 1. Equal sets become one node (named by the set's digest), counted by one aggregation.
    If a node links with any other, at least ``least`` of its shingles are in other nodes too.
@@ -25,6 +25,11 @@ No link is missed:
    and with block 0; blocks that this has connected need no more, and for the others each
    pair of blocks is a task of its own. No task holds more than two blocks.
 
+``jaccard_links`` makes no use of what is connected: it walks all node pairs that sizes and
+bitmaps leave, of all pairs of blocks. Tasks return a sum for each node and the links that
+connect, never all pairs, so the output stays in proportion to the nodes. Equal sets are
+links; n_links counts rows, others than the document's own.
+
 Nulls: a text without words has an empty set and links with nothing, so it is its own
 component (equal ids share it). The component of rows without any doc_id is null. Equal rows
 are equal sets. Empty tables give empty results. Other columns are not read.
@@ -375,9 +380,12 @@ def token_bits(sets: list[np.ndarray]) -> np.ndarray:
     return bits
 
 
-def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: list[int], least: float) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: list[int], least: float, counts: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that connect what ``known`` leaves apart, between left and right (which may be
-    the same rows): enough of them for the components, by a walk of both trees together."""
+    the same rows): enough of them for the components, by a walk of both trees together.
+
+    counts: (weights, sums) of the sets; then nothing is left for being connected, and each
+    link adds either side's weight to the other's sum."""
     bits = token_bits(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     forest, found = Forest(known), []
@@ -397,12 +405,19 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: li
         if most < needed_overlap(int(lowa[x]), int(lowb[y]), least):
             continue
         rows_a, rows_b = a.docs(la, x), b.docs(lb, y)
-        roots = {forest.root(int(i)) for i in rows_a}
-        if len(roots) == 1 and all(forest.root(int(i)) in roots for i in rows_b):
-            continue
+        if counts is None:
+            roots = {forest.root(int(i)) for i in rows_a}
+            if len(roots) == 1 and all(forest.root(int(i)) in roots for i in rows_b):
+                continue
         if la == 0 and lb == 0:
             overlap = np.bitwise_count(bits[rows_a][:, None, :] & bits[rows_b][None, :, :]).sum(axis=2, dtype=np.int64)
             hit = overlap >= needed_overlap(sizes[rows_a][:, None], sizes[rows_b][None, :], least)
+            if counts is not None:
+                weights, sums = counts
+                hit &= rows_a[:, None] != rows_b[None, :]
+                sums[rows_a] += hit @ weights[rows_b]
+                if not (same and x == y):
+                    sums[rows_b] += weights[rows_a] @ hit
             for i, j in zip(*np.nonzero(hit), strict=True):
                 i, j = int(rows_a[i]), int(rows_b[j])
                 if i != j and forest.join(i, j):
@@ -417,32 +432,35 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: li
     return found
 
 
-def _tasks(least: float):
-    """Rows sorted by (grp, i, j): node, block, root, text -> the links each task finds."""
+def _tasks(least: float, count: bool):
+    """Rows sorted by (grp, i, j): node, block, root, copies, text -> the links each task
+    finds, and with ``count`` each node's sum of linked copies (without b)."""
 
     def solve(rows):
-        nodes, side, sets, known, first = zip(*rows, strict=True)
+        nodes, side, sets, known, first, copies = zip(*rows, strict=True)
+        counts = (np.array(copies, np.int64), np.zeros(len(rows), np.int64)) if count else None
         side = np.array(side)
         left = np.flatnonzero(side == side.min())
         right = left if side.min() == side.max() else np.flatnonzero(side == side.max())
-        out = links(sets, left, right, known, least)
+        out = links(sets, left, right, known, least, counts)
         if right is not left and first[0]:  # the first round joins a block with itself as well
             both = Forest(known)
             for x, y in out:
                 both.join(x, y)
-            out += links(sets, right, right, [both.root(k) for k in range(len(rows))], least)
-        return [(nodes[x], nodes[y]) for x, y in out]
+            out += links(sets, right, right, [both.root(k) for k in range(len(rows))], least, counts)
+        sums = [(nodes[k], None, int(counts[1][k])) for k in np.flatnonzero(counts[1])] if count else []
+        return [(nodes[x], nodes[y], None) for x, y in out] + sums
 
     def run(batches):
         cache, key, rows, seen = WordHash(), None, [], set()
 
         def done():
             e = solve(rows) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in e], pa.int64()) for k in range(3)], ["a", "b", "n"])
 
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns[:7]]
-            for k, text in enumerate(raw_texts(batch.column(7))):
+            cols = [c.to_pylist() for c in batch.columns[:8]]
+            for k, text in enumerate(raw_texts(batch.column(8))):
                 now = (cols[0][k], cols[1][k], cols[2][k])
                 if now != key:
                     if rows:
@@ -454,7 +472,7 @@ def _tasks(least: float):
                 s = shingle_set(word_hashes(text, cache))
                 if digest(s) == node:  # else: another row of the same id
                     seen.add(node)
-                    rows.append((node, cols[4][k], s, cols[5][k], cols[6][k]))
+                    rows.append((node, cols[4][k], s, cols[5][k], cols[6][k], cols[7][k]))
         if rows:
             yield done()
 
@@ -466,16 +484,17 @@ def _near(df: DataFrame, narrow: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow, keys)
 
 
-def _linked(nodes: DataFrame, texts: DataFrame, tasks: DataFrame, least: float, first: bool) -> DataFrame:
-    """tasks: grp, i, j, block. The links found where a task's blocks meet."""
-    rows = stored(tasks.join(nodes, ["grp", "block"]).select("grp", "i", "j", "node", "block", "root"), "tasks")
-    read = _near(texts, rows, ["node"]).select("grp", "i", "j", "node", "block", "root", F.lit(first).alias("first"), "text")
+def _linked(nodes: DataFrame, texts: DataFrame, tasks: DataFrame, least: float, first: bool, count: bool = False) -> DataFrame:
+    """tasks: grp, i, j, block. What is found where a task's blocks meet (``_tasks``)."""
+    rows = stored(tasks.join(nodes, ["grp", "block"]).select("grp", "i", "j", "node", "block", "root", "copies"), "tasks")
+    read = _near(texts, rows, ["node"]).select("grp", "i", "j", "node", "block", "root", F.lit(first).alias("first"), "copies", "text")
     parts = shuffle_parts(texts.sparkSession)
-    return stored(read.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_tasks(least), "a long, b long"), "links")
+    return stored(read.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_tasks(least, count), "a long, b long, n long"), "links")
 
 
-def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
-    """doc_id, n_shingles, component_id and node (the digest of the document's set)."""
+def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, ...]:
+    """Rows with their node; nodes; texts of those that may link; their groups and blocks;
+    the first round's tasks, block j with block 0 and with itself."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
     parts = shuffle_parts(spark, text_bytes(docs), 8 << 20)
@@ -483,7 +502,7 @@ def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     both = stored(dealt.repartition(parts, "part").mapInArrow(_repeats(parts), DEALT), "sets")
     described = both.where("a is null").select("doc_id", "n", "node")
     repeated = both.where("a is not null").select("part", "a", "b").repartition(parts, "part").mapInArrow(_summed, "node long, repeated long")
-    ids = described.where("node is not null").groupBy("node").agg(F.min(doc_key()).alias("d"), F.first("n").alias("n"))
+    ids = described.where("node is not null").groupBy("node").agg(F.min(doc_key()).alias("d"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     left = ids.join(repeated, "node").where(F.col("repeated") >= F.ceil(F.lit(least) * F.col("n") - 1e-9)).select("node", "d")
     left = stored(left, "left")
     texts = _near(docs.select(doc_key().alias("d"), "text"), left, ["d"]).select("node", "d", "text").mapInArrow(_verified, "node long, d long, text string")
@@ -500,12 +519,17 @@ def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     members = stored(groups.join(ids, "node"), "members")
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     members = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = stored(members.select("grp", "node", "d", "block", "blocks", F.col("node").alias("root")), "members")
-    # First round: block j with block 0 and with itself.
+    members = stored(members.select("grp", "node", "d", "block", "blocks", "copies", F.col("node").alias("root")), "members")
     blocks = members.groupBy("grp", "block").agg(F.first("blocks").alias("blocks"))
     own = blocks.select("grp", F.lit(0).alias("i"), F.col("block").alias("j"), "block")
     zero = blocks.where("block > 0").select("grp", F.lit(0).alias("i"), F.col("block").alias("j"), F.lit(0).alias("block"))
-    found = _linked(members, texts, own.unionAll(zero), least, True)
+    return described, ids, texts, members, own.unionAll(zero)
+
+
+def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
+    """doc_id, n_shingles, component_id and node (the digest of the document's set)."""
+    described, ids, texts, members, tasks = _grouped(docs, least)
+    found = _linked(members, texts, tasks, least, True)
     if not members.where("blocks > 2").isEmpty():
         roots = components(found)
         rooted = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -515,13 +539,33 @@ def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
         pairs = stored(x.join(y, "grp").where("i < j and least(lo1, lo2) < greatest(hi1, hi2)").select("grp", "i", "j"), "pairs")
         tasks = pairs.select("grp", "i", "j", F.explode(F.array("i", "j")).alias("block"))
         found = found.unionAll(_linked(rooted, texts, tasks, least, False))
+    return _in_components(described, ids, found).select("doc_id", "n_shingles", "component_id", "node")
+
+
+def jaccard_links(docs: DataFrame, least: float = 0.75) -> DataFrame:
+    """The columns of ``jaccard_components`` and n_links, how many other rows link with it."""
+    described, ids, texts, members, tasks = _grouped(docs, least)
+    found = _linked(members, texts, tasks, least, True, True)
+    blocks = stored(members.where("blocks > 2 and block > 0").select("grp", "block").distinct(), "blocks")
+    if not blocks.isEmpty():
+        pairs = blocks.withColumnRenamed("block", "i").join(blocks.withColumnRenamed("block", "j"), "grp").where("i < j")
+        tasks = pairs.select("grp", "i", "j", F.explode(F.array("i", "j")).alias("block"))
+        found = found.unionAll(_linked(members, texts, tasks, least, False, True))
+    sums = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("_sum"))
+    out = _in_components(described, ids, found.where("b is not null")).join(sums, "node", "left")
+    n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("_sum", F.lit(0)), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_shingles", "component_id", "node", n_links.alias("n_links"))
+
+
+def _in_components(described: DataFrame, ids: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, node and copies, the rows of the same set."""
     roots = components(found)
-    named = stored(ids.join(roots, "node", "left").select("node", "d", F.coalesce("root", "node").alias("root")), "named")
+    named = stored(ids.join(roots, "node", "left").select("node", "d", "copies", F.coalesce("root", "node").alias("root")), "named")
     smallest = named.groupBy("root").agg(F.min("d").alias("component_id"))
-    classes = named.join(smallest, "root").select("node", "component_id")
+    classes = named.join(smallest, "root").select("node", "component_id", "copies")
     out = described.join(classes, "node", "left")
     own_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("component_id"), F.lit(2**63 - 1)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), "node")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), "node", "copies")
 
 
 def _chosen(batches):
@@ -560,6 +604,12 @@ def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_links(spark, sf_dir: str) -> DataFrame:
+    """op8_jaccard with the number of links of each document, all counted."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return jaccard_links(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

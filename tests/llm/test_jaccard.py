@@ -42,6 +42,23 @@ def brute(rows, num=75):
     return [(d, len(s), low.get(root(s)) if s else d) for d, s in sets]
 
 
+def brute_links(rows, num=75):
+    """(doc_id, n_shingles, component, links) over all pairs of rows."""
+    sets = [shingles(t) for _, t in rows]
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    out = []
+    for k, s in enumerate(sets):
+        near = {}
+        for x in s:
+            for o in holders[x]:
+                near[o] = near.get(o, 0) + 1
+        out.append(sum(100 * n >= num * (len(s) + len(sets[o]) - n) for o, n in near.items() if o != k))
+    return [(*r, n) for r, n in zip(brute(rows, num), out, strict=True)]
+
+
 def same(got, want):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
@@ -72,6 +89,33 @@ def test_groups_in_blocks(spark, monkeypatch, block):
     same([tuple(r)[:3] for r in jaccard.jaccard_components(df).collect()], brute(rows))
 
 
+@pytest.mark.parametrize("block", [1 << 19, 700])
+def test_every_link_is_counted(spark, monkeypatch, block, odd, none):
+    """Groups of mutual near copies, exact copies among them, in one and in several blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(6)
+    rows = []
+    for base in range(4):
+        words = [f"b{base}w{i}" for i in range(60)]
+        for k in range(40):
+            w = words[:]
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                w[rng.randrange(60)] = f"x{rng.random()}"
+            rows.append((base * 100 + k, " ".join(w)))
+    rows.append((0, rows[0][1].upper()))
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    same(got, brute_links(rows))
+    assert max(r[3] for r in got) > 20
+    mine = [(r.doc_id, r.text) for r in odd.collect()]
+    same([(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_links(odd).collect()], brute_links(mine))
+    assert jaccard.jaccard_links(none).count() == 0
+
+
+def test_links_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    same([tuple(r) for r in jaccard.op8_links(spark, SF).collect()], brute_links(rows))
+
+
 def test_odd_rows(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     same([tuple(r)[:3] for r in jaccard.jaccard_components(odd).collect()], brute(rows))
