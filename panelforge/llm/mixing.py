@@ -9,11 +9,14 @@ on documents (``weight``) make these probabilities unequal within a source as we
 
 The sample: with u a hash of the record, q = (u/(1-u)) / (p/(1-p)) orders a source's
 documents, and the first of them, as many as fill the words that certain copies left open,
-are taken. So the sample has a fixed size, in words; what remains before the first that is
-too long is filled by those next in order that still fit.
-
-The order is never sorted as a whole: words are summed by (source, slice of the order), and
-only the slice in which the target falls is ordered exactly. Sources are joined by
+are taken. So the sample has a fixed size, in words; documents longer than what is left are
+passed over, and what remains is filled by those next in order that still fit, to the end of
+the order. At last one document more is taken if that comes nearer than taking none.
+
+The order is never sorted as a whole: words of documents that may fit are summed by (source,
+slice of the order), and only the slice in which they exceed what is left is ordered exactly.
+While words are left and later slices have documents that fit, this is done again from
+there. Sources are joined by
 broadcast only after their number was checked.
 
 Nulls: a null text has size 0; a null source is a source, last in order; null ids are
@@ -33,7 +36,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 50_000
 #: Documents in one slice of a source's order, on average.
 SLICE_ROWS = 2_000
-#: Rounds that fill what the sample leaves open.
+#: Rounds that fill what is left within a slice.
 FILLS = 4
 
 
@@ -88,37 +91,51 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), mos
     extra = F.when((F.col("_v") < 1) & (F.col("_sure") < most), F.col("size")).otherwise(F.lit(0))
     df = stored(df.withColumn("_x", extra).drop("_weighted", "_docs", "_slices"), "mix")
 
-    # How many words are open in each source, and in which slice they end.
-    part = df.groupBy("source", "_k").agg(F.sum("_x").alias("_words"), F.sum(F.col("size") * F.col("_sure")).alias("_given"))
-    so_far = Window.partitionBy("source").orderBy("_k")
-    part = part.withColumn("_to", F.sum("_words").over(so_far)).withColumn("_given", F.sum("_given").over(Window.partitionBy("source")))
-    part = with_source(part, per.select("source", "target")).withColumn("_open", F.greatest(F.lit(0.0), F.col("target") - F.col("_given")))
-    edge = part.where("_to > _open").groupBy("source").agg(F.min("_k").alias("_edge"), F.min_by(F.col("_to") - F.col("_words"), F.col("_k")).alias("_before"), F.first("_open").alias("_open"))
-    edge = stored(edge, "edge")
-    df = with_source_left(df, edge, small)
-    inside = df.where("_k = _edge")
-    order = Window.partitionBy("source").orderBy("_v", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_end", F.col("_before") + F.sum("_x").over(order)).withColumn("_in", (F.col("_end") <= F.col("_open")) & (F.col("_x") > 0))
-    inside = inside.withColumn("_left", F.col("_open") - F.greatest(F.max(F.when(F.col("_in"), F.col("_end"))).over(Window.partitionBy("source")), F.col("_before")))
-    inside = inside.withColumn("_left", F.coalesce("_left", F.col("_open") - F.col("_before")))
-    # On in the same order, passing over documents longer than what is left; at last the one
-    # that fits best, if that comes nearer than taking none.
-    in_source = Window.partitionBy("source")
-    for turn in range(FILLS):
-        free = ~F.col("_in") & (F.col("_x") > 0)
-        miss = F.abs(F.col("_x") - F.col("_left"))
-        if turn < FILLS - 1:
-            fits = free & (F.col("_x") <= F.col("_left"))
+    # How many words are open in each source.
+    given = with_source(df.groupBy("source").agg(F.sum(F.col("size") * F.col("_sure")).alias("_given")), per.select("source", "target"))
+    state = stored(given.select("source", F.lit(-1).alias("_at"), F.greatest(F.lit(0.0), F.col("target") - F.col("_given")).alias("_left")), "state")
+    states, passed, decided = state, None, None
+    in_source, everything = Window.partitionBy("source"), 2**30
+    order = in_source.orderBy("_v", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    names = [*df.columns, "_more"]
+    while True:
+        # All that fit up to a slice are taken; in that slice they are chosen one by one.
+        part = with_source(df, state).where("_k > _at and _x > 0 and _x <= _left").groupBy("source", "_k").agg(F.first("_at").alias("_at"), F.first("_left").alias("_left"), F.sum("_x").alias("_words"))
+        part = part.withColumn("_fit", F.sum("_words").over(in_source.orderBy("_k")) <= F.col("_left"))
+        step = part.groupBy("source").agg(F.first("_at").alias("_at"), F.first("_left").alias("_limit"), F.min(F.when(~F.col("_fit"), F.col("_k"))).alias("_edge"), F.sum(F.when(F.col("_fit"), F.col("_words")).otherwise(0)).alias("_before"))
+        step = stored(step, "edge")
+        if step.isEmpty():
+            break
+        span = step.select("source", F.struct("_at", F.coalesce("_edge", F.lit(everything)).alias("_edge"), "_limit").alias("_span"))
+        passed = span if passed is None else passed.unionAll(span)
+        edge = step.where("_edge is not null").select("source", "_edge", (F.col("_limit") - F.col("_before")).alias("_left"))
+        inside = with_source(df, edge).where("_k = _edge").withColumn("_in", F.lit(False))
+        for _ in range(FILLS):
+            fits = ~F.col("_in") & (F.col("_x") > 0) & (F.col("_x") <= F.col("_left"))
             inside = inside.withColumn("_take", fits & (F.sum(F.when(fits, F.col("_x")).otherwise(0)).over(order) <= F.col("_left")))
-        else:
-            fits = free & (miss < F.col("_left"))
-            best = F.row_number().over(in_source.orderBy(F.when(fits, miss).asc_nulls_last(), "_v", "doc_id", "tie"))
-            inside = inside.withColumn("_take", fits & (best == 1))
-        filled = F.coalesce(F.sum(F.when(F.col("_take"), F.col("_x"))).over(in_source), F.lit(0))
-        inside = inside.withColumn("_left", F.col("_left") - filled).withColumn("_in", F.col("_in") | F.col("_take"))
-    inside = inside.withColumn("_more", F.when(F.col("_in"), 1).otherwise(0))
-    rest = df.where("_k != _edge or _edge is null").withColumn("_more", F.when(((F.col("_k") < F.col("_edge")) | F.col("_edge").isNull()) & (F.col("_x") > 0), 1).otherwise(0))
-    both = rest.unionByName(inside.select(*rest.columns))
+            filled = F.coalesce(F.sum(F.when(F.col("_take"), F.col("_x"))).over(in_source), F.lit(0))
+            inside = inside.withColumn("_left", F.col("_left") - filled).withColumn("_in", F.col("_in") | F.col("_take"))
+        inside = stored(inside.withColumn("_more", F.when(F.col("_in"), 1).otherwise(0)).select(*names, "_edge", "_left"), "inside")
+        decided = inside.select(*names) if decided is None else decided.unionAll(inside.select(*names))
+        state = stored(inside.groupBy("source").agg(F.first("_edge").alias("_at"), F.first("_left").alias("_left")), "state")
+        states = states.unionAll(state)
+    both = df.withColumn("_more", F.lit(0))
+    if passed is not None:
+        spans = stored(passed.groupBy("source").agg(F.collect_list("_span").alias("_spans")), "spans")
+        k, x = F.col("_k"), F.col("_x")
+        both = with_source_left(df, spans, small).withColumn("_spans", F.coalesce("_spans", F.array().cast(spans.schema["_spans"].dataType)))
+        both = both.where(~F.exists("_spans", lambda s: s["_edge"] == k))
+        taken = F.exists("_spans", lambda s: (s["_at"] < k) & (k < s["_edge"]) & (x <= s["_limit"])) & (x > 0)
+        both = stored(both.withColumn("_more", F.when(taken, 1).otherwise(0)).select(*names).unionAll(decided), "mix")
+    # At last the one that fits best, if that comes nearer than taking none.
+    last = stored(states.groupBy("source").agg(F.max_by("_left", "_at").alias("_left")), "left")
+    miss = F.abs(F.col("_x") - F.col("_left"))
+    fits = (F.col("_more") == 0) & (F.col("_x") > 0) & (miss < F.col("_left"))
+    best = with_source(both, last).where(fits).groupBy("source").agg(F.min(F.struct(miss.alias("_miss"), "_v", "_k"))["_k"].alias("_best"), F.first("_left").alias("_left"))
+    both = with_source_left(both, stored(best, "best"), small)
+    first = F.row_number().over(in_source.orderBy(F.when(fits, miss).asc_nulls_last(), "_v", "doc_id", "tie")) == 1
+    near = both.where("_k = _best").withColumn("_more", F.when(fits & first, 1).otherwise(F.col("_more")))
+    both = both.where("_best is null or _k != _best").unionByName(near)
     return both.select("doc_id", "source", "size", "tie", "source_size", "target", (F.col("_sure") + F.col("_more")).cast("int").alias("copies"))
 
 

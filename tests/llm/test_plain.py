@@ -64,6 +64,18 @@ def test_mixing_weights_and_odd_rows(spark, odd, none):
     assert mixing.mix_documents(none).count() == 0
 
 
+def test_mixing_goes_on_past_long_documents(spark, monkeypatch):
+    """Sources of several slices, each with documents longer than the words that are open."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 100)
+    a = spark.range(40 * 603).select(F.col("id").alias("doc_id"), F.format_string("a%02d", F.floor(F.col("id") / 603)).alias("source"), F.when(F.col("id") % 603 < 600, 100).when(F.col("id") % 603 == 600, 60_000).otherwise(15_000).cast("long").alias("size"), F.col("id").alias("tie"))
+    b = spark.range(400).select((F.col("id") + 1_000_000).alias("doc_id"), F.lit("b").alias("source"), F.lit(15_000).cast("long").alias("size"), F.col("id").alias("tie"))
+    got = mixing.mix_sizes(a.unionAll(b), weights=(1.0,) * 40 + (320.0,)).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"), F.max("copies").alias("most")).collect()
+    assert sorted(r.n for r in got) == [400] + [603] * 40 and max(r.most for r in got) <= 3
+    assert all(abs(r.taken - r.target) <= 100 for r in got if r.source != "b")
+
+
 def test_sharding(spark, rows, odd, none):
     got = sharding.op4_sharding(spark, SF).collect()
     text = {d: t for d, t, _ in rows}
