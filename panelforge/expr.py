@@ -107,7 +107,7 @@ def Const(value: float | int | str) -> Node:
     value = float(value)
     if math.isnan(value):
         raise ValueError("write a missing constant as 'nan'")
-    return Node("const", "const", (), (value,))
+    return Node("const", "const", (), (value,) if value or math.copysign(1.0, value) > 0 else (value, "-"))
 
 
 def Input(name: str) -> Node:

@@ -6,7 +6,7 @@ import math
 
 from panelforge.expr import Const, Node, as_node, elem
 
-__all__ = ["Abs", "Add", "AddConst", "And", "Clip", "Div", "DivConst", "Equals", "Exp", "GreaterEqual", "GreaterThan", "GreaterThanConst", "LessEqual", "LessThan", "LessThanConst", "Log", "Max", "Min", "Mul", "MulConst", "Not", "Or", "Pow", "ReturnFirstValue", "Select", "SetInfOrNanToValue", "Sign", "Sqrt", "Sub", "SubConst", "bool_to_10"]
+__all__ = ["Abs", "Add", "AddConst", "And", "Clip", "Div", "DivConst", "Elementwise", "Equals", "Exp", "GreaterEqual", "GreaterThan", "GreaterThanConst", "LessEqual", "LessThan", "LessThanConst", "Log", "Max", "Min", "Mul", "MulConst", "Not", "Or", "Pow", "ReturnFirstValue", "Select", "SetInfOrNanToValue", "Sign", "Sqrt", "Sub", "SubConst", "bool_to_10"]
 
 
 def _binary(op: str, boolean: bool = False):
@@ -44,6 +44,11 @@ GreaterThanConst, LessThanConst = _const("gt", True), _const("lt", True)
 Abs, Sqrt, Log, Exp, Sign = map(_unary, ("abs", "sqrt", "log", "exp", "sign"))
 
 
+def Elementwise(build, *args) -> Node:
+    """A user operator on one row: ``build(*columns)`` returns a Column of numbers."""
+    return elem("user_elem", *args, params=(build,))
+
+
 def Not(a) -> Node:
     return elem("not", a, boolean=True)
 

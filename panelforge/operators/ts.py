@@ -41,9 +41,11 @@ def WindowedQuantile(x, window: int, q: float) -> Node:
     return windowed("quantile", window, x, params=(float(q),))
 
 
-def WindowedReduce(x, window: int, merge, zero: float, finish=None) -> Node:
-    """A user fold over the window, oldest row first: ``merge`` and ``finish`` build Columns."""
-    return windowed("reduce", window, x, params=(merge, float(zero), finish))
+def WindowedReduce(x, window: int, merge, zero: float, finish=None, others: tuple = (), indexed: bool = False) -> Node:
+    """A user fold over the window, oldest row first; ``merge`` and ``finish`` build Columns:
+    merge(acc, x, *others), with ``indexed`` merge(acc, index, x, *others), the index being 0
+    for the oldest row."""
+    return windowed("reduce", window, x, *others, params=(merge, float(zero), finish, indexed))
 
 
 def delta(x, window: int = 1) -> Node:

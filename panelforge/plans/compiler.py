@@ -9,16 +9,18 @@ the batch and not the sum over factors. Columns are dropped after their last rea
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelforge.expr import Node, Output, walk
-from panelforge.plans import lower
+from panelforge.plans import lower, vector
+
+#: Operators that cost the width of their window for every row as Columns.
+WIDE = {"ts_rank", "drawdown", "quantile"}
+#: Windowed operators up to which a plan is Columns.
+FEW = 3
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,8 @@ class FactorPlan:
     dtype: str = "double"
     order: list[Node] = field(default_factory=list)
     place: dict[int, tuple[int, int]] = field(default_factory=dict)
+    #: Decimals at which ranks, comparisons and positions of extremes tell numbers apart.
+    digits: int | None = None
 
     @property
     def output_names(self) -> list[str]:
@@ -56,22 +60,38 @@ class FactorPlan:
             out.append(("time" if phase % 2 else "instrument", [found[k] for k in sorted(found) if k[0] == phase]))
         return out
 
+    def engine(self, wish: str = "auto") -> str:
+        if wish not in ("auto", "columns", "arrow"):
+            raise ValueError("engine is 'auto', 'columns' or 'arrow'")
+        windowed = [n for n in self.order if n.kind in ("ts", "scan", "xs")]
+        own = sorted({n.op for n in self.order} & vector.COLUMNS_ONLY)
+        if wish == "arrow" and own:
+            raise ValueError(f"{', '.join(own)}: built from Columns, which only engine='columns' runs")
+        if wish == "auto":
+            heavy = len(windowed) > FEW or any(n.kind == "scan" or n.op in WIDE for n in windowed)
+            return "arrow" if heavy and not own else "columns"
+        return wish if windowed else "columns"
+
     def explain(self) -> str:
         lines = []
         for i, (what, steps) in enumerate(self.phases()):
             lines += [f"phase {i} by {what}"] + [f"  step {k}: {', '.join(map(repr, s))}" for k, s in enumerate(steps)]
         return "\n".join(lines + [f"outputs: {', '.join(self.outputs)}"])
 
-    def run(self, panel: DataFrame, sym: str = "sym", t: str = "t", start=None, length: int | None = None, initial: DataFrame | None = None, warmup: bool = False) -> DataFrame:
+    def run(self, panel: DataFrame, sym: str = "sym", t: str = "t", start=None, length: int | None = None, initial: DataFrame | None = None, warmup: bool = False, engine: str = "auto") -> DataFrame:
         """(sym, t, one column for each output). ``panel`` has unique (sym, t).
 
+        engine: "columns" (window expressions), "arrow" (one pass for each phase, vector.py), or
+        "auto": columns for plans of few windowed operators and for those that users build from
+        Columns.
+
         start and length slice whole time steps before anything is computed, so windows do
         not see earlier rows; with ``warmup`` they do and only the result is sliced."""
         steps = None
         if start is not None or length is not None:
             steps = time_slice(panel, t, start or 0, length)
             panel = panel if warmup else panel.join(steps, t, "left_semi")
-        out = _Run(self, sym, t).over(panel, initial)
+        out = _Run(self, sym, t).over(panel, initial, self.engine(engine))
         return out.join(steps, t, "left_semi") if warmup and steps is not None else out
 
 
@@ -84,7 +104,10 @@ def time_slice(panel: DataFrame, t: str, start: int, length: int | None) -> Data
     return times.where(keep).select(t)
 
 
-def compile_factors(factors: dict[str, Node] | list[Output], dtype: str = "double") -> FactorPlan:
+def compile_factors(factors: dict[str, Node] | list[Output], dtype: str = "double", digits: int | None = None) -> FactorPlan:
+    """digits: decimals at which numbers count as equal where they are ranked or compared. The
+    order of additions differs between partitionings and engines; without it, ranks of numbers
+    that are equal on paper hang on their last bit."""
     if not isinstance(factors, dict):
         names = [o.name for o in factors]
         if twice := [k for k, v in Counter(names).items() if v > 1]:
@@ -108,7 +131,7 @@ def compile_factors(factors: dict[str, Node] | list[Output], dtype: str = "doubl
             else:
                 before = (phase + 1, 0)
         place[id(n)] = before
-    return FactorPlan(dict(factors), dtype, order, place)
+    return FactorPlan(dict(factors), dtype, order, place, digits)
 
 
 class _Run:
@@ -135,7 +158,11 @@ class _Run:
             return F.lit(node.params[0]).cast("double")
         if node.kind != "elem":
             raise AssertionError(f"{node!r} is not there yet")
-        return lower.elementwise(node, [self.expr(a) for a in node.args])
+        return lower.elementwise(node, self.args(node))
+
+    def args(self, node: Node) -> list[Column]:
+        found = [self.expr(a) for a in node.args]
+        return [lower.at_digits(a, self.plan.digits) for a in found] if node.op in lower.COMPARES else found
 
     def needed(self, done: set[int]) -> tuple[set[int], set[int]]:
         """Nodes with a column, and those still without, that something not yet computed reads."""
@@ -171,7 +198,7 @@ class _Run:
             self.column |= {id(n): self.name[id(n)] for n in todo[k]}
         return df
 
-    def over(self, panel: DataFrame, initial: DataFrame | None) -> DataFrame:
+    def over(self, panel: DataFrame, initial: DataFrame | None, engine: str) -> DataFrame:
         plan, sym, t = self.plan, self.sym, self.t
         if missing := [c for c in plan.inputs if c not in panel.columns]:
             raise ValueError(f"the panel has no column {', '.join(missing)}")
@@ -182,6 +209,8 @@ class _Run:
             if initial is None:
                 raise ValueError("the plan has initial values: pass initial=")
             df = df.join(initial.select(sym, *[F.col(n.params[0]).cast("double").alias(self.name[id(n)]) for n in started]), sym, "left")
+        if engine == "arrow":
+            return vector.run(plan, df.select(sym, t, *[self.name[id(n)] for n in leaves]), sym, t)
         self.column = {id(n): self.name[id(n)] for n in leaves}
         done: set[int] = set()
         wants_pos = [n for n in plan.order if n.op in lower.NEEDS_POS and n.kind == "ts"]
@@ -197,14 +226,14 @@ class _Run:
                 cols = []
                 for n in plain:
                     make = lower.look_back if n.kind == "ts" else lower.cross_section
-                    cols.append(make(n, [self.expr(a) for a in n.args], self.frames).alias(self.name[id(n)]))
+                    cols.append(make(n, self.args(n), self.frames).alias(self.name[id(n)]))
                 if pool := self.frames.pool:
                     df = df.select("*", *[c.alias(k) for k, c in pool.values()])
                     self.frames.pool = {}
                 if cols:
                     df = df.select("*", *cols)
                 if scans:
-                    df = self.fold(df, scans)
+                    df = vector.fold(df, [(self.name[id(n)], n, [self.expr(a) for a in n.args]) for n in scans], sym, t)
                 self.column |= {id(n): self.name[id(n)] for n in nodes}
                 done |= {id(n) for n in nodes}
                 keep, _ = self.needed(done)
@@ -213,29 +242,3 @@ class _Run:
                 df = df.select(sym, t, *sorted(set(self.column.values())), *[self.pos] * has_pos)
         df = self.share(df, done)
         return df.select(sym, t, *[(F.when(self.expr(n), 1.0).otherwise(0.0) if n.boolean else self.expr(n)).cast(plan.dtype).alias(k) for k, n in plan.outputs.items()])
-
-    def fold(self, df: DataFrame, scans: list[Node]) -> DataFrame:
-        """Recurrences: one pass over each instrument's rows in time order (linear)."""
-        feeds = []
-        for n in scans:
-            feeds += [self.expr(a).alias(f"_f{self.name[id(n)]}_{i}") for i, a in enumerate(n.args)]
-        df = df.select("*", *feeds)
-        schema = T.StructType(list(df.schema.fields) + [T.StructField(self.name[id(n)], T.DoubleType()) for n in scans])
-        jobs = [(self.name[id(n)], len(n.args), n.params) for n in scans]
-        return df.groupBy(self.sym).applyInPandas(_folder(jobs, self.t), schema)
-
-
-def _folder(jobs: list, t: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(t, kind="stable")
-        for name, width, (step, init, has_initial) in jobs:
-            feeds = [rows[f"_f{name}_{i}"].to_numpy(dtype="float64", na_value=float("nan")).tolist() for i in range(width)]
-            state = feeds.pop()[0] if has_initial and len(rows) else init
-            out = []
-            for row in zip(*feeds, strict=True):
-                state, value = step(state, *row)
-                out.append(value)
-            rows[name] = pd.Series(out, index=rows.index, dtype="float64").replace({float("nan"): None}).astype("float64")
-        return rows
-
-    return run

@@ -25,8 +25,15 @@ def clean(x: Column) -> Column:
     return F.nanvl(x, null())
 
 
+def at_digits(x: Column, digits: int | None) -> Column:
+    """What comparisons see: numbers that agree to so many decimals are ties."""
+    return x if digits is None else F.floor(x * F.lit(10.0**digits) + F.lit(0.5), F.lit(0)) / F.lit(10.0**digits)
+
+
 def divide(a: Column, b: Column) -> Column:
-    at_zero = F.when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF))
+    # The sign of a zero shows in atan2 only.
+    side = F.when(F.atan2(b, F.lit(-1.0)) < 0, F.lit(-INF)).otherwise(F.lit(INF))
+    at_zero = F.when(a > 0, side).when(a < 0, -side)
     return clean(F.when(b == 0, at_zero).otherwise(F.try_divide(a, b)))
 
 
@@ -71,7 +78,13 @@ ELEM: dict[str, Callable[..., Column]] = {
 SPELLS_TWICE = {"div", "max", "min", "log", "pow", "finite_or"}
 
 
+#: Operators that compare: their numbers are taken at the plan's digits.
+COMPARES = {"gt", "ge", "lt", "le", "eq", "sign", "rank", "ts_rank", "argmax", "argmin"}
+
+
 def elementwise(node: Node, args: list[Column]) -> Column:
+    if node.op == "user_elem":
+        return clean(node.params[0](*args).cast("double"))
     if node.op == "finite_or":
         x = args[0]
         return F.when(x.isNull() | (F.abs(x) == INF), F.lit(node.params[0])).otherwise(x)
@@ -131,6 +144,8 @@ def look_back(node: Node, args: list[Column], fr: Frames) -> Column:
             vx, vy = frame(F.var_samp(x)), frame(F.var_samp(y))  # nothing is missing where the result counts
             cov = F.when((vx > 0) & (vy > 0), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
         return clean(full(w, frame, cov, x, y))
+    if op == "reduce":
+        return _fold(args, w, frame, node.params)
     if op in _STRICT:
         return clean(full(w, frame, _STRICT[op](x, w, frame, pos, node.params), x))
     raise ValueError(f"unknown windowed operator {op}")
@@ -149,9 +164,17 @@ def _drawdown(x, w, frame, pos, params):
     return divide(peak - trough, peak)
 
 
-def _reduce(x, w, frame, pos, params):
-    _, merge, zero, finish = params
-    return F.aggregate(frame(F.collect_list(x)), F.lit(zero), merge, finish)
+def _fold(args, w, frame, params):
+    """merge(acc, x) for one input; merge(acc, index, x, y, ...) with an index or more inputs."""
+    _, merge, zero, finish, indexed = params
+    row = F.struct(*[a.alias(f"x{i}") for i, a in enumerate(args)])
+    rows = F.transform(frame(F.collect_list(row)), lambda r, i: F.struct(i.alias("i"), r.alias("r")))
+    rest = lambda e: [e["r"][f"x{k}"] for k in range(len(args))]
+    step = (lambda acc, e: merge(acc, e["i"], *rest(e))) if indexed else (lambda acc, e: merge(acc, *rest(e)))
+    whole = F.lit(True)
+    for a in args:
+        whole = whole & (frame(F.count(a)) == w)
+    return clean(F.when(whole, F.aggregate(rows, F.lit(zero), step, finish)))
 
 
 def _decay(x, w, frame, pos, params):
@@ -175,7 +198,6 @@ _STRICT: dict[str, Callable] = {
     "decay": _decay,
     "ts_rank": _ts_rank,
     "drawdown": _drawdown,
-    "reduce": _reduce,
 }
 #: Operators that need the row number within the instrument.
 NEEDS_POS = {"slope", "resi", "rsquare", "argmax", "argmin", "decay"}

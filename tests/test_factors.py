@@ -89,7 +89,7 @@ def test_plan_shape(panel):
     assert [w for w, _ in plan.phases()] == ["instrument", "time", "instrument"]
     assert plan.lookback == {"a": 6, "b": 0, "c": 4} and plan.inputs == ["x", "y"]
     text = plan.run(panel)._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange hashpartitioning") == 3
+    assert text.count("Exchange hashpartitioning") == 3 and text.count("MapInArrow") == 3
     assert op.WindowedSum(X, 5) is op.WindowedSum(X, 5) and op.Max(X, Y) is not op.Max(Y, X) and op.Add(X, Y) is op.Add(Y, X)
 
 
