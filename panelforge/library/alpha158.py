@@ -58,7 +58,8 @@ WINDOWS = (5, 10, 20, 30, 60)
 
 def alpha158(config: dict | None = None, vwap: Node | None = None) -> dict[str, Node]:
     """Name -> factor. Keys of config: kbar, price {windows, feature}, volume {windows} and
-    rolling {windows, include, exclude}; a key that is absent leaves its group out."""
+    rolling {windows, include, exclude}; a key that is absent leaves its group out. A price
+    feature is the name of a series or a pair (name, series)."""
     config = DEFAULT if config is None else config
     base: dict = {k: Input(k) for k in ("open", "high", "low", "close", "volume")}
     base["vwap"] = vwap if vwap is not None else Input("amount") / (base["volume"] + 1e-6)
@@ -67,10 +68,10 @@ def alpha158(config: dict | None = None, vwap: Node | None = None) -> dict[str,
     if "kbar" in config:
         out |= {k: parse(v, base) for k, v in KBAR.items()}
     if "price" in config:
-        for field in config["price"].get("feature", ["OPEN", "HIGH", "LOW", "CLOSE", "VWAP"]):
+        for field in config["price"].get("feature", ["OPEN", "HIGH", "LOW"]):
+            name, own = (field, base[field.lower()]) if isinstance(field, str) else field
             for d in config["price"].get("windows", range(5)):
-                name = field.lower()
-                out[f"{field.upper()}{d}"] = parse(f"delay({name}, {d}) / close" if d else f"{name} / close", base)
+                out[f"{name.upper()}{d}"] = parse(f"delay(own, {d}) / close" if d else "own / close", base | {"own": own})
     if "volume" in config:
         for d in config["volume"].get("windows", range(5)):
             out[f"VOLUME{d}"] = parse(f"delay(volume, {d}) / (volume + 1e-12)" if d else "volume / (volume + 1e-12)", base)

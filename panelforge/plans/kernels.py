@@ -22,7 +22,7 @@ def at_digits(x: np.ndarray, digits: int | None) -> np.ndarray:
     if digits is None:
         return x
     scale = 10.0**digits
-    return np.floor(x * scale + 0.5) / scale
+    return np.rint(x * scale) / scale
 
 
 # -- element-wise ------------------------------------------------------------------------

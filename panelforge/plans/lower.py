@@ -27,13 +27,12 @@ def clean(x: Column) -> Column:
 
 def at_digits(x: Column, digits: int | None) -> Column:
     """What comparisons see: numbers that agree to so many decimals are ties."""
-    return x if digits is None else F.floor(x * F.lit(10.0**digits) + F.lit(0.5), F.lit(0)) / F.lit(10.0**digits)
+    return x if digits is None else F.rint(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
 
 
 def divide(a: Column, b: Column) -> Column:
-    # The sign of a zero shows in atan2 only.
-    side = F.when(F.atan2(b, F.lit(-1.0)) < 0, F.lit(-INF)).otherwise(F.lit(INF))
-    at_zero = F.when(a > 0, side).when(a < 0, -side)
+    # -0.0 ** -1 is -inf: the sign of a zero counts, as in IEEE division.
+    at_zero = F.when(a != 0, a * F.pow(b, F.lit(-1.0)))
     return clean(F.when(b == 0, at_zero).otherwise(F.try_divide(a, b)))
 
 

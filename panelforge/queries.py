@@ -17,7 +17,9 @@ from panelforge.library.alpha101 import alpha101
 from panelforge.library.alpha158 import alpha158
 from panelforge.operators.agg import aggregate, corr_with
 from panelforge.plans.compiler import compile_factors
-from panelforge.sources.panels import densify, events_panel, lineitem_panel
+from panelforge.plans.sqltext import to_sql
+from panelforge.sources.panels import align, densify, events_panel, lineitem_panel, nation_panel
+from panelforge.streaming.ticks import run_stream
 
 A, B, C = Input("a"), Input("b"), Input("c")
 
@@ -60,6 +62,10 @@ def _window(expr: str, w: int, gate: str = "a", more: str = "") -> str:
 
 
 W = 5
+LAST5 = "list(a) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+WHOLE5 = f", q AS (SELECT *, CASE WHEN count(a) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 THEN {LAST5} END AS l FROM p)"
+SO_FAR = ", q AS (SELECT *, list(a) FILTER (WHERE a IS NOT NULL) OVER (PARTITION BY sym ORDER BY t) AS l FROM p)"
+EMA = "list_reduce({l}, lambda acc, v: acc * (1 - 2.0::DOUBLE / 6) + v * (2.0::DOUBLE / 6))"
 BOTH = "CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 END"
 RANK = "CASE WHEN a IS NOT NULL THEN (rank() OVER (PARTITION BY t ORDER BY a NULLS LAST) + (count(a) OVER (PARTITION BY t, a) - 1) / 2.0) / count(a) OVER (PARTITION BY t) END"
 ZERO = A - A
@@ -88,14 +94,19 @@ FACTORS: dict[str, tuple[Node, str]] = {
     "ew_min": (op.Min(A, C), _select("CASE WHEN a < c THEN a ELSE c END")),
     "ew_abs": (op.Abs(A - 0.5), _select("abs(a - 0.5)")),
     "ew_sqrt": (op.Sqrt(A - 0.5), _select("CASE WHEN a >= 0.5 THEN sqrt(a - 0.5) END")),
-    "ew_log": (op.Log(A - 1), _select("CASE WHEN a = 1 THEN '-inf'::DOUBLE END")),
+    "ew_log": (op.Log(A), _select("ln(a)")),
+    "ew_log_edges": (op.Log(A - 0.5) + op.Log(op.Max(A, 1) - 1), _select("CASE WHEN a > 0.5 THEN '-inf'::DOUBLE END")),
     "ew_exp": (op.Exp(A), _select("exp(a)")),
     "ew_sign": (op.Sign(A - 0.5), _select("sign(a - 0.5)")),
     "ew_setinfornan": (op.SetInfOrNanToValue(op.Div(A, ZERO), 7), _select("7")),
+    "ew_setinfornan_finite": (op.SetInfOrNanToValue(op.Div(A, op.Select(A > 0.5, B, ZERO)), -2), _select("CASE WHEN a > 0.5 THEN a / b ELSE -2 END")),
+    "ew_div_signed_zero": (op.Div(A, (A - A) * -1), _select("CASE WHEN a > 0 THEN '-inf'::DOUBLE END")),
+    "ew_user": (op.Elementwise(lambda x, y: F.hypot(x, y), A, B), _select("sqrt(a * a + b * b)")),
     "ew_select": (op.Select(A > 0.5, B, C), _select("CASE WHEN a > 0.5 THEN b ELSE c END")),
     "ew_clip": (op.Clip(A - 0.5, 0.2), _select("CASE WHEN a IS NULL THEN 0.2 ELSE greatest(least(a - 0.5, 0.2), -0.2) END")),
     "ew_pow": (op.Pow(A, C), _select("pow(a, c)")),
     "ew_pow_const": (op.Pow(A, 2.5) + op.Pow(A, 3) + op.Pow(A, -2), _select("pow(a, 2.5) + pow(a, 3) + pow(a, -2)")),
+    "ew_pow_edges": (op.Pow(A - 0.5, C) + op.Pow(A - A, C) + op.SetInfOrNanToValue(op.Pow(A - A, 0 - C), 9), _select("CASE WHEN a >= 0.5 THEN pow(a - 0.5, c) + 9 END")),
     "ew_constant": (op.ReturnFirstValue(A * 0 + Const(4), B), _select("CASE WHEN a IS NOT NULL THEN 4 END")),
     "ts_backref": (op.BackRef(A, 3), _select("lag(a, 3) OVER (PARTITION BY sym ORDER BY t)")),
     "ts_delta": (op.delta(A, 2), _select("a - lag(a, 2) OVER (PARTITION BY sym ORDER BY t)")),
@@ -123,10 +134,11 @@ FACTORS: dict[str, tuple[Node, str]] = {
     "xs_scale": (op.Scale(A), _select("a / sum(abs(a)) OVER (PARTITION BY t)")),
     "xs_diffwithweightedsum": (op.DiffWithWeightedSum(A, B), _select("CASE WHEN count(a * b) OVER (PARTITION BY t) = count(*) OVER (PARTITION BY t) THEN a - sum(a * b) OVER (PARTITION BY t) END")),
     "xs_user": (op.CrossSectional(lambda w, x: x - F.avg(x).over(w), A), _select("a - avg(a) OVER (PARTITION BY t)")),
-    "ts_user_reduce": (op.WindowedReduce(A, W, lambda acc, x: acc * 0.5 + x, 0.0), ""),
-    "ts_maxdrawdown": (op.WindowedMaxDrawdown(A, W), ""),
-    "st_ema": (op.ExpMovingAvg(A, W), ""),
-    "st_accumulate": (op.Accumulate(lambda acc, x: (x > 0.5, acc + x), A), ""),
+    "ts_user_reduce": (op.WindowedReduce(A, W, lambda acc, x: acc * 0.5 + x, 0.0), _select("l[5] + l[4] / 2 + l[3] / 4 + l[2] / 8 + l[1] / 16", WHOLE5)),
+    "ts_user_fold": (op.WindowedReduce(A, W, lambda acc, i, x, y: acc + i * x * y, 0.0, others=(A * 2,), indexed=True), _select("2 * (l[2] * l[2] + 2 * l[3] * l[3] + 3 * l[4] * l[4] + 4 * l[5] * l[5])", WHOLE5)),
+    "ts_maxdrawdown": (op.WindowedMaxDrawdown(A, W), _select("(list_max(l) - list_min(l[list_position(l, list_max(l)):])) / list_max(l)", WHOLE5)),
+    "st_ema": (op.ExpMovingAvg(A, W), _select(EMA.format(l="l"), SO_FAR)),
+    "st_accumulate": (op.Accumulate(lambda acc, x: (x > 0.5, acc + x), A), _select("list_reduce(list_prepend(0.0::DOUBLE, coalesce(l, [])), lambda acc, v: CASE WHEN v > 0.5 THEN acc + v ELSE acc END)", SO_FAR)),
 }
 
 
@@ -151,10 +163,46 @@ def _corr_sql(x: str) -> str:
     return f"{PANEL}, q AS (SELECT t, ({x}) AS x, b AS y FROM p) SELECT t, CASE WHEN count(x) = count(*) AND count(y) = count(*) AND var_samp(x) > 0 AND var_samp(y) > 0 THEN round(covar_samp(x, y) / (sqrt(var_samp(x)) * sqrt(var_samp(y))), 6) + 0.0 END AS ic FROM q GROUP BY t"
 
 
+def _runs(spark, sf_dir: str) -> DataFrame:
+    """A label that comes back: each run of it is a group."""
+    out = aggregate(panel(spark, sf_dir), F.pmod(F.quarter("t"), F.lit(2)).cast("long"), {"count": ("a", "count"), "high": ("a", "max"), "last": ("a", "last")}, runs=True)
+    return out.select("sym", "label", F.col("run").cast("long").alias("run"), "count", F.round("high", 6).alias("high"), F.round("last", 6).alias("last"))
+
+
+RUNS = f"""{PANEL}, q AS (SELECT *, (quarter(t) % 2)::BIGINT AS label FROM p), f AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY sym ORDER BY t) THEN 0 ELSE 1 END AS fresh FROM q),
+g AS (SELECT *, (sum(fresh) OVER (PARTITION BY sym ORDER BY t))::BIGINT AS run FROM f)
+SELECT sym, label, run, count(*) AS count, CASE WHEN count(a) = count(*) THEN round(max(a), 6) END AS high, round(arg_max_null(a, t), 6) AS last FROM g GROUP BY 1, 2, 3"""
+
+
 def _ema_init(spark, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir)
     first = p.groupBy("sym").agg(F.lit(0.5).alias("init_a"))
-    return compile_factors({"value": op.ExpMovingAvg(A, W, init=InitialValue("init_a"))}).run(p, initial=first)
+    out = compile_factors({"value": op.ExpMovingAvg(A, W, init=InitialValue("init_a"))}).run(p, initial=first)
+    return out.select("sym", "t", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+def _stream(spark, sf_dir: str) -> DataFrame:
+    """The panel as a stream of yearly files, a file a batch; what the batches emitted."""
+    import uuid
+
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/ticks-{uuid.uuid4().hex}"
+    p = panel(spark, sf_dir).select("sym", "t", "a", F.year("t").alias("year")).cache()
+    for (year,) in p.select("year").distinct().orderBy("year").collect():
+        p.where(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    p.unpersist()
+    plan = compile_factors({"value": op.Rank(op.WindowedAvg(A, W))}, digits=9)
+    ticks = spark.readStream.schema("sym long, t timestamp, a double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    emit = lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+    run_stream(ticks, plan, f"{base}/state", f"{base}/check", emit).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("sym", "t", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+def _aligned(spark, sf_dir: str) -> DataFrame:
+    """Features of two tables by (sym, t), and the correlation of one with the other's."""
+    left, right = panel(spark, sf_dir).select("sym", "t", "a"), panel(spark, sf_dir).where("b < 0.9").select(F.col("sym").alias("supplier"), F.col("t").alias("month"), "b")
+    both = align({"": (left, "sym", "t"), "r_": (right, "supplier", "month")})
+    out = compile_factors({"value": Input("a") - op.BackRef(Input("r_b"), 1)}).run(both)
+    return out.select("sym", "t", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 def _slice(spark, sf_dir: str) -> DataFrame:
@@ -164,8 +212,6 @@ def _slice(spark, sf_dir: str) -> DataFrame:
 
 SLICE = f"""{PANEL}, q AS (SELECT * FROM p WHERE pos > 10 AND pos <= 30) SELECT sym, t, CASE WHEN count(a) OVER w = 3 THEN round(sum(a) OVER w, 6) END AS value FROM q WINDOW w AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""
 
-SAFE = ("alpha012", "alpha041", "alpha053", "alpha101")
-
 
 def _alphas(names) -> Callable:
     return lambda spark, sf_dir: compile_factors(alpha101(list(names))).run(panel(spark, sf_dir))
@@ -185,10 +231,50 @@ s AS (SELECT *, CASE WHEN coalesce(ret < 0, false) THEN CASE WHEN count(ret) OVE
 m AS (SELECT *, CASE WHEN count(x) OVER w = 5 THEN arg_max(pos, row(x * x, -pos)) OVER w - (pos - 5) END AS g FROM s WINDOW w AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
 SELECT sym, t, CASE WHEN g IS NOT NULL THEN (rank() OVER (PARTITION BY t ORDER BY g NULLS LAST) + (count(g) OVER (PARTITION BY t, g) - 1) / 2.0) / count(g) OVER (PARTITION BY t) END AS alpha001 FROM m"""
 
+# -- the factor libraries, on a panel with a long history ------------------------------------
+
+WEEKS = """
+WITH bars AS (SELECT s_nationkey::BIGINT AS sym, date_trunc('week', l_shipdate)::TIMESTAMP AS t, arg_min(price, row(l_shipdate, l_orderkey, l_linenumber)) AS open, max(price) AS high,
+  min(price) AS low, arg_max(price, row(l_shipdate, l_orderkey, l_linenumber)) AS close, sum(l_quantity)::DOUBLE / 1000 AS volume, sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE / 1e6 AS amount
+  FROM (SELECT *, l_extendedprice / l_quantity / 1000 AS price FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) GROUP BY 1, 2),
+p AS (SELECT s.sym, d.t, open, high, low, close, volume, amount, row_number() OVER (PARTITION BY s.sym ORDER BY d.t) AS pos
+  FROM (SELECT DISTINCT sym FROM bars) s CROSS JOIN (SELECT DISTINCT t FROM bars) d LEFT JOIN bars b ON b.sym = s.sym AND b.t = d.t)"""
+
+
+def weeks(spark, sf_dir: str) -> DataFrame:
+    return densify(nation_panel(spark, sf_dir)).withColumn("sym", F.col("sym").cast("long"))
+
+
+def _library(factors: dict[str, Node]) -> tuple[Callable, str]:
+    """A query and its SQL, from the factors' definitions (sqltext.py). Ranks and comparisons
+    take numbers at nine decimals in both: beyond, they hang on the order of additions."""
+    plan = compile_factors(factors, digits=9)
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        out = plan.run(weeks(spark, sf_dir))
+        return out.select("sym", "t", *[F.when(F.abs(c) == float("inf"), F.signum(c) * 1e300).otherwise(F.rint(F.rint(F.col(c) * 1e9) / 1e9 * 1e6) / 1e6 + F.lit(0.0)).alias(c) for c in plan.output_names])
+
+    return run, to_sql(plan, WEEKS, lambda x: f"CASE WHEN isinf({x}) THEN sign({x}) * 1e300 ELSE round_even(round_even({x} * 1e9, 0) / 1e9 * 1e6, 0) / 1e6 + 0.0 END")
+
+
+def _libraries() -> dict[str, tuple[Callable, str]]:
+    found = {k: _library({k: f}) for k, f in alpha101().items() if k != "alpha001"}
+    features = alpha158() | alpha158({"price": {}, "volume": {}})
+    families: dict[str, dict[str, Node]] = {}
+    for k, f in features.items():
+        families.setdefault("kbar" if k[0] == "K" else k.rstrip("0123456789").lower(), {})[k] = f
+    return found | {f"a158_{k}": _library(v) for k, v in families.items()}
+
+
+LIBRARIES = _libraries()
 QUERIES: dict[str, Callable] = {"alpha001": flagship} | {k: _factor(node) for k, (node, _) in FACTORS.items()}
 QUERIES |= {
-    "aggregate": _agg, "corr_with": _corr(False), "rank_ic": _corr(True), "st_ema_init": _ema_init, "time_slice": _slice, "events_panel": _events,
+    "aggregate": _agg, "aggregate_runs": _runs, "stream_rank": _stream, "align": _aligned, "corr_with": _corr(False), "rank_ic": _corr(True), "st_ema_init": _ema_init, "time_slice": _slice, "events_panel": _events,
     "alpha101_all": _alphas(alpha101()), "alpha158": lambda spark, sf_dir: compile_factors(alpha158()).run(panel(spark, sf_dir)),
-}
+} | {k: run for k, (run, _) in LIBRARIES.items()}
 ORACLES: dict[str, str] = {"alpha001": ALPHA001} | {k: sql for k, (_, sql) in FACTORS.items() if sql}
 ORACLES |= {"aggregate": AGG, "corr_with": _corr_sql("a"), "rank_ic": _corr_sql(RANK), "time_slice": SLICE, "events_panel": EVENTS}
+ORACLES |= {"aggregate_runs": RUNS, "st_ema_init": _select(EMA.format(l="list_prepend(0.5::DOUBLE, coalesce(l, []))"), SO_FAR)} | {k: sql for k, (_, sql) in LIBRARIES.items()}
+ORACLES["stream_rank"] = f"""{PANEL}, q AS (SELECT *, CASE WHEN count(a) OVER w = 5 THEN round_even(avg(a) OVER w * 1e9, 0) END AS m FROM p WINDOW w AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT sym, t, CASE WHEN m IS NOT NULL THEN round((rank() OVER (PARTITION BY t ORDER BY m NULLS LAST) + (count(m) OVER (PARTITION BY t, m) - 1) / 2.0) / count(m) OVER (PARTITION BY t), 6) + 0.0 END AS value FROM q"""
+ORACLES["align"] = f"{PANEL}, q AS (SELECT *, CASE WHEN b < 0.9 THEN b END AS rb FROM p) SELECT sym, t, round(a - lag(rb) OVER (PARTITION BY sym ORDER BY t), 6) + 0.0 AS value FROM q"

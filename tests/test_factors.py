@@ -108,16 +108,64 @@ def test_refusals():
 
 def test_libraries(panel):
     assert len(FORMULAS) == 82 and len(alpha101()) == 82 and len(alpha158()) == 158
+    assert list(alpha158({"price": {"windows": [0, 1]}})) == ["OPEN0", "OPEN1", "HIGH0", "HIGH1", "LOW0", "LOW1"]
+    assert list(alpha158({"price": {"windows": [2], "feature": [("mid", X)]}})) == ["MID2"] and len(alpha158({"price": {}})) == 15
     assert list(alpha158({"rolling": {"windows": [5], "include": ["LOW", "MA"]}})) == ["MA5", "MIN5"]
 
 
+def test_engines_agree(spark, panel, monkeypatch):
+    """Window expressions and Arrow passes, with batches far smaller than a window's history."""
+    every = {
+        "rank": op.Rank(X), "ts_rank": op.TsRank(X, 7), "argmax": op.TsArgMax(X, 7), "argmin": op.TsArgMin(Y, 7), "corr": op.WindowedCorrelation(X, 7, Y), "cov": op.WindowedCovariance(Y, 7, X),
+        "var": op.WindowedVar(X, 7), "std": op.WindowedStddev(Y, 7), "skew": op.WindowedSkew(Y, 7), "kurt": op.WindowedKurt(Y, 7), "slope": op.WindowedLinearRegressionSlope(X, 7),
+        "r2": op.WindowedLinearRegressionRSqaure(X, 7), "resi": op.WindowedLinearRegressionResi(X, 7), "q": op.WindowedQuantile(Y, 7, 0.3), "decay": op.DecayLinear(Y, 7), "lag": op.BackRef(X, 3),
+        "sum": op.WindowedSum(op.Rank(Y), 7), "product": op.WindowedProduct(Y, 3), "min": op.WindowedMin(X, 7), "max": op.WindowedMax(X, 7), "draw": op.WindowedMaxDrawdown(Y, 7), "scale": op.Scale(Y),
+        "diff": op.DiffWithWeightedSum(Y, X), "ema": op.ExpMovingAvg(op.Rank(X), 5), "acc": op.Accumulate(lambda a, y: (y > 0.5, a + y), Y), "flag": op.Rank(Y) > 0.5,
+    }
+    plan = compile_factors(every, digits=9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        arrow = plan.run(panel, engine="arrow").toPandas().sort_values(["sym", "t"]).reset_index(drop=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    columns = plan.run(panel, engine="columns").toPandas().sort_values(["sym", "t"]).reset_index(drop=True)
+    for k in every:
+        finite = ~np.isinf(columns[k].astype(float)) & ~np.isinf(arrow[k].astype(float))
+        np.testing.assert_allclose(arrow[k].astype(float)[finite], columns[k].astype(float)[finite], rtol=1e-8, atol=1e-11, err_msg=k)
+        assert finite.mean() > 0.9
+
+
+def test_own_operators_signed_zero_and_tables(spark, panel, wide):
+    from pyspark.sql import functions as F
+
+    from panelforge.sources.panels import align, write_into
+
+    fold = op.WindowedReduce(Y, 3, lambda acc, i, y, z: acc + i * y * z, 0.0, others=(Y + 1,), indexed=True)
+    out = compile_factors({"v": fold, "u": op.Elementwise(F.cbrt, Y), "d": op.Div(1.0, Const(-0.0)), "e": op.Div(1.0, Const(0.0))}).run(panel)
+    y = wide[1]
+    same(table(out), (y.shift(1) * (y.shift(1) + 1) + 2 * y * (y + 1)).where(y.shift(2).notna()))
+    same(table(out, "u"), np.cbrt(y))
+    assert (table(out, "d") == -np.inf).all(axis=None) and (table(out, "e") == np.inf).all(axis=None)
+    with pytest.raises(ValueError):
+        compile_factors({"v": fold}).run(panel, engine="arrow")
+    both = align({"": (panel, "sym", "t"), "o_": (panel.where("t < 5").withColumnRenamed("sym", "who"), "who", "t")})
+    assert both.columns == ["sym", "t", "x", "y", "o_x", "o_y"] and both.count() == S * T and both.where("o_y = y").count() == 5 * S
+    with pytest.raises(ValueError):
+        align({"": (both, "sym", "t"), "o_": (panel, "sym", "t")})
+    spark.sql("DROP TABLE IF EXISTS factor_out")
+    spark.sql("CREATE TABLE factor_out (t BIGINT, sym BIGINT, v FLOAT, other DOUBLE) USING parquet")
+    write_into(out.select("sym", "t", "v"), "factor_out")
+    assert spark.table("factor_out").count() == S * T and spark.table("factor_out").where("v is not null").count() == S * (T - 2)
+    spark.sql("DROP TABLE factor_out")
+
+
 def test_aggregate_and_ic(panel, wide):
     from pyspark.sql import functions as F
 
     out = aggregate(panel, F.floor(F.col("t") / 10), {"s": ("x", "sum"), "f": ("x", "first"), "n": ("x", "count")}).toPandas().set_index(["sym", "label"])
     assert np.isnan(out.loc[(0, 0), "s"]) and out.loc[(0, 0), "n"] == 10 and out.loc[(0, 1), "s"] == pytest.approx(wide[0][0][10:20].sum())
     runs = aggregate(panel, F.pmod(F.floor(F.col("t") / 10), F.lit(2)), {"n": ("y", "count")}, runs=True)
-    assert runs.count() == S * 6
+    assert {(r.sym, r.run, r.label, r.n) for r in runs.collect()} == {(s, k + 1, k % 2, 10) for s in range(S) for k in range(6)}
     ic = corr_with(panel.select("t", "y", (F.col("y") * 2 + 1).alias("z")), ["z"], "y").toPandas()
     assert np.allclose(ic.z, 1)
 
@@ -142,3 +190,28 @@ def test_stream_equals_batch_and_restarts(spark, panel, tmp_path):
     want = plan.run(panel.where("t < 30"))
     for c in ("v", "e"):
         same(table(got, c), table(want, c))
+
+
+def test_stream_state_is_bounded_and_moves(spark, panel, tmp_path):
+    """Saved, loaded by another stream, and no more times kept than are looked back on."""
+    from panelforge.streaming.ticks import TickRunner
+
+    plan = compile_factors({"v": op.Rank(op.WindowedAvg(Y, 5))})
+    got = []
+
+    def steps(runner, lo, hi, by, first=0):
+        for n, a in enumerate(range(lo, hi, by), first):
+            runner(panel.where(f"t >= {a} and t < {a + by}"), n)
+
+    emit = lambda df, n: got.append(df.toPandas())
+    one = TickRunner(plan, f"{tmp_path}/one", emit)
+    steps(one, 0, 30, 3)
+    assert len(one._batches(spark)) == 2 and one.history(spark).select("t").distinct().count() == one.keep == 4
+    one(panel.where("t < 30"), 10)  # all late
+    one.save(spark, f"{tmp_path}/saved")
+    two = TickRunner(plan, f"{tmp_path}/two", emit)
+    two.load(spark, f"{tmp_path}/saved")
+    with pytest.raises(ValueError):
+        two.load(spark, f"{tmp_path}/saved")
+    steps(two, 30, 60, 10)
+    same(pd.concat(got).pivot(index="t", columns="sym", values="v").astype(float), table(plan.run(panel), "v"))

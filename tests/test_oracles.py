@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from panelforge import queries
+from panelforge.library.alpha101 import alpha101
+from panelforge.library.alpha158 import alpha158
 
 SF = "/root/testdata/sf0.01"
 
@@ -13,18 +15,22 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("lineitem", "events"):
+    for t in ("lineitem", "events", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLES) - set(queries.LIBRARIES)))
 def test_query(spark, db, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = db.execute(queries.ORACLES[name]).fetchdf()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns) and len(got) == len(want) > 0
-    keys = [c for c in ("sym", "t", "label") if c in cols]
+    check(got, want, cols)
+
+
+def check(got, want, cols):
+    keys = [c for c in ("sym", "t", "label", "run") if c in cols]
     got, want = (d[cols].sort_values(keys).reset_index(drop=True) for d in (got, want))
     for c in cols:
         if c in keys:
@@ -32,3 +38,24 @@ def test_query(spark, db, name):
         else:
             bad = [(x, y) for x, y in zip(got[c].astype(float), want[c].astype(float)) if not (x == y or (math.isnan(x) and math.isnan(y)) or abs(x - y) <= 2e-6)]
             assert not bad, (c, len(bad), bad[:5])
+
+
+@pytest.mark.parametrize("library", ["alpha101", "alpha158"])
+def test_library(spark, db, library):
+    """All factors of a library in one plan, each against the SQL of its own query."""
+    names = [k for k in queries.LIBRARIES if k.startswith("a158_") == (library == "alpha158")]
+    factors = alpha101() if library == "alpha101" else alpha158() | alpha158({"price": {}, "volume": {}})
+    got = queries._library(factors)[0](spark, SF).toPandas()
+    assert len(names) == (81 if library == "alpha101" else 35)
+    for k in names:
+        want = db.execute(queries.ORACLES[k]).fetchdf()
+        cols = sorted(want.columns)
+        assert len(got) == len(want) and want[[c for c in cols if c not in ("sym", "t")]].notna().mean().min() > 0.1
+        check(got[cols], want[cols], cols)
+
+
+def test_library_query(spark, db):
+    for k in ("alpha101", "a158_ma"):
+        got, want = queries.QUERIES[k](spark, SF).toPandas(), db.execute(queries.ORACLES[k]).fetchdf()
+        assert sorted(got.columns) == sorted(want.columns)
+        check(got[sorted(got.columns)], want[sorted(got.columns)], sorted(got.columns))
