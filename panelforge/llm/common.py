@@ -32,6 +32,20 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"the table has no column {', '.join(missing)}")
 
 
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """A name for each column that an operator adds: the one it asks for, or, where ``df`` has
+    that (in any case), the first free of name_2, name_3, ... So every input column passes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        free = name
+        k = 2
+        while free.lower() in taken:
+            free, k = f"{name}_{k}", k + 1
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
@@ -42,9 +56,12 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a temporary folder of this machine."""
+    """spark.checkpoint.dir; where it is unset and all runs on this machine (tests), a temporary
+    folder of it. A cluster must name a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="pf-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -80,6 +97,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Estimated bytes up to which a table is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if its rows, at most ``row_bytes`` each,
+    are few; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def unit_hash(*columns: Column | str) -> Column:
+    """A number in (0, 1), the ends excluded, from a hash of the columns: 52 bits and a half."""
+    bits = F.shiftrightunsigned(F.xxhash64(*columns), 12)
+    return (bits.cast("double") + 0.5) / F.lit(float(2**52))
+
+
 def shuffle_parts(spark: SparkSession, data_bytes: float = 0, each: int = 32 << 20) -> int:
     """Partitions for data of this size, never fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(data_bytes // each) + 1)

@@ -6,26 +6,28 @@ sketch's length follows the item: items are partitioned by size, and an item of
 is sketched by its k = floor((1 - least) q) + 1 smallest shingle hashes (bottom-k MinHash).
 A document without any of these k lacks more than (1 - least) q shingles, so none that holds
 the item is missed, whatever its length. Each size partition has a bound, the largest hash
-in its sketches; documents are sketched by their hashes up to the bounds, and only those are
-probed. Pairs found so are verified on the shingles themselves.
+in its sketches, and is asked with a document's hashes up to its own bound only, by documents
+that have enough shingles to hold an item of that size. All shingles of the documents found so
+meet those of the items, so every pair is verified on the words themselves.
 
 A shingle is five words in a row of the lower-cased text, words being runs of characters
 other than ASCII white space. Items under five words are one shorter shingle, which only a
-document of the same words has. Null texts and items without words match nothing. Repeated
-ids are joined and told apart by their rows; equal rows give equal pairs, once each. Empty
-tables give empty results. Other columns do not matter.
+document of the same words has. Null texts and items without words match nothing. Rows that
+share an id are told apart by their texts; equal rows give equal pairs, once each. Long texts
+are read whole. Empty tables give empty results. Other columns do not matter to ``contained``;
+``decontaminate`` passes all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import need, stored
+from panelforge.llm.common import if_small, need, own_names, stored
 
 SHINGLE = 5
-#: Rows up to which the sketches of the items, or the found pairs, are broadcast.
-BROADCAST_ROWS = 500_000
+#: Stands in where there are no items.
+_NO_PART = Row(part=0, top=0)
 _SPLIT = r"[\x20\x09-\x0D]+"
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -70,35 +72,43 @@ def contained(docs: DataFrame, items: DataFrame, least: float = 0.75, doc: str =
     if not 0 < least <= 1:
         raise ValueError("least is above 0 and at most 1")
     sketch = stored(item_sketches(items, item, text, least), "sketches")
-    bounds = sketch.groupBy("part").agg(F.max("h").alias("top")).agg(F.max("top")).first()[0]
-    few = sketch.count() <= BROADCAST_ROWS
-    sketch_side = F.broadcast(sketch) if few else sketch
-    hashes = docs.select(F.col(doc).alias("doc"), shingle_hashes(F.col(text)).alias("_h"))
-    # The largest bound of all partitions first: what lies above no item's sketch has.
-    probes = hashes.select("doc", F.explode("_h").alias("h")).where(F.col("h") <= F.lit(bounds if bounds is not None else 0).cast("long"))
-    tops = sketch.groupBy("part").agg(F.max("h").alias("top"))
-    hits = probes.join(sketch_side, "h").join(F.broadcast(tops) if few else tops, "part").where("h <= top")
-    pairs = stored(hits.select("doc", "item").distinct(), "pairs")
-    n = pairs.count()
-    test = items.select(F.col(item).alias("item"), shingle_texts(F.col(text)).alias("_q"))
-    asked = pairs.join(F.broadcast(test) if few else test, pairs["item"].eqNullSafe(test["item"])).select("doc", pairs["item"].alias("item"), "_q")
-    # One row for each document, with all items it is asked for: its shingles are made once.
-    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("item", "_q")).alias("_asked")).withColumnRenamed("doc", "_doc")
-    by_doc = F.broadcast(by_doc) if n <= BROADCAST_ROWS // 50 else by_doc
-    held = docs.select(F.col(doc).alias("doc"), F.col(text).alias("_text")).join(by_doc, F.col("doc").eqNullSafe(F.col("_doc")))
-    shared = lambda d: F.transform("_asked", lambda x: F.struct(x["item"].alias("item"), F.size(x["_q"]).cast("long").alias("n_item"), F.size(F.array_intersect(x["_q"], d)).cast("long").alias("n_shared")))
-    made = held.select("doc", let(shingle_texts(F.col("_text")), shared).alias("_c"))
-    out = made.select("doc", F.explode("_c").alias("c")).select(F.col("c.item").alias(item), F.col("doc").alias(doc), "c.n_item", "c.n_shared")
-    out = out.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.lit(least) * F.col("n_item") - F.lit(1e-9))
-    return out.distinct()
+    # One row for each size partition, of which there are as many as item sizes have powers of 2.
+    parts = sketch.groupBy("part").agg(F.max("h").alias("top")).collect()
+    if not parts:
+        sketch = sketch.where("false")
+    size = lambda p: 2 ** int(p)
+    bounds = F.array(*[F.struct(F.lit(int(r.part)).alias("part"), F.lit(int(r.top)).cast("long").alias("top"), F.lit(least * size(r.part) - 1e-9).alias("least")) for r in parts or [_NO_PART]])
+
+    def probes(h: Column) -> Column:
+        """(part, h) up to the partition's own bound, where the document is large enough."""
+        n = F.size(h)
+        asked = F.filter(bounds, lambda b: n >= b["least"])
+        return F.flatten(F.transform(asked, lambda b: F.transform(F.filter(h, lambda x: x <= b["top"]), lambda x: F.struct(b["part"].alias("part"), x.alias("h")))))
+
+    made = docs.select(F.col(doc).alias("doc"), F.explode(let(shingle_hashes(F.col(text)), probes)).alias("p")).select("doc", "p.part", "p.h")
+    hits = made.join(if_small(sketch, 48), ["part", "h"])
+    suspects = stored(hits.select("doc").distinct(), "suspects")
+    # All shingles of the suspects meet those of the items.
+    asked = stored(items.select(F.col(item).alias("item"), F.xxhash64(text).alias("of"), F.explode(shingle_texts(F.col(text))).alias("s")).distinct(), "asked")
+    longest = asked.agg(F.coalesce(F.max(F.octet_length("s")), F.lit(0))).first()[0]
+    counts = asked.groupBy("item", "of").agg(F.count(F.lit(1)).alias("n_item"))
+    few = if_small(suspects.withColumnRenamed("doc", "_doc"), 48)
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("_text")).join(few, F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
+    # Rows that share an id are told apart by their texts.
+    held = rows.select("doc", F.xxhash64("_text").alias("row"), F.explode(shingle_texts(F.col("_text"))).alias("s"))
+    met = held.join(if_small(asked, 64 + longest), "s").groupBy("item", "of", "doc", "row").agg(F.count_distinct("s").alias("n_shared"))
+    counts = stored(counts.withColumnsRenamed({"item": "_item", "of": "_of"}), "counts")
+    out = met.join(if_small(counts, 64), F.col("item").eqNullSafe(F.col("_item")) & (F.col("of") == F.col("_of")))
+    out = out.where(F.col("n_shared") >= F.lit(least) * F.col("n_item") - F.lit(1e-9))
+    return out.select(F.col("item").alias(item), F.col("doc").alias(doc), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.75, **names) -> DataFrame:
     """``docs`` without the rows of documents that hold an item."""
     doc = names.get("doc", "doc_id")
-    found = stored(contained(docs, items, least, **names).select(F.col(doc).alias("_found")).distinct(), "found")
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(found, F.col(doc).eqNullSafe(F.col("_found")), "left_anti")
+    (found,) = own_names(docs, "_found")
+    gone = stored(contained(docs, items, least, **names).select(F.col(doc).alias(found)).distinct(), "found")
+    return docs.join(if_small(gone, 48), F.col(doc).eqNullSafe(F.col(found)), "left_anti")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

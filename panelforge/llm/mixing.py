@@ -2,10 +2,11 @@
 
 Targets: every source's share of all words follows its weight, but no source may be
 repeated more than ``most`` times; what it cannot fill goes to the others by weight (the
-water level is found exactly from the sorted sources). With target T and size S a document
-of weight 1 is expected T/S times: the whole part is given to every document as certain
-copies, and the rest, e - floor(e), is its inclusion probability for one more copy. Weights
-on documents (``weight``) make these probabilities unequal within a source as well.
+water level is found exactly from the sorted sources). Within a source a document is expected
+e = level x weight times, at most ``most``, at the level that meets the target; the weight is a
+mild one of the document's length in ``mix_documents`` and the query, any column in
+``mix_sizes``. The whole part of e is given as certain copies, and the rest, e - floor(e), is
+the document's inclusion probability for one more copy.
 
 The sample: with u a hash of the record, q = (u/(1-u)) / (p/(1-p)) orders a source's
 documents, and the first of them, as many as fill the words that certain copies left open,
@@ -20,8 +21,10 @@ there. Sources are joined by
 broadcast only after their number was checked.
 
 Nulls: a null text has size 0; a null source is a source, last in order; null ids are
-allowed. Equal rows are taken in any order, which no result shows. Empty tables give empty
-results; a document without words is taken 0 times.
+allowed. Equal rows are taken in any order, which no result shows. Texts are counted whole,
+however long, and move only with the rows that the mix takes. Empty tables give empty results;
+a document without words is taken 0 times. All columns pass ``mix_documents``, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import need, stored
+from panelforge.llm.common import need, own_names, stored, unit_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to which their table is broadcast; beyond, it is joined by a shuffle.
@@ -38,6 +41,8 @@ BROADCAST_SOURCES = 50_000
 SLICE_ROWS = 2_000
 #: Rounds that fill what is left within a slice.
 FILLS = 4
+#: Levels of document weights in an octave.
+GRADES = 16
 
 
 def word_count(text: Column) -> Column:
@@ -63,14 +68,32 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most
     return full.select(*sizes.columns, target.cast("double").alias("target"))
 
 
+def level_of(graded: DataFrame, most: float) -> DataFrame:
+    """graded: source, target, _grade, _size -> (source, _level): expected copies are
+    min(most, level x weight), at the level where a source's sizes sum up to its target."""
+    w = F.pow(F.lit(2.0), F.col("_grade") / float(GRADES))
+    heavier = Window.partitionBy("source").orderBy(F.desc("_grade")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("source")
+    full = F.coalesce(F.sum("_size").over(heavier), F.lit(0)) * F.lit(most)
+    rest = F.sum(F.col("_size") * w).over(whole) - F.coalesce(F.sum(F.col("_size") * w).over(heavier), F.lit(0.0))
+    tried = graded.withColumn("_try", F.when(rest > 0, (F.col("target") - full) / rest))
+    # The first grade, from the heaviest on, that the level does not lift above ``most``.
+    fits = F.when(F.col("_try") * w <= most * (1 + 1e-12), F.col("_grade"))
+    found = tried.groupBy("source").agg(F.max_by("_try", fits).alias("_level"), F.min("_grade").alias("_low"))
+    # None: all are taken as often as may be.
+    return found.select("source", F.coalesce(F.greatest(F.lit(0.0), F.col("_level")), F.lit(most) * F.pow(F.lit(2.0), -F.col("_low") / float(GRADES))).alias("_level"))
+
+
 def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 20, weight: str | None = None) -> DataFrame:
     """rows: doc_id, source, size and a 64-bit key ``tie``; adds source_size, target, copies.
 
-    weight: a column of positive relative document weights; all alike without it."""
+    weight: a column of positive relative document weights; all alike without it. Weights are
+    taken at sixteenths of an octave, so that their levels are few whatever the data."""
     need(rows, "doc_id", "source", "size", "tie")
-    rows = rows.withColumn("_dw", F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(1.0)), F.lit(1e-9)) if weight else F.lit(1.0))
-    rows = stored(rows, "mix")
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_dw")).alias("_weighted"), F.count(F.lit(1)).alias("_docs"))
+    grade = F.rint(F.lit(float(GRADES)) * F.log2(F.least(F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(1.0)), F.lit(1e-9)), F.lit(1e9)))).cast("int") if weight else F.lit(0)
+    rows = stored(rows.withColumn("_grade", grade), "mix")
+    graded = stored(rows.groupBy("source", "_grade").agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_docs")), "grades")
+    per = graded.groupBy("source").agg(F.sum("_size").alias("source_size"), F.sum("_docs").alias("_docs"))
     per = stored(targets(per, weights, most).withColumn("_slices", F.greatest(F.lit(1), F.least(F.lit(1 << 20), F.col("_docs") / SLICE_ROWS)).cast("int")), "sources")
     small = per.count() <= BROADCAST_SOURCES
 
@@ -78,10 +101,12 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), mos
         renamed = table.withColumnRenamed("source", "_s")
         return df.join(F.broadcast(renamed) if small else renamed, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
-    expected = F.least(F.lit(float(most)), F.when(F.col("_weighted") > 0, F.col("target") * F.col("_dw") / F.col("_weighted")).otherwise(0.0))
+    # Expected copies are level x weight, at most ``most``; the level gives the target in all.
+    levels = stored(level_of(with_source(graded, per.select("source", "target")), most), "levels")
+    per = stored(with_source(per, levels), "sources")
+    expected = F.least(F.lit(float(most)), F.col("_level") * F.pow(F.lit(2.0), F.col("_grade") / float(GRADES)))
     df = with_source(rows, per).withColumn("_e", expected).withColumn("_sure", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_sure"))
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "tie"), 11)
-    u = (bits.cast("double") + 0.5) / F.lit(float(2**53))
+    u = unit_hash(F.lit(seed), "doc_id", "tie")
     odds, chance = u / (1 - u), F.col("_p") / (1 - F.col("_p"))
     # v in (0, 1) grows with q = odds / chance; documents without a chance come last.
     df = df.withColumn("_v", F.when((F.col("_p") > 0) & (F.col("size") > 0), odds / (odds + chance)).otherwise(F.lit(1.0)))
@@ -89,7 +114,7 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), mos
     slice_of = F.when(F.col("_v") < 1, F.least(F.floor(F.col("_v") * F.col("_slices")), F.col("_slices") - 1)).otherwise(F.col("_slices"))
     df = df.withColumn("_k", slice_of.cast("int"))
     extra = F.when((F.col("_v") < 1) & (F.col("_sure") < most), F.col("size")).otherwise(F.lit(0))
-    df = stored(df.withColumn("_x", extra).drop("_weighted", "_docs", "_slices"), "mix")
+    df = stored(df.withColumn("_x", extra).drop("_level", "_grade", "_docs", "_slices"), "mix")
 
     # How many words are open in each source.
     given = with_source(df.groupBy("source").agg(F.sum(F.col("size") * F.col("_sure")).alias("_given")), per.select("source", "target"))
@@ -152,17 +177,24 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix: every document as often as it is taken, with the columns of ``docs``."""
     need(docs, "doc_id", "source", "text")
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key().alias("tie"))
+    rows = rows.withColumn("weight", length_weight(F.col("size")))
     # Equal rows share a key; their copies are summed and dealt out again.
-    taken = mix_sizes(rows, **options).groupBy("tie").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_n"))
-    cols = docs.columns
-    out = docs.withColumn("tie", row_key()).join(taken.where("_c > 0"), "tie")
-    r = F.when(F.col("_n") == 1, 1).otherwise(F.row_number().over(Window.partitionBy("tie").orderBy("_c")))
-    out = out.withColumn("_r", r).withColumn("_times", F.floor(F.col("_c") * F.col("_r") / F.col("_n")) - F.floor(F.col("_c") * (F.col("_r") - 1) / F.col("_n")))
-    return out.where("_times > 0").select(*cols, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_again")).select(*cols)
+    cols, (tie, c, n, r, times, again) = docs.columns, own_names(docs, "_tie", "_c", "_n", "_r", "_times", "_again")
+    taken = mix_sizes(rows, weight="weight", **options).groupBy("tie").agg(F.sum("copies").alias(c), F.count(F.lit(1)).alias(n)).withColumnRenamed("tie", tie)
+    out = docs.withColumn(tie, row_key()).join(taken.where(F.col(c) > 0), tie)
+    nth = F.when(F.col(n) == 1, 1).otherwise(F.row_number().over(Window.partitionBy(tie).orderBy(c)))
+    share = F.floor(F.col(c) * F.col(r) / F.col(n)) - F.floor(F.col(c) * (F.col(r) - 1) / F.col(n))
+    out = out.withColumn(r, nth).withColumn(times, share).where(F.col(times) > 0)
+    return out.select(*cols, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(again)).select(*cols)
+
+
+def length_weight(size: Column) -> Column:
+    """Relative odds by length: twice as many words, 2^(1/4) times the odds; 1 below 16 words."""
+    return F.pow(F.greatest(size.cast("double"), F.lit(16.0)) / 16.0, F.lit(0.25))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key().alias("tie"))
-    out = mix_sizes(rows)
+    out = mix_sizes(rows.withColumn("weight", length_weight(F.col("size"))), weight="weight")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")

@@ -7,12 +7,14 @@ trigrams by document; documents that meet a clause are the rule's candidates, an
 are searched with its regex. A rule without mandatory trigrams is searched everywhere.
 
 All matches of a rule are found leftmost first, without overlap, in one scan; positions are
-running sums over the pieces between the matches, so a text with very many matches stays
-linear. Positions are code points, end exclusive.
+running sums over the pieces between the matches, taken block by block so that a text with
+very many matches copies no growing list at each. Positions are code points, end exclusive.
 
 Nulls: a null text is empty. Documents that share an id (or have none) share postings, which
 adds candidates and never loses one; each row is then searched by itself, so equal rows give
-equal results. Empty tables give empty results. Other columns do not matter.
+equal results. Rows without an id are searched by every rule. Very long texts are searched
+whole. Empty tables give empty results. All columns pass; if one is called ``found`` already,
+the result is ``found_2`` (or the next free name).
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ except ImportError:  # Python 3.10
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import doc_key, need
+from panelforge.llm.common import doc_key, if_small, need, own_names, stored
 
 #: Strings that a part of a regex may stand for before it counts as unknown.
 MOST_STRINGS = 32
+#: Matches whose positions are added up in one go.
+PIECES = 256
 
 
 @dataclass(frozen=True)
@@ -157,7 +161,6 @@ def find_all(text: Column, rule: Rule) -> Column:
     held = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else whole
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
     pieces = F.arrays_zip(gaps.alias("gap"), whole.alias("match"), held.alias("held"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + F.char_length(p["gap"])
@@ -166,7 +169,21 @@ def find_all(text: Column, rule: Rule) -> Column:
         spans = F.when(F.char_length(p["held"]) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
-    return F.when(F.regexp_like(text, regex), F.aggregate(pieces, start, step)["spans"]).otherwise(none)
+    def shifted(block: Column, by: Column) -> Column:
+        return F.transform(block["spans"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["kind"].alias("kind")))
+
+    # Blocks of pieces are laid out by themselves and then moved to where the block begins, so
+    # that no growing array is copied at every match.
+    starts = F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1)), F.lit(PIECES))
+    blocks = F.transform(starts, lambda i: F.aggregate(F.slice(pieces, i, F.lit(PIECES)), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+
+    def placed(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases"))
+        bases = F.aggregate(blocks, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")))["bases"]
+        return F.flatten(F.zip_with(blocks, bases, shifted))
+
+    laid = F.get(F.transform(F.array(blocks), placed), F.lit(0))
+    return F.when(F.regexp_like(text, regex), laid).otherwise(none)
 
 
 def quick(rule: Rule) -> Rule:
@@ -181,14 +198,17 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     """The documents with ``found``: array<struct<start, end, kind>>, by start, then in the
     order of the rules."""
     need(docs, "doc_id", text)
-    cands = candidates(docs, rules).withColumnRenamed("d", "_d")
-    rows = docs.withColumn("_d", doc_key()).join(cands, "_d", "left").drop("_d")
+    own, (into, d, kinds) = docs.columns, own_names(docs, "found", "_d", "_kinds")
+    cands = stored(candidates(docs.where("doc_id is not null"), rules).select(F.col("d").alias(d), F.col("kinds").alias(kinds)), "candidates")
+    # Narrow, so no text moves while it is small; rows without an id are searched by all rules.
+    cands = if_small(cands, 64 + sum(16 + len(r.kind) for r in rules))
+    rows = docs.join(cands, F.col("doc_id").cast("long") == F.col(d), "left")
     body = F.coalesce(F.col(text), F.lit(""))
     parts = []
     for r in rules:
         hits = find_all(body, quick(r))
         if trigram_query(r.regex):
-            hits = F.when(F.array_contains("kinds", r.kind), hits).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+            hits = F.when(F.col("doc_id").isNull() | F.array_contains(kinds, r.kind), hits).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
         parts.append(hits)
     order = [r.kind for r in rules]
 
@@ -196,7 +216,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
         return F.array_position(F.array(*map(F.lit, order)), k)
 
     found = F.array_sort(F.transform(F.concat(*parts), lambda x: F.struct(x["start"].alias("start"), rank(x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    return rows.withColumn("found", F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).drop("kinds")
+    return rows.select(*own, F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias(into))
 
 
 def joined(spans: Column) -> Column:

@@ -9,8 +9,9 @@ buckets being hashes of the record, so that no task orders a whole shard; equal
 counted before they are numbered, so a repeated record is no hot spot either.
 
 Nulls: a null key is a key like any other; a null text has no bytes and CRC 0. Equal rows
-get different slots. An empty table gives an empty result. Other columns do not matter:
-only the key and the text are read.
+get different slots. Very long texts are measured where they are and never moved. An empty
+table gives an empty result. ``assign_shards`` passes all columns; if there is one of the
+result's name already, the result is named shard_2 (or the next free).
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import need, stored
+from panelforge.llm.common import need, own_names, stored, unit_hash
 
 #: Records that are ordered by one task for their slots, on average.
 SLOT_ROWS = 50_000
+#: Slots of one repeated record that are written out at once.
+STRETCH = 4_096
 
 
 def shard_of(key: Column, weights: list[float]) -> Column:
@@ -30,15 +33,14 @@ def shard_of(key: Column, weights: list[float]) -> Column:
         raise ValueError("every shard needs a weight above 0")
 
     def score(j: int, w: float) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(j)), 11)
-        u = (bits.cast("double") + 0.5) / F.lit(float(2**53))
-        return -F.lit(float(w)) / F.ln(u)
+        return -F.lit(float(w)) / F.ln(unit_hash(key, F.lit(j)))
 
     return -F.array_max(F.array(*[F.struct(score(j, w).alias("s"), F.lit(-j).alias("j")) for j, w in enumerate(weights)]))["j"]
 
 
 def assign_shards(df: DataFrame, weights: list[float], key: str = "doc_id", into: str = "shard") -> DataFrame:
     need(df, key)
+    (into,) = own_names(df, into)
     return df.withColumn(into, shard_of(F.col(key), weights))
 
 
@@ -55,8 +57,10 @@ def number_slots(rows: DataFrame, shard: str = "shard", into: str = "slot") -> D
     sizes = sizes.select(shard, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(shard, "_b").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
     out = distinct.withColumn("_first", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(sizes, [shard, "_b"])
-    first = F.col("_base") + F.col("_first")
-    return out.select(*cols, F.explode(F.sequence(first, first + F.col("_n") - 1)).alias(into))
+    # A record that is there very often is numbered a stretch at a time.
+    step, first, end = F.lit(STRETCH), F.col("_base") + F.col("_first"), F.col("_base") + F.col("_first") + F.col("_n") - 1
+    out = out.withColumn("_at", F.explode(F.sequence(first, end, step)))
+    return out.select(*cols, F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + (step - 1), end))).alias(into))
 
 
 def shard_table(docs: DataFrame, shards: int = 24, weights: list[float] | None = None) -> DataFrame:
