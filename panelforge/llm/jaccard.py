@@ -4,14 +4,15 @@ Documents are sets of 5-word shingles (64-bit hashes); two link when their sets'
 similarity is at least ``least``. ``jaccard_components`` names each document's component of
 links, ``jaccard_links`` counts each document's links as well. No link is missed:
 
-1. Equal sets become one node (named by the set's digest), counted by one aggregation.
+1. Equal sets become one node (named by the set's digest; a second digest tells whether two
+   sets share a name, and then all are named anew), counted by one aggregation.
    If a node links with any other, at least ``least`` of its shingles are in other nodes too.
    Fingerprints of all shingles are dealt out by hash, as packed arrays, to count for each
    node how many of its own others have; only nodes with enough go on. (A collision makes a
    shingle seem shared, which keeps a node and never loses one.)
 2. Groups that can hold links: if A and B link, then under any fixed order of all shingles
    each has a common shingle among its first n - ceil(least * n) + 1. The order is by a
-   sketch's count of the shingle among the nodes left (a table of fixed size), rare first, so
+   sketch's count of the shingle among the nodes left (a table of bounded size), rare first, so
    that a passage that many documents share seldom is among them. Each shingle's holders are
    tied to one of them, and the components of these ties are the groups. What a worker keeps
    for it is one holder for each distinct shingle of its hash range.
@@ -23,7 +24,8 @@ links, ``jaccard_links`` counts each document's links as well. No link is missed
    overlap exactly.
 4. A group with many shingles is cut into blocks. First every block is joined with itself
    and with block 0; blocks that this has connected need no more, and for the others each
-   pair of blocks is a task of its own. No task holds more than two blocks.
+   pair of blocks is a task of its own. No task holds more than two blocks, and bitmaps that
+   would be too large are walked in parts.
 
 ``jaccard_links`` makes no use of what is connected: it walks all node pairs that sizes and
 bitmaps leave, of all pairs of blocks. Tasks return a sum for each node and the links that
@@ -46,15 +48,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import WordHash, components, doc_key, need, raw_texts, shingle_set, shuffle_parts, stored, text_bytes, word_hashes
+from panelforge.llm.common import WordHash, components, doc_key, if_small, need, own_names, raw_texts, shingle_set, shuffle_parts, stored, text_bytes, word_hashes
 
-#: Counters of the sketch that orders shingles: its size, whatever the data.
-COUNTERS = 1 << 23
+#: Least and most counters of the sketch that orders shingles. Between, one for each shingle
+#: of the documents left; beyond, a shingle stands out if it is more frequent than the many that
+#: share its counter. The order decides on the groups' size, never on what is found.
+FEWEST, COUNTERS = 1 << 20, 1 << 25
 PIECES = 16
-#: Rows up to which a narrow table is broadcast.
-BROADCAST_ROWS = 500_000
 #: Shingles in one block of a group.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
+#: Bytes of bitmaps that a walk holds; beyond, its rows are cut into parts that are walked in turn.
+BITMAP_BYTES = 64 << 20
 #: Children of a tree node.
 FANOUT = 16
 #: Entries that a worker gathers before it deals them out.
@@ -66,8 +70,14 @@ def needed_overlap(a, b, least: float):
     return np.ceil(least * (a + b) / (1 + least) - 1e-9)
 
 
-def digest(s: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)), np.uint64).view(np.int64))
+def digest(s: np.ndarray, salt: int) -> int:
+    """Names a set. Where two sets of a corpus share a name, another salt is taken."""
+    return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes(), seed=salt), np.uint64).view(np.int64))
+
+
+def witness(s: np.ndarray) -> int:
+    """A second name, to see whether equal digests are equal sets."""
+    return xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)) >> 1
 
 
 def _sets(batch: pa.RecordBatch, column: int, cache: WordHash) -> Iterator[np.ndarray]:
@@ -75,15 +85,15 @@ def _sets(batch: pa.RecordBatch, column: int, cache: WordHash) -> Iterator[np.nd
         yield shingle_set(word_hashes(text, cache))
 
 
-_DEALT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-DEALT = "part int, doc_id long, n long, node long, a binary, b binary, c binary"
+_DEALT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("witness", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+DEALT = "part int, doc_id long, n long, node long, witness long, a binary, b binary, c binary"
 
 
 def _packed(parts: list[int], *columns: list[bytes]) -> pa.RecordBatch:
     none = pa.nulls(len(parts), pa.int64())
     columns = [pa.array(c, pa.binary()) for c in columns]
     columns += [pa.nulls(len(parts), pa.binary())] * (3 - len(columns))
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), none, none, none, *columns], schema=_DEALT)
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), none, none, none, none, *columns], schema=_DEALT)
 
 
 def _cut(part: np.ndarray) -> list[np.ndarray]:
@@ -93,8 +103,8 @@ def _cut(part: np.ndarray) -> list[np.ndarray]:
     return [by[x:y] for x, y in zip(edges, edges[1:], strict=False) if y > x]
 
 
-def _describe(parts: int):
-    """doc -> n and node; and packed (fingerprints, owners of runs, lengths of runs) for each
+def _describe(parts: int, salt: int):
+    """doc -> n, node and witness; and packed (fingerprints, owners of runs, lengths of runs) for each
     hash range, once for each set that this task has."""
 
     def run(batches):
@@ -115,10 +125,11 @@ def _describe(parts: int):
             return _packed(ids, fp, who, long)
 
         for batch in batches:
-            n, node = [], []
+            n, node, second = [], [], []
             for s in _sets(batch, 1, cache):
                 n.append(len(s))
-                node.append(digest(s) if len(s) else None)
+                node.append(digest(s, salt) if len(s) else None)
+                second.append(witness(s))
                 if len(s) and node[-1] not in seen:
                     seen.add(node[-1])
                     tokens.append(s)
@@ -131,7 +142,7 @@ def _describe(parts: int):
                 seen.clear()
             turn += 1
             none = pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([(turn + i) % parts for i in range(len(n))], pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), none, none, none], schema=_DEALT)
+            yield pa.RecordBatch.from_arrays([pa.array([(turn + i) % parts for i in range(len(n))], pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(second, pa.int64()), none, none, none], schema=_DEALT)
         if size:
             yield flush()
 
@@ -169,10 +180,10 @@ def _repeats(parts: int):
             return _packed([int(part[r[0]]) for r in rows], [nodes[r].tobytes() for r in rows], [count[r].astype(np.uint32).tobytes() for r in rows])
 
         for batch in batches:
-            packed = batch.column(4).is_valid()
-            yield batch.filter(batch.column(4).is_null())
+            packed = batch.column(5).is_valid()
+            yield batch.filter(batch.column(5).is_null())
             rows = batch.filter(packed)
-            for t, o, k in zip(*(rows.column(c).to_pylist() for c in (4, 5, 6)), strict=True):
+            for t, o, k in zip(*(rows.column(c).to_pylist() for c in (5, 6, 7)), strict=True):
                 tokens.append(np.frombuffer(t, np.uint32))
                 owners.append(np.repeat(np.frombuffer(o, np.int64), np.frombuffer(k, np.uint32)))
                 size += len(tokens[-1])
@@ -208,32 +219,39 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(counts[i : i + 100_000])], ["node", "repeated"])
 
 
-def _verified(batches):
+def _verified(salt: int):
     """node, d, text -> once each node whose text it is."""
-    cache = WordHash()
-    for batch in batches:
-        mine = [digest(s) if len(s) else None for s in _sets(batch, 2, cache)]
-        yield batch.filter(pa.array([a == b for a, b in zip(mine, batch.column(0).to_pylist(), strict=True)], pa.bool_()))
 
+    def run(batches):
+        cache = WordHash()
+        for batch in batches:
+            mine = [digest(s, salt) if len(s) else None for s in _sets(batch, 2, cache)]
+            yield batch.filter(pa.array([a == b for a, b in zip(mine, batch.column(0).to_pylist(), strict=True)], pa.bool_()))
 
-def _sketch(batches):
-    cache, table, held, size = WordHash(), np.zeros(COUNTERS, np.uint32), [], 0
+    return run
 
-    def count():
-        np.add.at(table, (np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), 1)
 
-    for batch in batches:
-        for s in _sets(batch, 0, cache):
-            held.append(s)
-            size += len(s)
-            if size > FLUSH:
-                count()
-                held, size = [], 0
-    if size:
-        count()
-    if table.any():
-        for i, part in enumerate(np.split(table, PIECES)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], ["piece", "counts"])
+def _sketch(counters: int):
+    def run(batches):
+        cache, table, held, size = WordHash(), np.zeros(counters, np.uint32), [], 0
+
+        def count():
+            np.add.at(table, (np.concatenate(held) % np.uint64(counters)).astype(np.int64), 1)
+
+        for batch in batches:
+            for s in _sets(batch, 0, cache):
+                held.append(s)
+                size += len(s)
+                if size > FLUSH:
+                    count()
+                    held, size = [], 0
+        if size:
+            count()
+        if table.any():
+            for i, part in enumerate(np.split(table, PIECES)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], ["piece", "counts"])
+
+    return run
 
 
 def _add_up(batches):
@@ -247,7 +265,7 @@ def _add_up(batches):
         yield pa.RecordBatch.from_pydict({"piece": [i], "counts": [fine.astype(np.uint8).tobytes()]}, schema=pa.schema([("piece", pa.int32()), ("counts", pa.binary())]))
 
 
-def _prefixes(counts, parts: int, least: float):
+def _prefixes(counts, counters: int, parts: int, least: float, salt: int):
     def run(batches):
         order = np.frombuffer(b"".join(counts.value), np.uint8)
         cache, seen = WordHash(), set()
@@ -262,11 +280,11 @@ def _prefixes(counts, parts: int, least: float):
         for batch in batches:
             for s in _sets(batch, 0, cache):
                 n = len(s)
-                if not n or (d := digest(s)) in seen:
+                if not n or (d := digest(s, salt)) in seen:
                     continue
                 seen.add(d)
                 k = n - int(np.ceil(least * n - 1e-9)) + 1
-                rare = np.argsort(order[(s % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")[:k]
+                rare = np.argsort(order[(s % np.uint64(counters)).astype(np.int64)], kind="stable")[:k]
                 tokens.append(s[rare])
                 owners.append(np.full(k, d, np.int64))
                 size += k
@@ -361,8 +379,9 @@ class Tree:
         return self.ids[node * width : (node + 1) * width]
 
 
-def token_bits(sets: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps over the shingles that at least two of the sets have."""
+def shared_tokens(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of the shingles that at least two of the sets have: owner and position of each entry, and
+    how many there are."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     tokens = np.concatenate(sets)
     by = np.argsort(tokens, kind="stable")
@@ -373,11 +392,7 @@ def token_bits(sets: list[np.ndarray]) -> np.ndarray:
     position = np.cumsum(many) - 1
     run = np.cumsum(start) - 1
     shared = many[run]
-    width = max(1, -(-int(many.sum()) // 64))
-    bits = np.zeros((len(sets), width), np.uint64)
-    p = position[run[shared]]
-    np.bitwise_or.at(bits, (owner[shared], p // 64), np.uint64(1) << (p % 64).astype(np.uint64))
-    return bits
+    return owner[shared], position[run[shared]], int(many.sum())
 
 
 def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: list[int], least: float, counts: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
@@ -386,15 +401,40 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: li
 
     counts: (weights, sums) of the sets; then nothing is left for being connected, and each
     link adds either side's weight to the other's sum."""
-    bits = token_bits(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    forest, found = Forest(known), []
     # Alike sizes next to each other, and within them sets of the same smallest hash.
     band, smallest = np.floor(np.log(sizes) / -np.log(least)) if least < 1 else sizes, np.array([s[0] for s in sets])
     order = lambda rows: rows[np.lexsort((sizes[rows], smallest[rows], band[rows]))]
-    a = Tree(order(left), bits, sizes)
-    same = left is right
-    b = a if same else Tree(order(right), bits, sizes)
+    forest, found = Forest(known), []
+    first = order(left)
+    todo = [(first, first if left is right else order(right))]
+    while todo:
+        x, y = todo.pop()
+        if sizes[x].max() < least * sizes[y].min() - 1e-9 or sizes[y].max() < least * sizes[x].min() - 1e-9:
+            continue
+        rows = x if x is y else np.concatenate([x, y])
+        owner, position, n = shared_tokens([sets[i] for i in rows])
+        width = max(1, -(-n // 64))
+        if len(rows) * width * 8 > BITMAP_BYTES and len(rows) > 2 * FANOUT:
+            if x is y:
+                a, b = x[: len(x) // 2], x[len(x) // 2 :]
+                todo += [(a, a), (b, b), (a, b)]
+            elif len(x) >= len(y):
+                todo += [(x[: len(x) // 2], y), (x[len(x) // 2 :], y)]
+            else:
+                todo += [(x, y[: len(y) // 2]), (x, y[len(y) // 2 :])]
+            continue
+        bits = np.zeros((len(rows), width), np.uint64)
+        np.bitwise_or.at(bits, (owner, position // 64), np.uint64(1) << (position % 64).astype(np.uint64))
+        _walk(bits, rows, len(x), x is y, sizes, forest, found, least, counts)
+    return found
+
+
+def _walk(bits, rows, n_left: int, same: bool, sizes, forest, found, least: float, counts) -> None:
+    """The trees over the first ``n_left`` rows and over the others (all, if they are the same)."""
+    mine = sizes[rows]
+    a = Tree(np.arange(n_left), bits, mine)
+    b = a if same else Tree(np.arange(n_left, len(rows)), bits, mine)
     stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
     while stack:
         la, x, lb, y = stack.pop()
@@ -404,13 +444,14 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: li
         most = min(int(np.bitwise_count(oa[x] & ob[y]).sum()), int(higha[x]), int(highb[y]))
         if most < needed_overlap(int(lowa[x]), int(lowb[y]), least):
             continue
-        rows_a, rows_b = a.docs(la, x), b.docs(lb, y)
+        at_a, at_b = a.docs(la, x), b.docs(lb, y)
+        rows_a, rows_b = rows[at_a], rows[at_b]
         if counts is None:
             roots = {forest.root(int(i)) for i in rows_a}
             if len(roots) == 1 and all(forest.root(int(i)) in roots for i in rows_b):
                 continue
         if la == 0 and lb == 0:
-            overlap = np.bitwise_count(bits[rows_a][:, None, :] & bits[rows_b][None, :, :]).sum(axis=2, dtype=np.int64)
+            overlap = np.bitwise_count(bits[at_a][:, None, :] & bits[at_b][None, :, :]).sum(axis=2, dtype=np.int64)
             hit = overlap >= needed_overlap(sizes[rows_a][:, None], sizes[rows_b][None, :], least)
             if counts is not None:
                 weights, sums = counts
@@ -429,10 +470,9 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: li
             stack += [(la - 1, i, lb, y) for i in a.children(la, x)]
         else:
             stack += [(la, x, lb - 1, j) for j in b.children(lb, y)]
-    return found
 
 
-def _tasks(least: float, count: bool):
+def _tasks(least: float, count: bool, salt: int):
     """Rows sorted by (grp, i, j): node, block, root, copies, text -> the links each task
     finds, and with ``count`` each node's sum of linked copies (without b)."""
 
@@ -470,7 +510,7 @@ def _tasks(least: float, count: bool):
                 if node in seen:
                     continue
                 s = shingle_set(word_hashes(text, cache))
-                if digest(s) == node:  # else: another row of the same id
+                if digest(s, salt) == node:  # else: another row of the same id
                     seen.add(node)
                     rows.append((node, cols[4][k], s, cols[5][k], cols[6][k], cols[7][k]))
         if rows:
@@ -480,39 +520,47 @@ def _tasks(least: float, count: bool):
 
 
 def _near(df: DataFrame, narrow: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join with a narrow table, which is broadcast if it is small."""
-    return df.join(F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow, keys)
+    """Inner join with a narrow stored table, which is broadcast if it is small."""
+    return df.join(if_small(narrow, 96), keys)
 
 
-def _linked(nodes: DataFrame, texts: DataFrame, tasks: DataFrame, least: float, first: bool, count: bool = False) -> DataFrame:
+def _linked(nodes: DataFrame, texts: DataFrame, tasks: DataFrame, least: float, salt: int, first: bool, count: bool = False) -> DataFrame:
     """tasks: grp, i, j, block. What is found where a task's blocks meet (``_tasks``)."""
     rows = stored(tasks.join(nodes, ["grp", "block"]).select("grp", "i", "j", "node", "block", "root", "copies"), "tasks")
     read = _near(texts, rows, ["node"]).select("grp", "i", "j", "node", "block", "root", F.lit(first).alias("first"), "copies", "text")
     parts = shuffle_parts(texts.sparkSession)
-    return stored(read.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_tasks(least, count), "a long, b long, n long"), "links")
+    return stored(read.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_tasks(least, count, salt), "a long, b long, n long"), "links")
 
 
-def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, ...]:
+def _grouped(docs: DataFrame, least: float) -> tuple:
     """Rows with their node; nodes; texts of those that may link; their groups and blocks;
-    the first round's tasks, block j with block 0 and with itself."""
+    the first round's tasks, block j with block 0 and with itself; the salt of the digests."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
     parts = shuffle_parts(spark, text_bytes(docs), 8 << 20)
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe(parts), DEALT)
-    both = stored(dealt.repartition(parts, "part").mapInArrow(_repeats(parts), DEALT), "sets")
-    described = both.where("a is null").select("doc_id", "n", "node")
+    salt = 0
+    while True:
+        dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe(parts, salt), DEALT)
+        both = stored(dealt.repartition(parts, "part").mapInArrow(_repeats(parts), DEALT), "sets")
+        described = both.where("a is null").select("doc_id", "n", "node", "witness")
+        ids = described.where("node is not null").groupBy("node").agg(F.min(doc_key()).alias("d"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), (F.min("witness") < F.max("witness")).alias("mixed"))
+        ids = stored(ids, "nodes")
+        if ids.where("mixed").isEmpty():
+            break
+        salt += 1  # two sets share a digest
     repeated = both.where("a is not null").select("part", "a", "b").repartition(parts, "part").mapInArrow(_summed, "node long, repeated long")
-    ids = described.where("node is not null").groupBy("node").agg(F.min(doc_key()).alias("d"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    left = ids.join(repeated, "node").where(F.col("repeated") >= F.ceil(F.lit(least) * F.col("n") - 1e-9)).select("node", "d")
+    left = ids.join(repeated, "node").where(F.col("repeated") >= F.ceil(F.lit(least) * F.col("n") - 1e-9)).select("node", "d", "n")
     left = stored(left, "left")
-    texts = _near(docs.select(doc_key().alias("d"), "text"), left, ["d"]).select("node", "d", "text").mapInArrow(_verified, "node long, d long, text string")
+    shingles = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counters = min(COUNTERS, max(FEWEST, 1 << int(shingles).bit_length()))
+    texts = _near(docs.select(doc_key().alias("d"), "text"), left.select("node", "d"), ["d"]).select("node", "d", "text").mapInArrow(_verified(salt), "node long, d long, text string")
     texts = stored(texts, "texts")
 
-    pieces = texts.select("text").mapInArrow(_sketch, "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(_add_up, "piece int, counts binary")
-    table = {r.piece: bytes(r.counts) for r in pieces.collect()}  # COUNTERS bytes, whatever the data
-    blank = bytes(COUNTERS // PIECES)
+    pieces = texts.select("text").mapInArrow(_sketch(counters), "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(_add_up, "piece int, counts binary")
+    table = {r.piece: bytes(r.counts) for r in pieces.collect()}  # at most COUNTERS bytes
+    blank = bytes(counters // PIECES)
     counts = spark.sparkContext.broadcast([table.get(i, blank) for i in range(PIECES)])
-    entries = texts.select("text").mapInArrow(_prefixes(counts, parts, least), "part int, tokens binary, owners binary")
+    entries = texts.select("text").mapInArrow(_prefixes(counts, counters, parts, least, salt), "part int, tokens binary, owners binary")
     ties = stored(entries.repartition(parts, "part").mapInArrow(_ties, "a long, b long"), "ties")
     groups = components(ties).select("node", F.col("root").alias("grp"))
 
@@ -523,13 +571,13 @@ def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, ...]:
     blocks = members.groupBy("grp", "block").agg(F.first("blocks").alias("blocks"))
     own = blocks.select("grp", F.lit(0).alias("i"), F.col("block").alias("j"), "block")
     zero = blocks.where("block > 0").select("grp", F.lit(0).alias("i"), F.col("block").alias("j"), F.lit(0).alias("block"))
-    return described, ids, texts, members, own.unionAll(zero)
+    return described, ids, texts, members, own.unionAll(zero), salt
 
 
 def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """doc_id, n_shingles, component_id and node (the digest of the document's set)."""
-    described, ids, texts, members, tasks = _grouped(docs, least)
-    found = _linked(members, texts, tasks, least, True)
+    described, ids, texts, members, tasks, salt = _grouped(docs, least)
+    found = _linked(members, texts, tasks, least, salt, True)
     if not members.where("blocks > 2").isEmpty():
         roots = components(found)
         rooted = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -538,74 +586,74 @@ def jaccard_components(docs: DataFrame, least: float = 0.75) -> DataFrame:
         x, y = state.select("grp", F.col("block").alias("i"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), state.select("grp", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
         pairs = stored(x.join(y, "grp").where("i < j and least(lo1, lo2) < greatest(hi1, hi2)").select("grp", "i", "j"), "pairs")
         tasks = pairs.select("grp", "i", "j", F.explode(F.array("i", "j")).alias("block"))
-        found = found.unionAll(_linked(rooted, texts, tasks, least, False))
-    return _in_components(described, ids, found).select("doc_id", "n_shingles", "component_id", "node")
+        found = found.unionAll(_linked(rooted, texts, tasks, least, salt, False))
+    return _in_components(described, ids, found, salt).select("doc_id", "n_shingles", "component_id", "node", "salt")
 
 
 def jaccard_links(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """The columns of ``jaccard_components`` and n_links, how many other rows link with it."""
-    described, ids, texts, members, tasks = _grouped(docs, least)
-    found = _linked(members, texts, tasks, least, True, True)
+    described, ids, texts, members, tasks, salt = _grouped(docs, least)
+    found = _linked(members, texts, tasks, least, salt, True, True)
     blocks = stored(members.where("blocks > 2 and block > 0").select("grp", "block").distinct(), "blocks")
     if not blocks.isEmpty():
         pairs = blocks.withColumnRenamed("block", "i").join(blocks.withColumnRenamed("block", "j"), "grp").where("i < j")
         tasks = pairs.select("grp", "i", "j", F.explode(F.array("i", "j")).alias("block"))
-        found = found.unionAll(_linked(members, texts, tasks, least, False, True))
+        found = found.unionAll(_linked(members, texts, tasks, least, salt, False, True))
     sums = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("_sum"))
-    out = _in_components(described, ids, found.where("b is not null")).join(sums, "node", "left")
+    out = _in_components(described, ids, found.where("b is not null"), salt).join(sums, "node", "left")
     n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("_sum", F.lit(0)), F.lit(0)).cast("long")
     return out.select("doc_id", "n_shingles", "component_id", "node", n_links.alias("n_links"))
 
 
-def _in_components(described: DataFrame, ids: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, node and copies, the rows of the same set."""
+def _in_components(described: DataFrame, ids: DataFrame, found: DataFrame, salt: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, node (with its salt) and copies, the rows of the same set."""
     roots = components(found)
     named = stored(ids.join(roots, "node", "left").select("node", "d", "copies", F.coalesce("root", "node").alias("root")), "named")
     smallest = named.groupBy("root").agg(F.min("d").alias("component_id"))
     classes = named.join(smallest, "root").select("node", "component_id", "copies")
     out = described.join(classes, "node", "left")
     own_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("component_id"), F.lit(2**63 - 1)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), "node", "copies")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), "node", F.lit(salt).alias("salt"), "copies")
 
 
-def _chosen(batches):
+def _chosen(name: str):
     """Rows with the digests that their id is kept for, in ``nodes``: marks whose set is one."""
-    cache = WordHash()
-    for batch in batches:
-        nodes = batch.column(1).to_pylist()
-        mine = [digest(s) if len(s) else 0 for s in _sets(batch, 0, cache)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([n if n in w else None for n, w in zip(mine, nodes, strict=True)], pa.int64())], [*batch.schema.names[2:], "_node"])
+
+    def run(batches):
+        cache = WordHash()
+        for batch in batches:
+            nodes, salts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            mine = [digest(s, salt) if len(s) else 0 for s, salt in zip(_sets(batch, 0, cache), salts, strict=True)]
+            marks = pa.array([n if n in w else None for n, w in zip(mine, nodes, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], marks], [*batch.schema.names[3:], name])
+
+    return run
 
 
 def keep_one(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """One document of each component: the row with the smallest id. Rows without words all
-    stay. Of equal sets under one id one row stays."""
+    stay. Of equal sets under one id one row stays. All columns pass, whatever their names."""
     from pyspark.sql import types as T
 
     none = F.lit(2**63 - 1)
-    found = jaccard_components(docs, least).select(F.coalesce("doc_id", none).alias("_d"), F.coalesce("component_id", none).alias("_c"), "node")
+    d, rows, nodes, salt, text, node = own_names(docs, "_d", "_rows", "_nodes", "_salt", "_text", "_node")
+    found = jaccard_components(docs, least).select(F.coalesce("doc_id", none).alias(d), F.coalesce("component_id", none).alias("c"), "node", "salt")
     found = stored(found, "kept")
-    ids = found.groupBy("_d").agg(F.count(F.lit(1)).alias("_rows"), F.collect_set(F.when(F.col("_d") == F.col("_c"), F.coalesce("node", F.lit(0)))).alias("_nodes"))
-    ids = stored(ids.where(F.size("_nodes") > 0), "kept")
-    keyed = docs.withColumn("_d", doc_key())
-    once = ids.where("_rows = 1").select("_d")
-    out = keyed.join(F.broadcast(once) if once.count() <= BROADCAST_ROWS else once, "_d", "left_semi").select(*docs.columns)
-    if ids.where("_rows > 1").isEmpty():
+    ids = found.groupBy(d).agg(F.count(F.lit(1)).alias(rows), F.first("salt").alias(salt), F.collect_set(F.when(F.col(d) == F.col("c"), F.coalesce("node", F.lit(0)))).alias(nodes))
+    ids = stored(ids.where(F.size(nodes) > 0), "kept")
+    keyed = docs.withColumn(d, doc_key())
+    once = ids.where(F.col(rows) == 1).select(d)
+    out = keyed.join(if_small(once, 24), d, "left_semi").select(*docs.columns)
+    if ids.where(F.col(rows) > 1).isEmpty():
         return out
     # Ids on several rows: each row's own set decides.
-    again = keyed.join(ids.where("_rows > 1"), "_d").select(F.col("text").alias("_text"), "_nodes", *docs.columns)
-    marked = again.mapInArrow(_chosen, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())])).where("_node is not null")
-    worded = marked.where("_node != 0").dropDuplicates(["doc_id", "_node"])
-    return out.unionAll(worded.select(*docs.columns)).unionAll(marked.where("_node = 0").select(*docs.columns))
+    again = keyed.join(ids.where(F.col(rows) > 1), d).select(F.col("text").alias(text), nodes, salt, *docs.columns)
+    marked = again.mapInArrow(_chosen(node), T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())])).where(F.col(node).isNotNull())
+    worded = marked.where(F.col(node) != 0).dropDuplicates(["doc_id", node])
+    return out.unionAll(worded.select(*docs.columns)).unionAll(marked.where(F.col(node) == 0).select(*docs.columns))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
-
-
-def op8_links(spark, sf_dir: str) -> DataFrame:
-    """op8_jaccard with the number of links of each document, all counted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_links(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
@@ -617,14 +665,15 @@ WITH RECURSIVE w AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)
 ), sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS same FROM s GROUP BY doc_id),
-rep AS (SELECT same, min(doc_id) AS r, any_value(n) AS n FROM sets GROUP BY same),
+rep AS (SELECT same, min(doc_id) AS r, any_value(n) AS n, count(*) AS c FROM sets GROUP BY same),
 t AS (SELECT r, n, s FROM rep JOIN s ON s.doc_id = rep.r),
 p AS (
   SELECT a.r AS x, b.r AS y FROM t a JOIN t b ON a.s = b.s AND a.r < b.r AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
   GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
 ), e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
 reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
-root AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
-SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(least(rep.r, root.y), d.doc_id) AS component_id
-FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (same) LEFT JOIN root ON root.x = rep.r
+root AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+linked AS (SELECT e.x, sum(rep.c) AS k FROM e JOIN rep ON rep.r = e.y GROUP BY e.x)
+SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(least(rep.r, root.y), d.doc_id) AS component_id, coalesce(rep.c - 1 + coalesce(linked.k, 0), 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (same) LEFT JOIN root ON root.x = rep.r LEFT JOIN linked ON linked.x = rep.r
 """

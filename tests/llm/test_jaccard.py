@@ -66,7 +66,7 @@ def same(got, want):
 def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = [tuple(r) for r in jaccard.op8_jaccard(spark, SF).collect()]
-    same(got, brute(rows))
+    same(got, brute_links(rows))
     assert sum(r[0] != r[2] for r in got) > 50
 
 
@@ -111,9 +111,32 @@ def test_every_link_is_counted(spark, monkeypatch, block, odd, none):
     assert jaccard.jaccard_links(none).count() == 0
 
 
-def test_links_query(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    same([tuple(r) for r in jaccard.op8_links(spark, SF).collect()], brute_links(rows))
+def test_digests_that_collide(spark, monkeypatch):
+    """Sets that share a name under the first salt are told apart under the next."""
+    real = jaccard.digest
+    monkeypatch.setattr(jaccard, "digest", lambda s, salt: len(s) if salt == 0 else real(s, salt))
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(30))) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same([tuple(r)[:3] for r in jaccard.jaccard_components(df).collect()], brute(rows))
+
+
+def test_bitmaps_in_parts(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**60, (20, 40)).astype(np.uint64)
+    sets = [np.unique(np.r_[base[i % 20][: rng.integers(34, 41)], rng.integers(0, 2**60, 3).astype(np.uint64)]) for i in range(300)]
+    rows, known = np.arange(300), list(range(300))
+
+    def sums(limit, left, right):
+        monkeypatch.setattr(jaccard, "BITMAP_BYTES", limit)
+        counts = (np.arange(1, 301), np.zeros(300, np.int64))
+        jaccard.links(sets, left, right, known, 0.75, counts)
+        return counts[1].tolist(), len(jaccard.links(sets, left, right, known, 0.75))
+
+    for left, right in ((rows, rows), (rows[:100], rows[100:])):
+        assert sums(1 << 30, left, right) == sums(4000, left, right)
+    assert sum(sums(4000, rows, rows)[0]) > 0
 
 
 def test_odd_rows(spark, odd, none):
