@@ -11,13 +11,15 @@ but those in the smallest doc_id that holds them.
    one side only: no repeat is missed. The filters grow with the number of lines.
 2. Lines that the merged "twice" holds are suspects. Only they are shuffled, as (key, doc_id),
    to find the keys that really are in two documents and the first of these; a partial
-   aggregation takes the heat off very common lines. The filter is broadcast up to
-   ``BROADCAST_BYTES``. Beyond, line hashes are sent to the segment that decides on them.
-3. Documents meet their list of keys to drop, by doc_id.
+   aggregation takes the heat off very common lines, and their keys, being few, are broadcast.
+   The filter is broadcast up to ``BROADCAST_BYTES``. Beyond, lines are dealt out by segment,
+   and each segment's filter is sent there once.
+3. Rows meet their list of keys to drop, by doc_id and a hash of the text.
 
 Nulls: a null text is one empty line; rows that share a doc_id count as one document, rows
-without an id as one that comes last. Equal rows keep or lose the same lines. Empty tables
-give empty results; columns other than doc_id and text are passed through by ``dedup_lines``.
+without an id as one that comes last. Equal rows keep or lose the same lines. Long texts are
+split whole. Empty tables give empty results. ``dedup_lines`` passes all columns; results whose
+names are taken are named n_lines_2, n_dropped_2 (or the next free).
 """
 
 from __future__ import annotations
@@ -32,12 +34,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import doc_key, need, raw_texts, shuffle_parts, stored
+from panelforge.llm.common import doc_key, need, own_names, raw_texts, shuffle_parts, stored
 
 #: Bits of a filter for each line, and hashes for each.
 BITS_A_LINE, HASHES = 16, 3
 #: Bits of one segment.
 SEGMENT = 1 << 20
+#: Hashes of a segment up to which a task sends them instead of bits.
+FEW = 4_000
+#: Documents from which on a key is frequent, and met by a broadcast.
+HOT_ROWS = 5_000
 #: A merged filter is broadcast up to this size.
 BROADCAST_BYTES = 128 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -82,9 +88,19 @@ class Filters:
         press = zstandard.ZstdCompressor(level=1)
         for s, parts in self.seen.items():
             values, count = np.unique(np.concatenate(parts), return_counts=True)
-            once = bitmap(values, self.segments)
-            twice = bitmap(values[count > 1], self.segments)
-            yield s, press.compress(once.tobytes()), press.compress(twice.tobytes())
+            yield s, _sent(values, self.segments, press), _sent(values[count > 1], self.segments, press)
+
+
+def _sent(h: np.ndarray, segments: int, press: zstandard.ZstdCompressor) -> bytes:
+    """Few hashes of a segment travel as they are, many as its bits."""
+    return b"h" + h.tobytes() if len(h) <= FEW else b"b" + press.compress(bitmap(h, segments).tobytes())
+
+
+def _bits(sent: bytes, segments: int, opened: zstandard.ZstdDecompressor) -> np.ndarray:
+    """Places of the bits that are set."""
+    if sent[:1] == b"h":
+        return places(np.frombuffer(sent, np.uint64, offset=1), segments)[1].ravel()
+    return np.flatnonzero(np.unpackbits(np.frombuffer(opened.decompress(sent[1:]), np.uint8)))
 
 
 def bitmap(h: np.ndarray, segments: int) -> np.ndarray:
@@ -111,21 +127,26 @@ def _build(least: int, segments: int):
     return run
 
 
-def _merge(batches):
+def _merge(segments: int):
     """Rows of a partition, sorted by segment -> the merged "twice" of each segment."""
-    opened = zstandard.ZstdDecompressor()
-    now, once, twice = None, None, None
-    for batch in batches:
-        for s, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if s != now:
-                if now is not None:
-                    yield _segment(now, twice)
-                now, once, twice = s, np.zeros(SEGMENT // 8, np.uint8), np.zeros(SEGMENT // 8, np.uint8)
-            a, b = (np.frombuffer(opened.decompress(x), np.uint8) for x in (a, b))
-            twice |= b | (once & a)
-            once |= a
-    if now is not None:
-        yield _segment(now, twice)
+
+    def run(batches):
+        opened = zstandard.ZstdDecompressor()
+        now, once, twice = None, None, None
+        for batch in batches:
+            for s, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != now:
+                    if now is not None:
+                        yield _segment(now, np.packbits(twice))
+                    now, once, twice = s, np.zeros(SEGMENT, np.bool_), np.zeros(SEGMENT, np.bool_)
+                a, b = _bits(a, segments, opened), _bits(b, segments, opened)
+                twice[b] = True
+                twice[a[once[a]]] = True
+                once[a] = True
+        if now is not None:
+            yield _segment(now, np.packbits(twice))
+
+    return run
 
 
 def _segment(s: int, twice: np.ndarray) -> pa.RecordBatch:
@@ -143,68 +164,90 @@ def repeated(h: np.ndarray, filters: dict[int, np.ndarray], segments: int) -> np
     return out
 
 
+_FOUND = "key binary, d long, r long"
+_FOUND_ARROW = pa.schema([("key", pa.binary()), ("d", pa.int64()), ("r", pa.int64())])
+
+
 def suspects(keyed: DataFrame, least: int) -> DataFrame:
-    """(key, d) of every line whose key may be in two documents; keyed: d, text."""
+    """(key, d, r) of every line whose key may be in two documents; keyed: d, r, text."""
     spark = keyed.sparkSession
     lines = keyed.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)))).first()[0] or 0
     segments = max(1, -(-lines * BITS_A_LINE // SEGMENT))
     built = keyed.select("text").mapInArrow(_build(least, segments), "segment int, once binary, twice binary")
     parts = min(segments, shuffle_parts(spark, segments * SEGMENT))
-    merged = stored(built.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment int, twice binary"), "twice")
-    schema = "key binary, d long"
+    merged = stored(built.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_merge(segments), "segment int, twice binary"), "twice")
     if segments * SEGMENT // 8 <= BROADCAST_BYTES:
         sent = spark.sparkContext.broadcast([(r.segment, bytes(r.twice)) for r in merged.toLocalIterator()])
 
         def find(batches):
             filters = {s: np.frombuffer(zstandard.decompress(x), np.uint8) for s, x in sent.value}
             for batch in batches:
-                ids, keys = [], []
-                for d, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+                out: list[list] = [[], [], []]
+                for d, r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
                     found = list(keys_of(text, least))
                     if found:
-                        hit = repeated(np.fromiter(map(_hash, found), np.uint64, len(found)), filters, segments)
-                        keys += [found[i] for i in np.flatnonzero(hit)]
-                        ids += [d] * int(hit.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "d"])
+                        hit = np.flatnonzero(repeated(np.fromiter(map(_hash, found), np.uint64, len(found)), filters, segments))
+                        for c, v in zip(out, ([found[i] for i in hit], [d] * len(hit), [r] * len(hit)), strict=True):
+                            c += v
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
+
+        return keyed.select("d", "r", "text").mapInArrow(find, _FOUND)
 
-        return keyed.select("d", "text").mapInArrow(find, schema)
+    # Too large to send about: lines go to the segment that knows, whose filter comes first.
+    asked = pa.schema([("segment", pa.int32()), ("twice", pa.binary()), ("h", pa.int64()), *_FOUND_ARROW])
 
-    # Too large to send about: hashes go to the segment that knows, suspects come back.
     def hashes(batches):
         for batch in batches:
-            ids, hs, keys = [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                for k in keys_of(text, least):
-                    ids.append(d), keys.append(k), hs.append(_hash(k))
-            seg, _ = places(np.array(hs, np.uint64), segments)
-            yield pa.RecordBatch.from_arrays([pa.array(seg.astype(np.int32)), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["segment", "h", "key", "d"])
-
-    rows = keyed.select("d", "text").mapInArrow(hashes, "segment int, h long, key binary, d long")
+            out: list[list] = [[], [], []]
+            for d, r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
+                found = keys_of(text, least)
+                for c, v in zip(out, (found, [d] * len(found), [r] * len(found)), strict=True):
+                    c += v
+            h = np.fromiter(map(_hash, out[0]), np.uint64, len(out[0]))
+            seg, _ = places(h, segments)
+            head = [pa.array(seg.astype(np.int32)), pa.nulls(len(h), pa.binary()), pa.array(h.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*head, *(pa.array(c, f.type) for c, f in zip(out, _FOUND_ARROW, strict=True))], schema=asked)
 
     def test(batches):
-        cache: dict[int, np.ndarray] = {}
+        now: dict[int, np.ndarray] = {}
         for batch in batches:
             seg, twice = batch.column(0).to_numpy(), batch.column(1)
-            hit = np.zeros(len(seg), np.bool_)
-            h = batch.column(2).to_numpy().view(np.uint64)
-            for s in np.unique(seg):
-                at = np.flatnonzero(seg == s)
-                if int(s) not in cache:
-                    if len(cache) > 64:
-                        cache.clear()
-                    cache[int(s)] = np.frombuffer(zstandard.decompress(twice[int(at[0])].as_py()), np.uint8)
-                hit[at] = repeated(h[at], cache, segments)
-            kept = pa.RecordBatch.from_arrays([batch.column(3), batch.column(4)], ["key", "d"])
-            yield kept.filter(pa.array(hit))
-
-    return rows.join(merged, "segment").select("segment", "twice", "h", "key", "d").mapInArrow(test, schema)
+            first = np.r_[0, np.flatnonzero(np.diff(seg)) + 1]
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(seg)], strict=True):
+                if a == b:
+                    continue
+                if twice[a].is_valid:
+                    now = {int(seg[a]): np.frombuffer(zstandard.decompress(twice[a].as_py()), np.uint8)}
+                    a += 1
+                rows = batch.slice(a, b - a)
+                hit = repeated(rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), now, segments)
+                kept = rows.filter(pa.array(hit))
+                yield pa.RecordBatch.from_arrays(kept.columns[3:], schema=_FOUND_ARROW)
+
+    schema = f"segment int, twice binary, h long, {_FOUND}"
+    rows = keyed.select("d", "r", "text").mapInArrow(hashes, schema)
+    heads = merged.select("segment", "twice", F.lit(None).cast("long").alias("h"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("r"))
+    met = rows.unionAll(heads).repartition(parts, "segment").sortWithinPartitions("segment", F.col("twice").isNull())
+    return met.mapInArrow(test, _FOUND)
 
 
 def drops(keyed: DataFrame, least: int = 10) -> DataFrame:
-    """(d, drop): the keys that document d loses."""
+    """(d, r, drop): the keys that a row of document d loses."""
     found = stored(suspects(keyed, least).distinct(), "suspects")
-    firsts = found.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key", "first")
-    return found.join(firsts, "key").where("d > first").groupBy("d").agg(F.collect_list("key").alias("drop"))
+    firsts = found.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    firsts = stored(firsts.select("key", "first", "n", (F.col("n") > HOT_ROWS).alias("hot")), "firsts")
+    # Keys that very many documents have are few: their rows stay where they are.
+    longest, n_hot = firsts.where("hot").agg(F.coalesce(F.max(F.octet_length("key")), F.lit(0)), F.count(F.lit(1))).first()
+    rest = found
+    gone = None
+    if 0 < n_hot * (longest + 64) <= BROADCAST_BYTES:
+        hot = F.broadcast(firsts.where("hot").select("key", "first"))
+        gone = found.join(hot, "key").where("d > first").select("d", "r", "key")
+        rest = found.join(hot, "key", "left_anti")
+        firsts = firsts.where("not hot")
+    met = rest.join(firsts.select("key", "first"), "key").where("d > first").select("d", "r", "key")
+    met = met if gone is None else met.unionAll(gone)
+    return met.groupBy("d", "r").agg(F.collect_list("key").alias("drop"))
 
 
 def _strip(width: int, least: int, digest: bool, schema: pa.Schema):
@@ -234,13 +277,16 @@ def dedup_lines(docs: DataFrame, least: int = 10, digest: bool = False) -> DataF
 
     need(docs, "doc_id", "text")
     own = ["doc_id"] if digest else [c for c in docs.columns if c != "text"]
-    keyed = docs.select(doc_key().alias("d"), "text")
-    gone = drops(keyed, least)
+    d, r, drop, text = own_names(docs, "_d", "_r", "_drop", "_text")
+    n_lines, n_dropped = ("n_lines", "n_dropped") if digest else own_names(docs, "n_lines", "n_dropped")
+    # Rows of one document are told apart by their texts, so that no list is longer than a text.
+    row = F.xxhash64(F.coalesce("text", F.lit("")))
+    gone = drops(docs.select(doc_key().alias("d"), row.alias("r"), "text"), least).select(F.col("d").alias(d), F.col("r").alias(r), F.col("drop").alias(drop))
     last = "kept_sha256" if digest else "text"
-    out = T.StructType([docs.schema[c] for c in own] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField(last, T.StringType())])
-    rows = docs.withColumn("_d", doc_key()).join(gone.withColumnRenamed("d", "_d"), "_d", "left").select(*own, F.col("text").alias("_text"), "drop")
+    out = T.StructType([docs.schema[c] for c in own] + [T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType()), T.StructField(last, T.StringType())])
+    rows = docs.withColumns({d: doc_key(), r: row}).join(gone, [d, r], "left").select(*own, F.col("text").alias(text), drop)
     done = rows.mapInArrow(_strip(len(own), least, digest, to_arrow_schema(out)), out)
-    return done if digest else done.select(*docs.columns, "n_lines", "n_dropped")
+    return done if digest else done.select(*docs.columns, n_lines, n_dropped)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
