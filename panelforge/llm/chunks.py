@@ -6,28 +6,22 @@ passage is cut alike wherever it stands. Cuts that crowd another are dropped and
 are split, by rules that look at the neighbourhood alone.
 
 Chunks of equal digest in two or more documents are repeats; the smallest doc_id keeps its
-own. There are two forms:
-
-``repeated_passages``, which ``dedup_substrings`` removes by: chunks in a row that stand in
-the same row in the first document with them are a candidate, however few. It is extended
-byte by byte to both sides against that document (windows of both texts, wider ones while
-all of a window agrees), and extended spans of at least ``least_words`` words are reported,
-without those inside another. So each span is whole in kept_doc_id. A passage without any
-whole chunk, or each of whose chunks has an earlier first holder without the passage, is
-missed.
-
-``repeated_spans``: chunks in a row that a document repeats are one span, whoever keeps them;
-spans of at least ``least_words`` words between cuts are reported. The words at a passage's
-rim, before its first and after its last cut, do not count, so passages of just over 50 words
-are missed more often (figures: README), and a span need not be whole in kept_doc_id.
-
-Chunks are counted by one aggregation with a partial step and met again by a join that Spark
-splits where a digest is in very many documents; no task gathers a digest's holders.
+own. Chunks in a row that stand in the same row in the first document with them are a
+candidate. It is extended byte by byte to both sides against that document (windows of both
+texts, wider ones while all of a window agrees), and extended spans of at least ``least_words``
+words are reported, without those inside another. So each span is whole in kept_doc_id: its
+inside has the same 128-bit digest there, the rest is compared. Candidates in stretches too
+short for a passage, by a bound that loses none, are not extended. A passage without any whole
+chunk, or each of whose chunks has an earlier first holder without the passage, is missed.
+
+Entries of chunks travel packed, by hash range. A chunk that a task has very often goes aside
+under a key of that task, and only its first holder goes to the range; so a chunk that very many
+documents have gathers nowhere. Texts move only if the candidates are too many to be broadcast.
 
 Nulls: a null text has no chunks. Rows that share an id (or have none) are one document for
 what repeats, and are cut each by its own text. Repeats within one document are left. Equal
-rows lose the same spans. Empty tables give empty results; other columns pass through
-``dedup_substrings``.
+rows lose the same spans. Very long texts are cut and compared whole. Empty tables give empty
+results. ``dedup_substrings`` passes all columns; if there is an n_cut, its own is n_cut_2.
 """
 
 from __future__ import annotations
@@ -35,13 +29,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import NO_ID, SLICE_BYTES, doc_key, need, raw_texts, slices, stored
+from panelforge.llm.common import BROADCAST_BYTES, NO_ID, SLICE_BYTES, doc_key, need, own_names, raw_texts, shuffle_parts, slices, stored, text_bytes
 
 #: Bits of the hash that cut, crowding distance and longest chunk in bytes.
 SHIFT, CUT, CROWD, LONGEST = 11, 31, 8, 512
+#: Words of a passage, bytes at its beginning in which cuts may differ (the hash's reach and CROWD).
+LEAST_WORDS, RIM = 40, 24
+#: Chunks that a task gathers before it deals them out; how often one may be among them.
+FLUSH, OFTEN = 1 << 20, 64
 #: Bytes beside a candidate that are compared at first, and how much wider each next window is.
 WINDOW, WIDER = 128, 8
 GEAR = np.random.default_rng(9).integers(0, 2**32, 256, np.uint64).astype(np.uint32)
@@ -80,67 +79,183 @@ def words_before(text: bytes) -> np.ndarray:
     return np.r_[0, np.cumsum(begins)]
 
 
-_ROWS = "d long, r int, i int, s int, e int, w int, h long"
+#: One entry is a chunk: digest, document and row, start, length, words in it, before it, after it.
+_ENTRY = (("h", np.uint64), ("d", np.int64), ("r", np.int32), ("s", np.int32), ("n", np.uint16), ("w", np.uint16), ("pw", np.uint16), ("nw", np.uint16))
+_DEALT = "part int, kind int, h long, fl long, entries binary"
+_DEALT_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("h", pa.int64()), ("fl", pa.int64()), ("entries", pa.binary())])
+#: Kinds of rows: entries by hash range; one entry for many in a flush; these many.
+ALL, HEAD, MANY = 0, 1, 2
 
 
-def _chunks(batches):
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), raw_texts(batch.column(1))
-        for a, b in slices(texts):
-            cols: list[list] = [[] for _ in range(7)]
-            for d, text in zip(ids[a:b], texts[a:b], strict=True):
-                starts = chunk_starts(text)
-                k = len(starts)
-                if not k:
+def _press(entries: list[np.ndarray]) -> bytes:
+    body = zstandard.compress(b"".join(x.tobytes() for x in entries[1:]), 1)
+    return len(entries[0]).to_bytes(4, "little") + entries[0].tobytes() + body
+
+
+def _opened(raw: bytes) -> list[np.ndarray]:
+    k = int.from_bytes(raw[:4], "little")
+    out, rest, at = [np.frombuffer(raw, np.uint64, k, 4)], zstandard.decompress(raw[4 + 8 * k :]), 0
+    for _, kind in _ENTRY[1:]:
+        out.append(np.frombuffer(rest, kind, k, at))
+        at += k * np.dtype(kind).itemsize
+    return out
+
+
+def entries_of(d: int, text: bytes) -> list[np.ndarray]:
+    starts = chunk_starts(text)
+    k = len(starts)
+    ends = np.r_[starts[1:], len(text)]
+    count = words_before(text)
+    w = count[ends] - count[starts]
+    h = np.fromiter((xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, k)
+    values = (h, np.full(k, d), np.full(k, row_of(text)), starts, ends - starts, w, np.r_[0, w[:-1]], np.r_[w[1:], 0])
+    return [v.astype(t) for v, (_, t) in zip(values, _ENTRY, strict=True)]
+
+
+def row_of(text: bytes) -> int:
+    return xxhash.xxh32_intdigest(text) >> 1
+
+
+def _deal(parts: int):
+    """doc_id, text -> entries packed by hash range; chunks that a task has very often go aside."""
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        seen: set[tuple[int, int]] = set()
+        size = turn = 0
+
+        def flush():
+            nonlocal turn
+            e = [np.concatenate(x) for x in zip(*held, strict=True)]
+            fl = int(np.array(xxhash.xxh3_64_intdigest(e[0].tobytes(), seed=len(held)), np.uint64).view(np.int64))
+            by = np.argsort(e[0], kind="stable")
+            edge = np.flatnonzero(np.r_[True, e[0][by][1:] != e[0][by][:-1], True])
+            rows, often = [], np.zeros(len(by), np.bool_)
+            for k in np.flatnonzero(np.diff(edge) > OFTEN).tolist():
+                at = by[edge[k] : edge[k + 1]]
+                first = at[np.lexsort((e[3][at], e[2][at], e[1][at]))[:1]]
+                h = e[0][first[0]]
+                often[at] = True
+                turn += 1
+                rows.append((int((h >> np.uint64(33)) % np.uint64(parts)), HEAD, int(h.view(np.int64)), fl, _press([x[first] for x in e])))
+                rows.append(((fl + turn) % parts, MANY, int(h.view(np.int64)), fl, _press([x[at] for x in e])))
+            rest = np.flatnonzero(~often)
+            part = ((e[0][rest] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.r_[0, np.flatnonzero(np.diff(part[order])) + 1, len(order)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    at = rest[order[a:b]]
+                    rows.append((int(part[order[a]]), ALL, None, None, _press([x[at] for x in e])))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DEALT_ARROW, strict=True)], schema=_DEALT_ARROW)
+
+        for batch in batches:
+            texts = raw_texts(batch.column(1))
+            for d, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                if not text or (d, row_of(text)) in seen:
                     continue
-                ends = np.r_[starts[1:], len(text)]
-                count = words_before(text)
-                h = np.fromiter((xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, k).view(np.int64)
-                row = np.int32(xxhash.xxh32_intdigest(text) >> 1)
-                for c, v in zip(cols, (np.full(k, d, np.int64), np.full(k, row, np.int32), np.arange(k, dtype=np.int32), starts.astype(np.int32), ends.astype(np.int32), (count[ends] - count[starts]).astype(np.int32), h), strict=True):
-                    c.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["d", "r", "i", "s", "e", "w", "h"])
+                seen.add((d, row_of(text)))
+                held.append(entries_of(d, text))
+                size += len(held[-1][0])
+                if size > FLUSH:
+                    yield flush()
+                    held, size = [], 0
+                    seen.clear()
+        if held:
+            yield flush()
+
+    return run
 
 
-def repeated_spans(docs: DataFrame, least_words: int = 20) -> DataFrame:
-    """d, r (tells texts of one id apart), start and end in UTF-8 bytes, words, kept_d."""
-    need(docs, "doc_id", "text")
-    chunks = stored(docs.select(doc_key().alias("d"), "text").mapInArrow(_chunks, _ROWS), "chunks")
-    first = chunks.groupBy("h").agg(F.min("d").alias("kept"), F.max("d").alias("last")).where("kept < last").select("h", "kept")
-    again = chunks.join(first, "h").where("d > kept").select("d", "r", "i", "s", "e", "w", "kept").distinct()
-    row = Window.partitionBy("d", "r").orderBy("i")
-    runs = again.withColumn("_run", F.col("i") - F.row_number().over(row)).groupBy("d", "r", "_run")
-    spans = runs.agg(F.min("s").alias("start"), F.max("e").alias("end"), F.sum("w").alias("words"), F.min("kept").alias("kept_d"))
-    return spans.where(F.col("words") >= least_words).drop("_run")
+_MET = "kind int, h long, fl long, d long, r int, s int, e int, w int, pw int, nw int, kd long, kr int, ks int, entries binary"
+_MET_ARROW = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in _MET.split(", ")])
+
+
+def _met(kind: int, count: int, **columns) -> pa.RecordBatch:
+    out = {"kind": np.full(count, kind, np.int32)} | columns
+    return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if f.name in out else pa.nulls(count, f.type) for f in _MET_ARROW], schema=_MET_ARROW)
 
 
-def _with_row(batches):
+def _firsts(batches):
+    """A hash range's entries -> each chunk that an earlier document has as well, with its first
+    holder; for what went aside the first holder only."""
+    held: list[list[np.ndarray]] = []
+    heads: list[tuple[int, int]] = []
     for batch in batches:
-        row = [xxhash.xxh32_intdigest(x) >> 1 for x in raw_texts(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row, pa.int32()), batch.column(1)], ["d", "r", "text"])
+        for kind, h, fl, raw in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
+            if kind == MANY:
+                yield _met(MANY, 1, h=[h], fl=[fl], entries=[raw])
+                continue
+            held.append(_opened(raw))
+            if kind == HEAD:
+                heads.append((h, fl))
+    if not held:
+        return
+    h, d, r, s, n, w, pw, nw = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    by = np.lexsort((s, r, d, h))
+    h, d, r, s, n, w, pw, nw = (x[by] for x in (h, d, r, s, n, w, pw, nw))
+    fresh = np.r_[True, h[1:] != h[:-1]]
+    once = fresh | np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1])]
+    first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    at = np.flatnonzero(once & (d > d[first]))
+    for i in range(0, len(at), 100_000):
+        a = at[i : i + 100_000]
+        f = first[a]
+        yield _met(ALL, len(a), d=d[a], r=r[a], s=s[a], e=s[a] + n[a].astype(np.int32), w=w[a].astype(np.int32), pw=pw[a].astype(np.int32), nw=nw[a].astype(np.int32), kd=d[f], kr=r[f], ks=s[f])
+    if heads:
+        heads.sort()
+        where = np.searchsorted(h, np.array([x for x, _ in heads], np.int64).view(np.uint64))
+        yield _met(HEAD, len(heads), h=[x for x, _ in heads], fl=[y for _, y in heads], kd=d[where], kr=r[where], ks=s[where])
+
+
+def _unpacked(batches):
+    """Chunks that went aside, with their first holder -> the rows of ``_firsts``."""
+    for batch in batches:
+        for raw, kd, kr, ks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            _, d, r, s, n, w, pw, nw = (x.astype(np.int64) for x in _opened(raw))
+            a = np.flatnonzero(d > kd)
+            k = len(a)
+            yield _met(ALL, k, d=d[a], r=r[a], s=s[a], e=(s + n)[a], w=w[a], pw=pw[a], nw=nw[a], kd=np.full(k, kd), kr=np.full(k, kr), ks=np.full(k, ks))
+
 
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """d, r, s, e, w, pw, nw (words before and after), kd, kr, by: chunks with an earlier holder."""
+    parts = shuffle_parts(docs.sparkSession, text_bytes(docs), 8 << 20)
+    dealt = docs.select(doc_key().alias("d"), "text").mapInArrow(_deal(parts), _DEALT)
+    met = stored(dealt.repartition(parts, "part").mapInArrow(_firsts, _MET), "chunks")
+    cols = ["d", "r", "s", "e", "w", "pw", "nw", "kd", "kr", "ks"]
+    again = met.where(F.col("kind") == ALL).select(*cols)
+    heads = met.where(F.col("kind") == HEAD)
+    if not heads.isEmpty():
+        many = met.where(F.col("kind") == MANY).select("h", "fl", "entries").join(heads.select("h", "fl", "kd", "kr", "ks"), ["h", "fl"])
+        apart = many.select("entries", "kd", "kr", "ks").repartition(parts).mapInArrow(_unpacked, _MET).select(*cols).distinct()
+        again = stored(again.unionAll(apart), "chunks")
+    return again.select(*cols[:-1], (F.col("s") - F.col("ks")).alias("by"))
 
-_ENDS = "d long, r int, s int, e int, before binary, after binary"
+
+_ENDS = "d long, r int, s int, e int, before binary, after binary, whole binary"
 
 
 def _ends(width: int):
-    """d, r, text, asked -> for each (s, e) asked for up to width + 1 bytes before s, and the
-    byte before e with up to width after it."""
+    """d, text, asked -> for each (s, e) asked of the text's row: up to width + 1 bytes before s,
+    the byte before e with up to width after it, and a digest of what is between."""
 
     def run(batches):
         for batch in batches:
-            ids, rows, asked = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            texts = raw_texts(batch.column(2))
+            ids, asked = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            texts = raw_texts(batch.column(1))
             for x, y in slices(texts, SLICE_BYTES):
-                out: list[list] = [[] for _ in range(6)]
-                for d, r, ask, text in zip(ids[x:y], rows[x:y], asked[x:y], texts[x:y], strict=True):
+                out: list[list] = [[] for _ in range(7)]
+                for d, ask, text in zip(ids[x:y], asked[x:y], texts[x:y], strict=True):
+                    row = row_of(text)
                     for q in ask:
                         s, e = q["s"], q["e"]
-                        for c, v in zip(out, (d, r, s, e, text[max(0, s - width - 1) : s], text[e - 1 : e + width]), strict=True):
-                            c.append(v)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["d", "r", "s", "e", "before", "after"])
+                        if q["r"] == row:
+                            for c, v in zip(out, (d, row, s, e, text[max(0, s - width - 1) : s], text[e - 1 : e + width], xxhash.xxh3_128_digest(text[s:e])), strict=True):
+                                c.append(v)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["d", "r", "s", "e", "before", "after", "whole"])
 
     return run
 
@@ -157,12 +272,7 @@ def same_start(a: bytes, b: bytes) -> int:
     return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
 
 
-def words_begun(text: bytes, last: bytes) -> int:
-    """Beginnings of words in a text that follows ``last``."""
-    return len(text.split()) - bool(text and last and not text[:1].isspace() and not last.isspace())
-
-
-_FOUND = "d long, r int, s int, e int, w int, kd long, kr int, by int"
+_FOUND = "d long, r int, s int, e int, kd long, kr int, by int"
 
 
 def _grown(width: int):
@@ -170,9 +280,9 @@ def _grown(width: int):
 
     def run(batches):
         for batch in batches:
-            s, e, w, more = ([] for _ in range(4))
-            cols = [batch.column(i).to_pylist() for i in (2, 3, 4, 8, 9, 10, 11)]
-            for s0, e0, w0, la, ra, lb, rb in zip(*cols, strict=True):
+            s, e, more = [], [], []
+            cols = [batch.column(i).to_pylist() for i in (2, 3, 7, 8, 9, 10)]
+            for s0, e0, la, ra, lb, rb in zip(*cols, strict=True):
                 n, m = same_end(la[-width:], lb[-width:]), same_start(ra[1:], rb[1:])
                 on = (n == width and len(la) > width and len(lb) > width) or m == width
                 if not on:  # no part of a character
@@ -180,40 +290,68 @@ def _grown(width: int):
                         n -= 1
                     while m and m + 1 < len(ra) and ra[m + 1] & 0xC0 == 0x80:
                         m -= 1
-                at = len(la) - n
                 s.append(s0 - n)
                 e.append(e0 + m)
-                w.append(w0 + words_begun(la[at:], la[at - 1 : at]) + words_begun(ra[1 : m + 1], ra[:1]))
                 more.append(on)
-            out = [batch.column(0), batch.column(1), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(w, pa.int32()), *(batch.column(i) for i in (5, 6, 7)), pa.array(more, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(out, ["d", "r", "s", "e", "w", "kd", "kr", "by", "more"])
+            out = [batch.column(0), batch.column(1), pa.array(s, pa.int32()), pa.array(e, pa.int32()), *(batch.column(i) for i in (4, 5, 6)), pa.array(more, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(out, ["d", "r", "s", "e", "kd", "kr", "by", "more"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 20) -> DataFrame:
-    """d, r, start, end, words, kept_d like ``repeated_spans``, of extended spans."""
+def _candidates(again: DataFrame, least_words: int) -> DataFrame:
+    """Runs of chunks that a document shares with one keeper, in stretches of repeated chunks that
+    may hold a passage: what is equal in two documents has all its cuts but those in the first
+    RIM bytes in both, so it ends in the chunk after the stretch, and begins in the chunk before
+    it or at most RIM bytes earlier."""
+    row = Window.partitionBy("d", "r").orderBy("s")
+    reach = F.max("e").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    stretched = again.withColumn("_new", F.when(reach >= F.col("s"), 0).otherwise(1)).withColumn("_stretch", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    one = Window.partitionBy("d", "r", "_stretch")
+    most = F.sum("w").over(one) + F.max_by("pw", -F.col("s")).over(one) + F.max_by("nw", "s").over(one) + F.lit(RIM // 2)
+    able = stretched.withColumn("_most", most).where(F.col("_most") >= least_words)
+    line = Window.partitionBy("d", "r").orderBy("kd", "kr", "by", "s")
+    place = ["d", "r", "kd", "kr", "by"]
+    follows = (F.col("_kd") == F.col("kd")) & (F.col("_kr") == F.col("kr")) & (F.col("_by") == F.col("by")) & (F.col("_e") == F.col("s"))
+    runs = able.select("*", *[F.lag(c).over(line).alias(f"_{c}") for c in ("kd", "kr", "by", "e")]).withColumn("_run", F.sum(F.when(follows, 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*place, "_run").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("d", "r", "s", "e", "kd", "kr", "by")
+
+
+def _counted(batches):
+    """d, r, text, asked -> d, r, s, e, words of each span asked for."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(5)]
+        for d, text, ask in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            row, count = row_of(text), words_before(text)
+            for q in ask:
+                if q["r"] == row:
+                    for c, v in zip(out, (d, row, q["s"], q["e"], int(count[q["e"]] - count[q["s"]])), strict=True):
+                        c.append(v)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["d", "r", "s", "e", "w"])
+
+
+def _asked(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """d, text, asked: documents with the spans (d, r, s, e) that are asked of them. Texts move
+    only if the spans are too many to be broadcast."""
+    asked = stored(spans.groupBy("d").agg(F.collect_set(F.struct("r", "s", "e")).alias("asked")), "asked")
+    total = asked.agg(F.coalesce(F.sum(F.size("asked") * 24 + 64), F.lit(0))).first()[0]
+    asked = F.broadcast(asked) if total <= BROADCAST_BYTES else asked
+    return docs.select(doc_key().alias("d"), "text").join(asked, "d").select("d", "text", "asked")
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """d, r (tells texts of one id apart), start and end in UTF-8 bytes, words, kept_d."""
     need(docs, "doc_id", "text")
-    chunks = stored(docs.select(doc_key().alias("d"), "text").mapInArrow(_chunks, _ROWS), "chunks")
-    first = chunks.groupBy("h").agg(F.min(F.struct("d", "r", "s")).alias("k"), F.max("d").alias("last")).where("k.d < last").select("h", "k")
-    again = chunks.join(first, "h").where("d > k.d").selectExpr("d", "r", "i", "s", "e", "w", "k.d as kd", "k.r as kr", "s - k.s as by")
     place = ["d", "r", "kd", "kr", "by"]
-    # Equal rows have each chunk equally often: ranks are dense, and words are divided.
-    order = Window.partitionBy("d", "r").orderBy("kd", "kr", "by", "i")
-    apart = F.sum(F.when((F.col("i") - F.col("_i") <= 1) & (F.col("kd") == F.col("_kd")) & (F.col("kr") == F.col("_kr")) & (F.col("by") == F.col("_by")), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    runs = again.select("*", *[F.lag(c).over(order).alias(f"_{c}") for c in ("i", "kd", "kr", "by")]).withColumn("_run", apart).groupBy(*place, "_run")
-    once = (F.max("i") - F.min("i") + 1) / F.count(F.lit(1))
-    found = runs.agg(F.min("s").alias("s"), F.max("e").alias("e"), F.round(F.sum("w") * once).cast("int").alias("w"))
-    found = stored(found.select("d", "r", "s", "e", "w", "kd", "kr", "by"), "found")
-    texts = docs.select(doc_key().alias("d"), "text").mapInArrow(_with_row, "d long, r int, text string").dropDuplicates(["d", "r"])
+    found = stored(_candidates(repeated_chunks(docs), least_words), "found")
     whole, width = None, WINDOW
     while True:
-        asked = found.select("d", "r", "s", "e").unionAll(found.selectExpr("kd", "kr", "s - by", "e - by"))
-        asked = asked.groupBy("d", "r").agg(F.collect_set(F.struct("s", "e")).alias("asked"))
-        ends = stored(texts.join(asked, ["d", "r"]).mapInArrow(_ends(width), _ENDS), "ends")
-        theirs = ends.selectExpr("d as kd", "r as kr", "s as ks", "e as ke", "before as before_k", "after as after_k")
-        both = found.join(ends, ["d", "r", "s", "e"]).withColumns({"ks": F.col("s") - F.col("by"), "ke": F.col("e") - F.col("by")}).join(theirs, ["kd", "kr", "ks", "ke"])
-        grown = both.select("d", "r", "s", "e", "w", "kd", "kr", "by", "before", "after", "before_k", "after_k").mapInArrow(_grown(width), _FOUND + ", more boolean")
+        spans = found.select("d", "r", "s", "e").unionAll(found.selectExpr("kd", "kr", "s - by", "e - by"))
+        ends = stored(_asked(docs, spans).mapInArrow(_ends(width), _ENDS).dropDuplicates(["d", "r", "s", "e"]), "ends")
+        theirs = ends.selectExpr("d as kd", "r as kr", "s as ks", "e as ke", "before as before_k", "after as after_k", "whole as whole_k")
+        both = found.join(ends, ["d", "r", "s", "e"]).withColumns({"ks": F.col("s") - F.col("by"), "ke": F.col("e") - F.col("by")}).join(theirs, ["kd", "kr", "ks", "ke"]).where("whole = whole_k")
+        grown = both.select("d", "r", "s", "e", "kd", "kr", "by", "before", "after", "before_k", "after_k").mapInArrow(_grown(width), _FOUND + ", more boolean")
         grown = stored(grown, "grown")
         whole = grown.where("not more") if whole is None else whole.unionAll(grown.where("not more"))
         # Of those that have met in one place, one goes on for all.
@@ -222,26 +360,28 @@ def repeated_passages(docs: DataFrame, least_words: int = 20) -> DataFrame:
         if found.isEmpty():
             break
         width *= WIDER
-    spans = whole.where(F.col("w") >= least_words).groupBy("d", "r", "s", "e").agg(F.min("kd").alias("kept_d"), F.first("w").alias("words"))
+    spans = stored(whole.groupBy("d", "r", "s", "e").agg(F.min("kd").alias("kept_d")), "spans")
     before = F.max("e").over(Window.partitionBy("d", "r").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("_before", before).where("_before is null or _before < e")
-    return spans.select("d", "r", F.col("s").alias("start"), F.col("e").alias("end"), "words", "kept_d")
+    outer = spans.withColumn("_before", before).where("_before is null or _before < e").drop("_before")
+    counted = _asked(docs, outer).mapInArrow(_counted, "d long, r int, s int, e int, w int").where(F.col("w") >= least_words).distinct()
+    out = counted.join(outer, ["d", "r", "s", "e"])
+    return out.select("d", "r", F.col("s").alias("start"), F.col("e").alias("end"), F.col("w").alias("words"), "kept_d")
 
 
-def dedup_substrings(docs: DataFrame, least_words: int = 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated passages cut out of their texts, and n_cut, their number."""
     from pyspark.sql import types as T
 
-    spans = repeated_passages(docs, least_words).groupBy("d").agg(F.collect_list(F.struct("r", "start", "end")).alias("_spans")).withColumnRenamed("d", "_d")
-    cols = docs.columns
+    cols, (d, cut, n_cut) = docs.columns, own_names(docs, "_d", "_spans", "n_cut")
     at = cols.index("text")
-    rows = docs.withColumn("_d", doc_key()).join(spans, "_d", "left").select(*cols, "_spans")
+    spans = repeated_passages(docs, least_words).groupBy("d").agg(F.collect_set(F.struct("r", "start", "end")).alias(cut)).withColumnRenamed("d", d)
+    rows = docs.withColumn(d, doc_key()).join(spans, d, "left").select(*cols, cut)
 
     def run(batches):
         for batch in batches:
             texts, cuts = [], []
             for text, raw, found in zip(batch.column(at).to_pylist(), raw_texts(batch.column(at)), batch.column(len(cols)).to_pylist(), strict=True):
-                mine = xxhash.xxh32_intdigest(raw) >> 1
+                mine = row_of(raw)
                 gone = sorted((f["start"], f["end"]) for f in found or () if f["r"] == mine)
                 if gone:
                     met: list[list[int]] = []
@@ -256,9 +396,9 @@ def dedup_substrings(docs: DataFrame, least_words: int = 20) -> DataFrame:
                 cuts.append(len(gone))
             out = [*batch.columns[: len(cols)], pa.array(cuts, pa.int64())]
             out[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(out, [*cols, "n_cut"])
+            yield pa.RecordBatch.from_arrays(out, [*cols, n_cut])
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_cut", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(n_cut, T.LongType())]))
 
 
 def _named(spans: DataFrame) -> DataFrame:
@@ -267,10 +407,5 @@ def _named(spans: DataFrame) -> DataFrame:
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """One row for each repeated span that is to go: whose it is and who keeps it."""
-    return _named(repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-
-
-def op9_passages(spark, sf_dir: str) -> DataFrame:
-    """The same of extended spans, each whole in the document that keeps it."""
+    """One row for each repeated passage that is to go: whose it is and who keeps it."""
     return _named(repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -14,7 +14,6 @@ QUERIES = {
     "op7_lm": ngramlm.op7_lm,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_substring_dedup": chunks.op9_substring_dedup,
-    "op9_passages": chunks.op9_passages,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 

@@ -47,55 +47,53 @@ def test_cuts(rows):
         assert chunks.chunk_starts(text).tolist() == plain_starts(text)
 
 
-def brute_spans(rows, least=20):
-    where = collections.defaultdict(set)
-    cut = {}
-    for n, (d, t) in enumerate(rows):
-        t = (t or "").encode()
-        s = chunks.chunk_starts(t).tolist()
-        cut[n] = [t[a:b] for a, b in zip(s, [*s[1:], len(t)])]
-        for c in cut[n]:
-            where[c].add(d)
-    out = set()
-    for n, (d, t) in enumerate(rows):
-        at, run = 0, None
-        for c in [*cut[n], None]:
-            again = c is not None and min(where[c]) < d
-            if again:
-                run = run or [at, at, set()]
-                run[1] = at + len(c)
-                run[2].add(min(where[c]))
-            elif run:
-                raw = (t or "").encode()
-                begins = [m.start() for m in re.finditer(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", raw)]
-                w = sum(run[0] <= b < run[1] for b in begins)
-                if w >= least:
-                    out.add((d, run[0], run[1], w, min(run[2])))
-                run = None
-            at += len(c or b"")
-    return out
-
-
-def test_repeated_spans(spark, rows, odd, none):
-    assert {tuple(r) for r in chunks.op9_substring_dedup(spark, SF).collect()} == brute_spans(rows)
-    left = chunks.dedup_substrings(odd)
-    assert left.columns == [*odd.columns, "n_cut"] and left.count() == odd.count()
+def brute_passages(rows, least=chunks.LEAST_WORDS):
+    """Every chunk with an earlier holder, extended by itself, byte by byte."""
+    big = 2**63 - 1
+    texts = sorted({(big if d is None else d, chunks.row_of((t or "").encode()), (t or "").encode()) for d, t in rows})
+    first, last = {}, {}
+    cut = [(d, r, t, a, b) for d, r, t in texts for s in [chunks.chunk_starts(t).tolist()] for a, b in zip(s, [*s[1:], len(t)])]
+    for d, r, t, a, b in cut:
+        first.setdefault(t[a:b], (d, r, t, a))
+    spans, seen = {}, set()
+    for d, r, t, a, b in cut:
+        kd, kr, k, x = first[t[a:b]]
+        if kd == d or (d, r, kd, kr, a - x, a) in seen:
+            continue
+        s, e, y = a, b, x + b - a
+        while s and x and t[s - 1] == k[x - 1]:
+            s, x = s - 1, x - 1
+        while e < len(t) and y < len(k) and t[e] == k[y]:
+            e, y = e + 1, y + 1
+        while s < a and t[s] & 0xC0 == 0x80:
+            s += 1
+        while e > b and e < len(t) and t[e] & 0xC0 == 0x80:
+            e -= 1
+        begins = chunks.words_before(t)
+        if begins[e] - begins[s] >= least:
+            spans[d, r, s, e] = min(kd, spans.get((d, r, s, e), kd))
+    by_row = collections.defaultdict(list)
+    for (d, r, s, e), kd in spans.items():
+        by_row[d, r].append((s, e, kd))
+    count = {(d, r): chunks.words_before(t) for d, r, t in texts}
+    return sorted((d, r, s, e, int(count[d, r][e] - count[d, r][s]), kd) for (d, r), x in by_row.items() for s, e, kd in x if not any((s2, e2) != (s, e) and s2 <= s and e <= e2 for s2, e2, _ in x))
+
+
+@pytest.mark.parametrize("often", [64, 1])
+def test_repeated_passages(spark, rows, odd, none, monkeypatch, often):
+    monkeypatch.setattr(chunks, "OFTEN", often)
+    some = rows[:400] if often == 1 else rows
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    got = sorted(tuple(r) for r in chunks.repeated_passages(df).collect())
+    assert got == brute_passages(some) and len(got) > 20
+    mine = [(r.doc_id, r.text) for r in odd.collect()]
+    assert sorted(tuple(r) for r in chunks.repeated_passages(odd, 3).collect()) == brute_passages(mine, 3)
     assert chunks.dedup_substrings(none).count() == 0
 
 
-def test_passages_are_found_wherever_they_stand(spark):
-    rng = np.random.default_rng(3)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
-    passages = [" ".join(word() for _ in range(55)) for _ in range(100)]
-    fresh = lambda n: " ".join(word() for _ in range(n))
-    data = [(i, f"{fresh(rng.integers(1, 60))} {p} {fresh(30)}") for i, p in enumerate(passages)]
-    data += [(1000 + i, f"{fresh(rng.integers(1, 60))} {p} {fresh(30)}") for i, p in enumerate(passages)]
-    data += [(5000 + i, fresh(120)) for i in range(100)]
-    got = chunks.repeated_spans(spark.createDataFrame(data, "doc_id long, text string")).collect()
-    assert len({r.d for r in got if 1000 <= r.d < 2000}) >= 97 and not [r for r in got if r.d >= 5000 or r.d < 1000]
-    text = dict(data)
-    for r in got:
-        assert text[r.d].encode()[r.start : r.end] in text[r.kept_d].encode()
+def test_substring_query(spark, rows):
+    got = [tuple(r) for r in chunks.op9_substring_dedup(spark, SF).select("doc_id", "start_byte", "end_byte", "words", "kept_doc_id").collect()]
+    assert sorted(got) == sorted((d, s, e, w, k) for d, _, s, e, w, k in brute_passages(rows))
 
 
 def test_passages_of_51_words_are_cut_out(spark):
@@ -114,14 +112,14 @@ def test_passages_are_whole_in_their_keeper(spark, rows, odd, none):
     raw = collections.defaultdict(list)
     for d, t in rows:
         raw[d].append((t or "").encode())
-    got = chunks.op9_passages(spark, SF).collect()
+    got = chunks.op9_substring_dedup(spark, SF).collect()
     assert len(got) == len(set(got)) > 100
     for r in got:
         (mine,), (kept,) = raw[r.doc_id], raw[r.kept_doc_id]
         span = mine[r.start_byte : r.end_byte]
         assert r.kept_doc_id < r.doc_id and span in kept
         begins = [m.start() for m in re.finditer(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", mine)]
-        assert r.words == sum(r.start_byte <= b < r.end_byte for b in begins) >= 20
+        assert r.words == sum(r.start_byte <= b < r.end_byte for b in begins) >= 40
     assert chunks.repeated_passages(odd).count() >= 0 and chunks.repeated_passages(none).count() == 0
 
 
