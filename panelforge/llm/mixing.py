@@ -105,7 +105,7 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), mos
     levels = stored(level_of(with_source(graded, per.select("source", "target")), most), "levels")
     per = stored(with_source(per, levels), "sources")
     expected = F.least(F.lit(float(most)), F.col("_level") * F.pow(F.lit(2.0), F.col("_grade") / float(GRADES)))
-    df = with_source(rows, per).withColumn("_e", expected).withColumn("_sure", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_sure"))
+    df = with_source(rows, per).withColumn("_e", expected).withColumn("_sure", F.when(F.col("size") > 0, F.floor("_e")).otherwise(0)).withColumn("_p", F.col("_e") - F.floor("_e"))
     u = unit_hash(F.lit(seed), "doc_id", "tie")
     odds, chance = u / (1 - u), F.col("_p") / (1 - F.col("_p"))
     # v in (0, 1) grows with q = odds / chance; documents without a chance come last.

@@ -173,16 +173,17 @@ def find_all(text: Column, rule: Rule) -> Column:
         return F.transform(block["spans"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["kind"].alias("kind")))
 
     # Blocks of pieces are laid out by themselves and then moved to where the block begins, so
-    # that no growing array is copied at every match.
-    starts = F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1)), F.lit(PIECES))
-    blocks = F.transform(starts, lambda i: F.aggregate(F.slice(pieces, i, F.lit(PIECES)), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+    # that no growing array is copied at every match. A lambda's argument is computed once.
+    def blocks(pieces: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(PIECES))
+        return F.transform(starts, lambda i: F.aggregate(F.slice(pieces, i, F.lit(PIECES)), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
 
     def placed(blocks: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases"))
         bases = F.aggregate(blocks, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")))["bases"]
         return F.flatten(F.zip_with(blocks, bases, shifted))
 
-    laid = F.get(F.transform(F.array(blocks), placed), F.lit(0))
+    laid = F.get(F.transform(F.transform(F.array(pieces), blocks), placed), F.lit(0))
     return F.when(F.regexp_like(text, regex), laid).otherwise(none)
 
 

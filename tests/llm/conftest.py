@@ -19,13 +19,27 @@ ODD = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+#: Names of columns that operators make on their way, or as results.
+CLASHING = ("count", "key", "part", "h", "d", "r", "s", "item", "tie", "_tie", "_r", "_c", "_n", "_times", "_again", "_d", "_kinds", "kinds", "found", "drop", "_drop", "_text", "n_lines", "N_DROPPED", "_spans", "n_cut", "_found", "shard", "_rows", "_nodes", "_node", "_salt", "node", "row", "_w")
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
-    """Odd rows, with columns whose names clash with those that operators make."""
+    """Odd rows, with columns whose names clash with those that operators make; each says whose
+    row and which column it was."""
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, SCHEMA)
-    return df.select("*", *[F.lit(1).alias(c) for c in ("count", "key", "part", "h", "d", "item", "_w")])
+    return df.select("*", *[F.concat(F.lit(f"{c}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHING])
+
+
+def unharmed(df, rows=None):
+    """Every clashing column has its own name's and row's value still."""
+    got = df.select("doc_id", *[f"`{c}`" for c in CLASHING]).collect()
+    for r in got:
+        assert r[1:] == tuple(f"{c}/{'none' if r.doc_id is None else r.doc_id}" for c in CLASHING), r
+    assert rows is None or len(got) == rows
+    return got
 
 
 @pytest.fixture(scope="session")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from panelforge.llm import chunks, ngramlm, quality, topk
+from tests.llm.conftest import unharmed
 
 SF = "/root/testdata/sf0.01"
 
@@ -89,6 +90,11 @@ def test_repeated_passages(spark, rows, odd, none, monkeypatch, often):
     mine = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(tuple(r) for r in chunks.repeated_passages(odd, 3).collect()) == brute_passages(mine, 3)
     assert chunks.dedup_substrings(none).count() == 0
+    cut = chunks.dedup_substrings(odd, 3)
+    assert cut.columns == [*odd.columns, "n_cut_2"]
+    unharmed(cut, 12)
+    gone = collections.Counter(d for d, *_ in brute_passages(mine, 3))
+    assert all(r.n_cut_2 == gone[2**63 - 1 if r.doc_id is None else r.doc_id] for r in cut.collect())
 
 
 def test_substring_query(spark, rows):
@@ -187,10 +193,39 @@ def test_quality(spark, odd, none):
     assert auc > 0.97 and np.mean([got[d].predicted == labels[d] for d in held]) > 0.95
     lab = spark.createDataFrame([(1, 1), (8, 0), (9, None), (None, 1), (3, 0)], "doc_id long, quality int")
     assert quality.score_quality(odd, lab).count() == odd.count()
-    assert quality.reject_low_quality(odd, lab.limit(0)).count() == odd.count()
+    unharmed(quality.reject_low_quality(odd, lab.limit(0)), 12)
     assert quality.score_quality(none, lab).count() == 0 and quality.reject_low_quality(none, lab).columns == none.columns
 
 
+def test_quality_by_brute_force(spark, rows):
+    """Features, ridge and calibration again in numpy, from the statistics on."""
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    text = dict(rows)
+    use = [(d, y) for d, y in labels if d in text and y is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    x = np.array([quality.statistics((text[d] or "").encode()) for d, _ in use]).clip(-1e6, 1e6)
+    y = np.array([y for _, y in use], float)
+    scale = x.std(0)
+    scale[scale <= 1e-9] = 1
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.standard_normal((x.shape[1], quality.FEATURES)) / quality.WIDTH, rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    lift = lambda v: np.c_[np.cos(((v - x.mean(0)) / scale).clip(-8, 8) @ w + b) * (2 / quality.FEATURES) ** 0.5, np.ones(len(v))]
+    z = lift(x)
+    ridge = np.diag(np.r_[np.full(quality.FEATURES, quality.RIDGE), 0.0])
+    beta = np.linalg.solve(z.T @ z + ridge, z.T @ y)
+    raw = z @ beta
+    k = ((raw.clip(-0.5, 1.5) + 0.5) / 2 * (quality.BINS - 1)).astype(int)
+    bins = sorted(set(k.tolist()))
+    n, at, mean = (np.array([f(k == j) for j in bins]) for f in (np.sum, lambda m: raw[m].mean(), lambda m: y[m].mean()))
+    # Isotonic means by their min-max formula.
+    total, count = np.r_[0, np.cumsum(n * mean)], np.r_[0, np.cumsum(n)]
+    m = len(bins)
+    level = [max(min((total[j] - total[i]) / (count[j] - count[i]) for j in range(c + 1, m + 1)) for i in range(c + 1)) for c in range(m)]
+    every = sorted(text)
+    want = np.interp(lift(np.array([quality.statistics((text[d] or "").encode()) for d in every]).clip(-1e6, 1e6)) @ beta, at, level)
+    got = {r.doc_id: r.score for r in quality.op6_quality(spark, SF).collect()}
+    np.testing.assert_allclose([got[d] for d in every], want, atol=1e-6)
+
+
 def test_isotonic():
     assert quality.isotonic(np.ones(5), np.array([0.1, 0.5, 0.3, 0.3, 0.9])).tolist() == pytest.approx([0.1, 1.1 / 3, 1.1 / 3, 1.1 / 3, 0.9])
 
