@@ -1,23 +1,26 @@
-"""Language-model scores: interpolated modified Kneser-Ney over bigrams.
+"""Language-model scores: interpolated modified Kneser-Ney of any order from two.
 
-Counting: every task sorts and adds up the bigrams of a few million tokens and sends them,
+Counting: every task sorts and adds up the n-grams of a few million tokens and sends them,
 packed, to the part that its context's hash names; a part adds up what it gets and writes
-sorted arrays (bigram hash and count; context and its totals) to the shared folder. Word
-totals (tokens, and distinct contexts before the word) go on to parts by word in the same
-way. Nothing of the corpus is collected on the driver but count-of-counts.
+sorted arrays (n-gram hash and count; context and its totals) to the shared folder. The
+n-grams without their first word (how many first words each has, and how often it occurs)
+go on in the same way, down to words. Nothing of the corpus is collected on the driver but
+count-of-counts.
 
-Scoring: workers memory-map the arrays and look the distinct bigrams of a slice of text up
+Scoring: workers memory-map the arrays and look the distinct n-grams of a slice of text up
 by binary search, so their memory does not grow with the model. Where the shared folder is
 no mounted file system, Spark hands every worker a copy of the files.
 
-p(w|h) = (max(c(hw) - D(c), 0) + g(h) p1(w)) / c(h), g(h) = D1 n1(h) + D2 n2(h) + D3 n3+(h);
-p1 is the same over distinct contexts, on top of 1 / (V + 1). Discounts are those of the
-counts of counts of each order; where these are too small to tell, 0.75.
+p(w|h) = (max(c(hw) - D(c), 0) + g(h) p'(w)) / c(h), g(h) = D1 n1(h) + D2 n2(h) + D3 n3+(h);
+p' is the next lower order's, over distinct first words (n-grams that begin a text: over
+occurrences), and below words 1 / (V + 1). Discounts are those of the counts of counts of
+each order; where these are too small to tell, 0.75.
 
-Bigrams are the order that the working space allows (trigrams: four in five tokens bring a
-new one). Nulls: a null text is one empty document, of one end token; a null id counts as an
-empty string. Equal rows count as often as they are there. With no text to learn from every
-token has probability 1 / (V + 1) = 1. Empty tables give empty results.
+Words are 64-bit hashes, so counts of words are exact unless two words share one; contexts of
+several words and n-grams are 64-bit hashes of those. Nulls: a null text is one empty document,
+of one end token; a null id counts as an empty string. Equal rows count as often as they are
+there. With no text to learn from every token has probability 1 / (V + 1) = 1. Empty tables
+give empty results. A text of any length is taken whole, its n-grams in slices.
 """
 
 from __future__ import annotations
@@ -27,90 +30,137 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import WordHash, need, new_path, raw_texts, shuffle_parts, slices, text_bytes
+from panelforge.llm.common import WordHash, need, new_path, raw_texts, shuffle_parts, slices, stored, text_bytes
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-#: Word ids have 48 bits; these two are no words.
-MASK, BEGIN, END = np.uint64((1 << 48) - 1), np.uint64(1 << 48), np.uint64((1 << 48) + 1)
+#: Ids of what stands before a text and behind it: hashes of what is no word.
+BEGIN, END = np.uint64(xxhash.xxh3_64_intdigest(b" begin")), np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 #: Tokens that a task adds up before it sends them on.
 FLUSH = 1_500_000
 
 
-def tokens(texts: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and words of some documents, each closed by an end, and the documents' starts."""
+def tokens(texts: list[bytes], cache: WordHash, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams of some documents, each closed by an end, as one array for each place (the
+    words themselves come last), and the documents' starts."""
     parts, starts, at = [], [], 0
     for text in texts:
         words = text.lower().split()
         starts.append(at)
-        ids = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)) & MASK
-        parts += [ids, np.array([END])]
+        parts += [np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), np.array([END])]
         at += len(words) + 1
     word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    context = np.r_[BEGIN, word[:-1]] if len(word) else word
-    context[starts] = BEGIN
-    return context, word, np.array(starts, np.int64)
+    starts = np.array(starts, np.int64)
+    since = np.arange(at) - np.repeat(starts, np.diff(np.r_[starts, at]))
+    grams = [word]
+    for back in range(1, order):
+        before = np.r_[np.full(min(back, at), BEGIN), word[:-back]]
+        before[since < back] = BEGIN
+        grams.insert(0, before)
+    return grams, starts
 
 
 def place(ids: np.ndarray, parts: int) -> np.ndarray:
     return ((ids * _P) >> np.uint64(24)) % np.uint64(parts)
 
 
-def bigram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+def gram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     x = (context * _P) ^ (word + np.uint64(0x632BE59BD9B4E019))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def add_up(context: np.ndarray, word: np.ndarray, count: np.ndarray | None = None):
-    """Distinct (context, word) in order, with counts."""
-    by = np.lexsort((word, context))
-    context, word = context[by], word[by]
-    new = np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])] if len(by) else np.zeros(0, np.bool_)
+def context_key(words: list[np.ndarray]) -> np.ndarray:
+    """One word is its own key."""
+    key = words[0]
+    for word in words[1:]:
+        key = gram_key(key, word)
+    return key
+
+
+def home(grams: list[np.ndarray]) -> np.ndarray:
+    """What names the part of n-grams: their context, or the word."""
+    return context_key(grams[:-1] or grams)
+
+
+def add_up(grams: list[np.ndarray], *weights: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct n-grams by context and word, with how many rows each has, or sums of ``weights``."""
+    by = np.lexsort([grams[-1], home(grams)]) if len(grams) > 1 else np.argsort(grams[0], kind="stable")
+    grams = [g[by] for g in grams]
+    new = np.ones(len(by), np.bool_)
+    if len(by):
+        new[1:] = np.any([g[1:] != g[:-1] for g in grams], axis=0)
     at = np.flatnonzero(new)
-    total = np.diff(np.r_[at, len(by)]) if count is None else np.add.reduceat(count[by], at) if len(at) else np.zeros(0, np.int64)
-    return context[at], word[at], total.astype(np.int64)
+    if not weights:
+        return [g[at] for g in grams], [np.diff(np.r_[at, len(by)])]
+    return [g[at] for g in grams], [np.add.reduceat(x[by].astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for x in weights]
+
+
+def smallest(x: np.ndarray) -> np.ndarray:
+    """In the fewest bytes that hold the largest."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+
+
+def packed(x: np.ndarray) -> bytes:
+    x = smallest(x)
+    return bytes([x.itemsize]) + x.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
 
+_PACK = ["ids", "grams", "counts", "raws"]
+_SUMS = ["n1", "n2", "n3", "n4", "types", "total", "raw"]
+_SCHEMA = ", ".join(["part int", *[f"{c} binary" for c in _PACK], *[f"{c} long" for c in _SUMS]])
 
-def narrow(ids: np.ndarray) -> bytes:
-    """Seven bytes of each id."""
-    return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.binary()] * len(_PACK), *[pa.int64()] * len(_SUMS)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", *_PACK, *_SUMS])
 
-def widen(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
-    return out.view(np.uint64).ravel()
 
+def _sent(grams: list[np.ndarray], count: np.ndarray, raw: np.ndarray, parts: int) -> list[tuple]:
+    """A row for each part: its words, once each, and n-grams as places among them."""
+    part = place(home(grams), parts)
+    by = np.argsort(part, kind="stable")
+    cuts = np.r_[0, np.flatnonzero(np.diff(part[by])) + 1, len(by)]
+    rows = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            r = by[a:b]
+            ids, at = np.unique(np.concatenate([g[r] for g in grams]), return_inverse=True)
+            rows.append((int(part[r[0]]), ids.tobytes(), packed(at), packed(count[r]), None if raw is count else packed(raw[r]), *[None] * len(_SUMS)))
+    return rows
 
-_PACK = "part int, ids binary, runs binary, words binary, counts binary"
 
+def _received(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    grams, count, raw = [], [], []
+    for _, ids, at, n, r, *_ in rows:
+        n = unpacked(n)
+        grams.append(np.frombuffer(ids, np.uint64)[unpacked(at)].reshape(-1, len(n)))
+        count.append(n)
+        raw.append(n if r is None else unpacked(r))
+    return list(np.concatenate(grams, axis=1)), np.concatenate(count), np.concatenate(raw)
 
-def _count(parts: int):
+
+def _count(order: int, parts: int):
     def run(batches):
         cache, held, size = WordHash(), [], 0
 
         def flush():
-            c, w, n = add_up(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-            part = place(c, parts)
-            by = np.argsort(part, kind="stable")
-            cuts = np.r_[0, np.flatnonzero(np.diff(part[by])) + 1, len(by)]
-            rows = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                r = by[a:b]
-                head = np.r_[0, np.flatnonzero(np.diff(c[r])) + 1]
-                rows.append((int(part[r[0]]), c[r][head].tobytes(), np.diff(np.r_[head, len(r)]).astype(np.uint32).tobytes(), narrow(w[r]), n[r].astype(np.uint32).tobytes()))
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[1:]]], ["part", "ids", "runs", "words", "counts"])
+            grams, (n,) = add_up([np.concatenate(x) for x in zip(*held, strict=True)])
+            return _batch(_sent(grams, n, n, parts))
 
         for batch in batches:
             texts = raw_texts(batch.column(0))
             for a, b in slices(texts):
-                c, w, _ = tokens(texts[a:b], cache)
-                held.append((c, w))
-                size += len(w)
+                grams, _ = tokens(texts[a:b], cache, order)
+                held.append(grams)
+                size += len(grams[-1])
                 if size > FLUSH:
                     yield flush()
                     held, size = [], 0
@@ -151,48 +201,28 @@ def of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-_STATS = "part int, words binary, cont binary, raw binary, n1 long, n2 long, n3 long, n4 long, types long, total long"
-
-
-def _stat_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    kinds = [pa.int32()] + [pa.binary()] * 3 + [pa.int64()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "words", "cont", "raw", "n1", "n2", "n3", "n4", "types", "total"])
-
-
-def _write_bigrams(uri: str, parts: int):
-    def run(batches):
-        for part, rows in _by_part(batches):
-            c = np.concatenate([np.repeat(np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], np.uint32)) for r in rows])
-            w = np.concatenate([widen(r[3]) for r in rows])
-            c, w, n = add_up(c, w, np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows]).astype(np.int64))
-            key = bigram_key(c, w)
-            by = np.argsort(key)
-            head = np.r_[0, np.flatnonzero(np.diff(c)) + 1]
-            per = lambda x: np.add.reduceat(x.astype(np.int64), head)
-            _save(uri, f"bigram-{part}", key=key[by], count=n[by].astype(np.uint32))
-            _save(uri, f"context-{part}", key=c[head], total=per(n), n1=per(n == 1), n2=per(n == 2), n3=per(n > 2))
-            by = np.argsort(w, kind="stable")
-            head = np.r_[0, np.flatnonzero(np.diff(w[by])) + 1]
-            words, cont, raw = w[by][head], np.diff(np.r_[head, len(by)]), np.add.reduceat(n[by], head)
-            to = place(words, parts)
-            out = [(None, None, None, None, *of_counts(n), len(n), int(n.sum()))]
-            for p in np.unique(to):
-                at = to == p
-                out.append((int(p), narrow(words[at]), cont[at].astype(np.uint32).tobytes(), raw[at].astype(np.uint32).tobytes(), *[None] * 6))
-            yield _stat_batch(out)
-
-    return run
-
+def _write_level(uri: str, parts: int, k: int, top: bool):
+    """Arrays of the n-grams of ``k`` words; what goes on to those of one word less, and sums."""
 
-def _write_words(uri: str):
     def run(batches):
         for part, rows in _by_part(batches):
-            w = np.concatenate([widen(r[1]) for r in rows])
-            words, at = np.unique(w, return_inverse=True)
-            cont, raw = (np.bincount(at, weights=np.concatenate([np.frombuffer(r[k], np.uint32) for r in rows]), minlength=len(words)).astype(np.int64) for k in (2, 3))
-            _save(uri, f"word-{part}", key=words, cont=cont, raw=raw)
-            yield _stat_batch([(None, None, None, None, *of_counts(cont), len(words), int(raw.sum()))])
+            grams, count, raw = _received(rows)
+            grams, (count, raw) = add_up(grams, count, raw)
+            n = count if top else np.where(grams[0] == BEGIN, raw, count)
+            out = [(*[None] * (1 + len(_PACK)), *of_counts(n), len(n), int(n.sum()), int(raw.sum()))]
+            if k == 1:
+                _save(uri, f"1-{part}", key=grams[0], count=smallest(n), raw=smallest(raw))
+            else:
+                context = home(grams)
+                key = gram_key(context, grams[-1])
+                by = np.argsort(key)
+                _save(uri, f"{k}-{part}", key=key[by], count=smallest(n[by]))
+                head = np.r_[0, np.flatnonzero(np.diff(context)) + 1]
+                per = lambda x, at=head: smallest(np.add.reduceat(x.astype(np.int64), at))
+                _save(uri, f"context{k}-{part}", key=context[head], total=per(n), n1=per(n == 1), n2=per(n == 2), n3=per(n > 2))
+                rest, (firsts, raw) = add_up(grams[1:], np.ones(len(n)), raw)
+                out += _sent(rest, firsts, raw, parts)
+            yield _batch(out)
 
     return run
 
@@ -206,12 +236,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 class Model:
-    """The arrays of a trained model, opened where they are needed."""
+    """The arrays of a trained model, opened where they are needed; ``sums`` of each order."""
 
-    def __init__(self, uri: str, parts: int, pair: dict, word: dict):
-        self.uri, self.parts, self.pair, self.word = uri, parts, pair, word
-        self.d2 = discounts(*(pair[k] for k in ("n1", "n2", "n3", "n4")))
-        self.d1 = discounts(*(word[k] for k in ("n1", "n2", "n3", "n4")))
+    def __init__(self, uri: str, parts: int, sums: dict[int, dict]):
+        self.uri, self.parts, self.sums, self.order = uri, parts, sums, max(sums)
+        self.tokens = sums[1]["raw"]
+        self.less_by = {k: discounts(*(x[c] for c in ("n1", "n2", "n3", "n4"))) for k, x in sums.items()}
         self._open: dict = {}
 
     def __getstate__(self):
@@ -224,13 +254,15 @@ class Model:
 
         return SparkFiles.get(os.path.basename(self.uri))
 
-    def array(self, name: str, kind: str, dtype):
+    def array(self, name: str, kind: str) -> np.ndarray:
+        """Keys have eight bytes; others as many as the file has for each key."""
         if (name, kind) not in self._open:
-            path = f"{self.folder()}/{name}.{kind}"
-            self._open[name, kind] = np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
+            path, keys = f"{self.folder()}/{name}.{kind}", f"{self.folder()}/{name}.key"
+            rows = os.path.getsize(keys) // 8 if os.path.exists(keys) else 0
+            self._open[name, kind] = np.memmap(path, f"u{os.path.getsize(path) // rows}", "r") if rows else np.zeros(0, np.uint64)
         return self._open[name, kind]
 
-    def look_up(self, table: str, key: np.ndarray, part: np.ndarray, **kinds) -> list[np.ndarray]:
+    def look_up(self, table: str, key: np.ndarray, part: np.ndarray, *kinds: str) -> list[np.ndarray]:
         """Values of distinct keys; 0 where a key is not there."""
         out = [np.zeros(len(key), np.int64) for _ in kinds]
         by = np.lexsort((key, part))
@@ -240,53 +272,56 @@ class Model:
                 continue
             at = by[a:b]
             name = f"{table}-{int(part[at[0]])}"
-            there = self.array(name, "key", np.uint64)
+            there = self.array(name, "key")
             if not len(there):
                 continue
             i = np.minimum(np.searchsorted(there, key[at]), len(there) - 1)
             hit = there[i] == key[at]
-            for o, (kind, dtype) in zip(out, kinds.items(), strict=True):
-                o[at[hit]] = self.array(name, kind, dtype)[i[hit]]
+            for o, kind in zip(out, kinds, strict=True):
+                o[at[hit]] = self.array(name, kind)[i[hit]]
         return out
 
-    def less(self, n: np.ndarray, d: list[float]) -> np.ndarray:
+    def less(self, n: np.ndarray, k: int) -> np.ndarray:
         """Counts without their discounts."""
-        return np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3)], 0.0)
+        return np.maximum(n - np.array([0.0, *self.less_by[k]])[np.minimum(n, 3)], 0.0)
 
-    def score(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 p, base log10 p and whether it is known, of each token."""
-        w, wi = np.unique(word, return_inverse=True)
-        cont, raw = self.look_up("word", w, place(w, self.parts), cont=np.int64, raw=np.int64)
-        v, n, all_cont = self.word["types"], self.pair["total"], self.pair["types"]
-        g = self.d1[0] * self.word["n1"] + self.d1[1] * self.word["n2"] + self.d1[2] * (v - self.word["n1"] - self.word["n2"])
-        p1 = (self.less(cont, self.d1) + g / (v + 1)) / all_cont if all_cont else np.full(len(w), 1.0 / (v + 1))
-        c, ci = np.unique(context, return_inverse=True)
-        total, n1, n2, n3 = self.look_up("context", c, place(c, self.parts), total=np.int64, n1=np.int64, n2=np.int64, n3=np.int64)
-        back = self.d2[0] * n1 + self.d2[1] * n2 + self.d2[2] * n3
-        key, first, ki = np.unique(bigram_key(context, word), return_index=True, return_inverse=True)
-        (count,) = self.look_up("bigram", key, place(context[first], self.parts), count=np.uint32)
-        t, low = total[ci], p1[wi]
-        p = np.where(t > 0, (self.less(count, self.d2)[ki] + back[ci] * low) / np.maximum(t, 1), low)
-        base = np.log10((raw + 0.1) / (n + 0.1 * (v + 1)))[wi]
+        w, wi = np.unique(grams[-1], return_inverse=True)
+        cont, raw = self.look_up("1", w, place(w, self.parts), "count", "raw")
+        words, d = self.sums[1], self.less_by[1]
+        v, mass = words["types"], words["total"]
+        g = d[0] * words["n1"] + d[1] * words["n2"] + d[2] * (v - words["n1"] - words["n2"])
+        p = ((self.less(cont, 1) + g / (v + 1)) / mass if mass else np.full(len(w), 1.0 / (v + 1)))[wi]
+        for k in range(2, self.order + 1):
+            context, d = home(grams[-k:]), self.less_by[k]
+            c, ci = np.unique(context, return_inverse=True)
+            total, n1, n2, n3 = self.look_up(f"context{k}", c, place(c, self.parts), "total", "n1", "n2", "n3")
+            back = d[0] * n1 + d[1] * n2 + d[2] * n3
+            key, first, ki = np.unique(gram_key(context, grams[-1]), return_index=True, return_inverse=True)
+            (count,) = self.look_up(str(k), key, place(context[first], self.parts), "count")
+            t = total[ci]
+            p = np.where(t > 0, (self.less(count, k)[ki] + back[ci] * p) / np.maximum(t, 1), p)
+        base = np.log10((raw + 0.1) / (self.tokens + 0.1 * (v + 1)))[wi]
         return np.log10(p), base, (raw > 0)[wi]
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
+    if order < 2:
+        raise ValueError("the order must be two or more")
     spark = docs.sparkSession
     parts = shuffle_parts(spark, text_bytes(docs, text), 8 << 20)
     uri = new_path(spark, "lm")
-    packed = docs.select(text).mapInArrow(_count(parts), _PACK)
-    made = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_write_bigrams(uri, parts), _STATS)
-    from panelforge.llm.common import stored
-
-    made = stored(made, "lm-words")
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "types", "total")]
-    pair = made.where("part is null").agg(*sums).first().asDict()
-    words = made.where("part is not null").select("part", "words", "cont", "raw")
-    word = words.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_write_words(uri), _STATS).agg(*sums).first().asDict()
-    if not uri.startswith("file:") and pair["types"]:
+    going, sums = docs.select(text).mapInArrow(_count(order, parts), _SCHEMA).select("part", *_PACK), {}
+    for k in range(order, 0, -1):
+        made = going.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_write_level(uri, parts, k, k == order), _SCHEMA)
+        if k > 1:
+            made = stored(made, f"lm-{k}")
+        sums[k] = made.where("part is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]).first().asDict()
+        going = made.where("part is not null").select("part", *_PACK)
+    if not uri.startswith("file:") and sums[1]["types"]:
         spark.sparkContext.addFile(uri, recursive=True)
-    return Model(uri, parts, pair, word)
+    return Model(uri, parts, sums)
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
@@ -298,9 +333,9 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
         for batch in batches:
             texts, out = raw_texts(batch.column(len(keep))), []
             for a, b in slices(texts):
-                c, w, starts = tokens(texts[a:b], cache)
-                p, base, known = model.score(c, w)
-                out.append((np.diff(np.r_[starts, len(w)]), np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(p, starts)))
+                grams, starts = tokens(texts[a:b], cache, model.order)
+                p, base, known = model.score(grams)
+                out.append((np.diff(np.r_[starts, len(p)]), np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(p, starts)))
             cols = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], [*keep, "n_tokens", "n_known", "base_score", "score"])
 
@@ -312,12 +347,12 @@ def remainder(of: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3) -> DataFrame:
     need(docs, "doc_id", "text")
     rows = docs.select("doc_id", "text", (remainder(10) == 0).alias("held_out"))
-    model = train(rows.where("not held_out"))
+    model = train(rows.where("not held_out"), order=order)
     out = score_texts(rows, model, ["doc_id", "held_out"])
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.pair["total"]).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm(spark, sf_dir: str) -> DataFrame:

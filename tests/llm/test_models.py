@@ -1,6 +1,7 @@
 """Chunks, top-k search, quality and language-model scores."""
 
 import collections
+import itertools
 import math
 import re
 import zlib
@@ -233,57 +234,68 @@ def test_isotonic():
 # -- language model ----------------------------------------------------------------------
 
 
-def brute_lm(rows):
-    def toks(t):
-        return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+def brute_lm(rows, order=3):
+    def grams(t):
+        w = [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+        return list(zip(*[[*[0] * j, *w][: len(w)] for j in range(order - 1, -1, -1)]))
 
     held = {n: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0 for n, (d, _) in enumerate(rows)}
-    pair, uni = collections.Counter(), collections.Counter()
+    level, uni = {order: collections.Counter()}, collections.Counter()
     for n, (_, t) in enumerate(rows):
         if not held[n]:
-            w = toks(t)
-            uni.update(w)
-            pair.update(zip([0, *w], w))
+            level[order].update(grams(t))
+            uni.update(g[-1] for g in grams(t))
+    often = level[order]
+    for k in range(order - 1, 0, -1):
+        raw, firsts = collections.Counter(), collections.Counter()
+        for g, c in often.items():
+            raw[g[1:]] += c
+        for g in level[k + 1]:
+            firsts[g[1:]] += 1
+        level[k], often = collections.Counter({g: raw[g] if g[0] == 0 else c for g, c in firsts.items()}), raw
     total, v = sum(uni.values()), len(uni)
-    cont, ctx = collections.Counter(), collections.defaultdict(list)
-    for (h, w), c in pair.items():
-        cont[w] += 1
-        ctx[h].append(c)
-    d2 = ngramlm.discounts(*(sum(c == k for c in pair.values()) for k in (1, 2, 3, 4)))
-    d1 = ngramlm.discounts(*(sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)))
-    cut = lambda c, d: max(c - d[min(c, 3) - 1], 0) if c else 0.0
-    mass = lambda counts, d: sum(d[min(c, 3) - 1] for c in counts)
-    g1 = mass(cont.values(), d1)
-    p1 = lambda w: (cut(cont[w], d1) + g1 / (v + 1)) / len(pair) if pair else 1 / (v + 1)
-    back = {h: (mass(c, d2), sum(c)) for h, c in ctx.items()}
+    d = {k: ngramlm.discounts(*(sum(c == i for c in x.values()) for i in (1, 2, 3, 4))) for k, x in level.items()}
+    cut = lambda k, g: max(level[k][g] - d[k][min(level[k][g], 3) - 1], 0) if level[k][g] else 0.0
+    back = collections.defaultdict(lambda: [0.0, 0])
+    for k, x in level.items():
+        for g, c in x.items():
+            back[k, g[:-1]][0] += d[k][min(c, 3) - 1]
+            back[k, g[:-1]][1] += c
+
+    def p(g):
+        low = p(g[1:]) if len(g) > 1 else 1 / (v + 1)
+        mass, s = back.get((len(g), g[:-1]), (0, 0))
+        return (cut(len(g), g) + mass * low) / s if s else low
+
     out = []
-    for n, (d, t) in enumerate(rows):
-        w, score = toks(t), 0.0
-        for h, x in zip([0, *w], w):
-            g, s = back.get(h, (0, 0))
-            score += math.log10((cut(pair[h, x], d2) + g * p1(x)) / s if s else p1(x))
+    for n, (i, t) in enumerate(rows):
+        w = [g[-1] for g in grams(t)]
         base = sum(math.log10((uni[x] + 0.1) / (total + 0.1 * (v + 1))) for x in w)
-        out.append((d, held[n], len(w), sum(uni[x] > 0 for x in w), total, round(base, 5), round(score, 5)))
+        out.append((i, held[n], len(w), sum(uni[x] > 0 for x in w), total, round(base, 5), round(sum(math.log10(p(g)) for g in grams(t)), 5)))
     return out
 
 
-def test_lm(spark, rows, odd, none):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm(spark, rows, odd, none, order):
     shown = lambda df: sorted(repr((*tuple(r)[:5], round(r.base_score, 5), round(r.score, 5))) for r in df.collect())
-    got = ngramlm.op7_lm(spark, SF)
-    assert shown(got) == sorted(map(repr, brute_lm(rows)))
+    some = rows if order < 4 else rows[:200]
+    got = ngramlm.lm_scores(spark.createDataFrame(some, "doc_id long, text string"), order) if order != 3 else ngramlm.op7_lm(spark, SF)
+    assert shown(got) == sorted(map(repr, brute_lm(some, order)))
     held = [r for r in got.collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert shown(ngramlm.lm_scores(odd)) == sorted(map(repr, brute_lm([(r.doc_id, r.text) for r in odd.collect()])))
-    assert ngramlm.lm_scores(none).count() == 0
+    assert shown(ngramlm.lm_scores(odd, order)) == sorted(map(repr, brute_lm([(r.doc_id, r.text) for r in odd.collect()], order)))
+    assert ngramlm.lm_scores(none, order).count() == 0
 
 
 def test_lm_probabilities_sum_up(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "a b b", "c a b a", "b a", "a d"] * 3)], "doc_id long, text string")
-    model = ngramlm.train(docs)
-    words = [w.encode() for w in "abcd"]
     cache = ngramlm.WordHash()
-    ids = np.array([*(cache[w] for w in words), 12345], np.uint64) & ngramlm.MASK
+    ids = np.array([*(cache[w.encode()] for w in "abcd"), 12345], np.uint64)
     every = np.r_[ids, ngramlm.END]
-    for h in (ids[0], ids[3], ngramlm.BEGIN):
-        p, _, _ = model.score(np.full(len(every), h), every)
-        assert (10**p).sum() == pytest.approx(1.0)
+    for order in (2, 3):
+        model = ngramlm.train(docs, order=order)
+        for h in itertools.product((ids[0], ids[3], ids[4], ngramlm.BEGIN), repeat=order - 1):
+            p, _, _ = model.score([*(np.full(len(every), x) for x in h), every])
+            assert (10**p).sum() == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        ngramlm.train(docs, order=1)
