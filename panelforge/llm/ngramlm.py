@@ -16,6 +16,9 @@ p' is the next lower order's, over distinct first words (n-grams that begin a te
 occurrences), and below words 1 / (V + 1). Discounts are those of the counts of counts of
 each order; where these are too small to tell, 0.75.
 
+The query takes bigrams: of 3.3 million tokens four in five trigrams are new, and a trigram
+model of the check's 0.1 GB was stopped beyond 7 x its input of disk. ``order`` takes any.
+
 Words are 64-bit hashes, so counts of words are exact unless two words share one; contexts of
 several words and n-grams are 64-bit hashes of those. Nulls: a null text is one empty document,
 of one end token; a null id counts as an empty string. Equal rows count as often as they are
@@ -306,7 +309,7 @@ class Model:
         return np.log10(p), base, (raw > 0)[wi]
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     if order < 2:
         raise ValueError("the order must be two or more")
     spark = docs.sparkSession
@@ -347,7 +350,7 @@ def remainder(of: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of
 
 
-def lm_scores(docs: DataFrame, order: int = 3) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     need(docs, "doc_id", "text")
     rows = docs.select("doc_id", "text", (remainder(10) == 0).alias("held_out"))
     model = train(rows.where("not held_out"), order=order)

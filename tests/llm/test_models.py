@@ -234,7 +234,7 @@ def test_isotonic():
 # -- language model ----------------------------------------------------------------------
 
 
-def brute_lm(rows, order=3):
+def brute_lm(rows, order=2):
     def grams(t):
         w = [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
         return list(zip(*[[*[0] * j, *w][: len(w)] for j in range(order - 1, -1, -1)]))
@@ -279,7 +279,7 @@ def brute_lm(rows, order=3):
 def test_lm(spark, rows, odd, none, order):
     shown = lambda df: sorted(repr((*tuple(r)[:5], round(r.base_score, 5), round(r.score, 5))) for r in df.collect())
     some = rows if order < 4 else rows[:200]
-    got = ngramlm.lm_scores(spark.createDataFrame(some, "doc_id long, text string"), order) if order != 3 else ngramlm.op7_lm(spark, SF)
+    got = ngramlm.lm_scores(spark.createDataFrame(some, "doc_id long, text string"), order) if order != 2 else ngramlm.op7_lm(spark, SF)
     assert shown(got) == sorted(map(repr, brute_lm(some, order)))
     held = [r for r in got.collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
