@@ -73,12 +73,20 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def stored(df: DataFrame, kind: str = "table") -> DataFrame:
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, kind: str = "table", path: str | None = None) -> DataFrame:
     """Written once to the shared folder and read back: cuts the lineage and outlives any
-    executor."""
+    executor. The shuffle files of the job go as soon as its rows are written."""
     spark = df.sparkSession
-    path = new_path(spark, kind)
-    df.write.parquet(path)
+    path = path or new_path(spark, kind)
+    before = spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

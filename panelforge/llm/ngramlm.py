@@ -16,9 +16,8 @@ p' is the next lower order's, over distinct first words (n-grams that begin a te
 occurrences), and below words 1 / (V + 1). Discounts are those of the counts of counts of
 each order; where these are too small to tell, 0.75.
 
-The query takes bigrams, which score worse than trigrams (README has figures): of 3 million
-tokens four in five trigrams are distinct, and a trigram model of the check's 0.10 GB was stopped
-beyond 0.71 GB of disk. ``order`` takes any.
+The query takes trigrams; ``order`` takes any. What a level hands to the next is deleted once the
+next is written, as are its shuffle files, so the disk holds the arrays and one level's n-grams.
 
 Words are 64-bit hashes, so counts of words are exact unless two words share one; contexts of
 several words and n-grams are 64-bit hashes of those. Nulls: a null text is one empty document,
@@ -38,13 +37,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import WordHash, need, new_path, raw_texts, shuffle_parts, slices, stored, text_bytes
+from panelforge.llm.common import WordHash, drop_path, need, new_path, raw_texts, shuffle_parts, slices, stored, text_bytes
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Ids of what stands before a text and behind it: hashes of what is no word.
 BEGIN, END = np.uint64(xxhash.xxh3_64_intdigest(b" begin")), np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 #: Tokens that a task adds up before it sends them on.
 FLUSH = 1_500_000
+_CODEC = pa.Codec("zstd", compression_level=1)
+#: Counts have a byte in the arrays; this one stands for those that need more.
+MORE = 255
 
 
 def tokens(texts: list[bytes], cache: WordHash, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -110,11 +112,12 @@ def smallest(x: np.ndarray) -> np.ndarray:
 
 def packed(x: np.ndarray) -> bytes:
     x = smallest(x)
-    return bytes([x.itemsize]) + x.tobytes()
+    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + _CODEC.compress(x.tobytes(), asbytes=True)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+    width, rows = raw[0], int.from_bytes(raw[1:9], "little")
+    return np.frombuffer(_CODEC.decompress(raw[9:], width * rows, asbytes=True), f"u{width}").astype(np.int64)
 
 
 _PACK = ["ids", "grams", "counts", "raws"]
@@ -137,6 +140,9 @@ def _sent(grams: list[np.ndarray], count: np.ndarray, raw: np.ndarray, parts: in
         if a < b:
             r = by[a:b]
             ids, at = np.unique(np.concatenate([g[r] for g in grams]), return_inverse=True)
+            # By places: those of the first word rise, so they pack to little.
+            rise = np.lexsort(at.reshape(len(grams), -1)[::-1])
+            r, at = r[rise], at.reshape(len(grams), -1)[:, rise].ravel()
             rows.append((int(part[r[0]]), ids.tobytes(), packed(at), packed(count[r]), None if raw is count else packed(raw[r]), *[None] * len(_SUMS)))
     return rows
 
@@ -174,12 +180,19 @@ def _count(order: int, parts: int):
     return run
 
 
-def _save(uri: str, name: str, **arrays: np.ndarray) -> None:
-    """Files appear whole: written aside, then renamed; a second attempt writes the same."""
+def _save(uri: str, name: str, key: np.ndarray, **counts: np.ndarray) -> None:
+    """Counts as bytes, with the places and values of those that need more in a file beside.
+    Files appear whole: written aside, then renamed; a second attempt writes the same."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path, recursive=True)
+    arrays = {"key": key}
+    for kind, n in counts.items():
+        arrays[kind] = np.minimum(n, MORE).astype(np.uint8)
+        more = np.flatnonzero(n >= MORE)
+        if len(more):
+            arrays[f"{kind}.more"] = np.array([more, n[more]], np.int64)
     for kind, array in arrays.items():
         aside = f"{path}/.{name}.{kind}.{uuid.uuid4().hex}"
         with system.open_output_stream(aside) as out:
@@ -215,15 +228,15 @@ def _write_level(uri: str, parts: int, k: int, top: bool):
             n = count if top else np.where(grams[0] == BEGIN, raw, count)
             out = [(*[None] * (1 + len(_PACK)), *of_counts(n), len(n), int(n.sum()), int(raw.sum()))]
             if k == 1:
-                _save(uri, f"1-{part}", key=grams[0], count=smallest(n), raw=smallest(raw))
+                _save(uri, f"1-{part}", grams[0], count=n, raw=raw)
             else:
                 context = home(grams)
                 key = gram_key(context, grams[-1])
                 by = np.argsort(key)
-                _save(uri, f"{k}-{part}", key=key[by], count=smallest(n[by]))
+                _save(uri, f"{k}-{part}", key[by], count=n[by])
                 head = np.r_[0, np.flatnonzero(np.diff(context)) + 1]
-                per = lambda x, at=head: smallest(np.add.reduceat(x.astype(np.int64), at))
-                _save(uri, f"context{k}-{part}", key=context[head], total=per(n), n1=per(n == 1), n2=per(n == 2), n3=per(n > 2))
+                per = lambda x, at=head: np.add.reduceat(x.astype(np.int64), at)
+                _save(uri, f"context{k}-{part}", context[head], total=per(n), n1=per(n == 1), n2=per(n == 2), n3=per(n > 2))
                 rest, (firsts, raw) = add_up(grams[1:], np.ones(len(n)), raw)
                 out += _sent(rest, firsts, raw, parts)
             yield _batch(out)
@@ -258,14 +271,22 @@ class Model:
 
         return SparkFiles.get(os.path.basename(self.uri))
 
-    def array(self, name: str, kind: str) -> np.ndarray:
-        """Keys have eight bytes; others as many as the file has for each key."""
+    def array(self, name: str, kind: str, of: type) -> np.ndarray:
+        """Empty where there is no file."""
         if (name, kind) not in self._open:
-            path, keys = f"{self.folder()}/{name}.{kind}", f"{self.folder()}/{name}.key"
-            rows = os.path.getsize(keys) // 8 if os.path.exists(keys) else 0
-            self._open[name, kind] = np.memmap(path, f"u{os.path.getsize(path) // rows}", "r") if rows else np.zeros(0, np.uint64)
+            path = f"{self.folder()}/{name}.{kind}"
+            there = os.path.exists(path) and os.path.getsize(path)
+            self._open[name, kind] = np.memmap(path, of, "r") if there else np.zeros(0, of)
         return self._open[name, kind]
 
+    def counts(self, name: str, kind: str, at: np.ndarray) -> np.ndarray:
+        n = self.array(name, kind, np.uint8)[at].astype(np.int64)
+        more = n == MORE
+        if more.any():
+            where, value = self.array(name, f"{kind}.more", np.int64).reshape(2, -1)
+            n[more] = value[np.searchsorted(where, at[more])]
+        return n
+
     def look_up(self, table: str, key: np.ndarray, part: np.ndarray, *kinds: str) -> list[np.ndarray]:
         """Values of distinct keys; 0 where a key is not there."""
         out = [np.zeros(len(key), np.int64) for _ in kinds]
@@ -276,13 +297,13 @@ class Model:
                 continue
             at = by[a:b]
             name = f"{table}-{int(part[at[0]])}"
-            there = self.array(name, "key")
+            there = self.array(name, "key", np.uint64)
             if not len(there):
                 continue
             i = np.minimum(np.searchsorted(there, key[at]), len(there) - 1)
             hit = there[i] == key[at]
             for o, kind in zip(out, kinds, strict=True):
-                o[at[hit]] = self.array(name, kind)[i[hit]]
+                o[at[hit]] = self.counts(name, kind, i[hit])
         return out
 
     def less(self, n: np.ndarray, k: int) -> np.ndarray:
@@ -310,19 +331,23 @@ class Model:
         return np.log10(p), base, (raw > 0)[wi]
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
     if order < 2:
         raise ValueError("the order must be two or more")
     spark = docs.sparkSession
     parts = shuffle_parts(spark, text_bytes(docs, text), 8 << 20)
     uri = new_path(spark, "lm")
-    going, sums = docs.select(text).mapInArrow(_count(order, parts), _SCHEMA).select("part", *_PACK), {}
+    going, sums, read = docs.select(text).mapInArrow(_count(order, parts), _SCHEMA).select("part", *_PACK), {}, None
     for k in range(order, 0, -1):
         made = going.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_write_level(uri, parts, k, k == order), _SCHEMA)
+        path = new_path(spark, f"lm-{k}")
         if k > 1:
-            made = stored(made, f"lm-{k}")
+            made = stored(made, path=path)
         sums[k] = made.where("part is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]).first().asDict()
         going = made.where("part is not null").select("part", *_PACK)
+        if read:  # its n-grams are in this level's arrays and rows now
+            drop_path(spark, read)
+        read = path
     if not uri.startswith("file:") and sums[1]["types"]:
         spark.sparkContext.addFile(uri, recursive=True)
     return Model(uri, parts, sums)
@@ -351,7 +376,7 @@ def remainder(of: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of
 
 
-def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3) -> DataFrame:
     need(docs, "doc_id", "text")
     rows = docs.select("doc_id", "text", (remainder(10) == 0).alias("held_out"))
     model = train(rows.where("not held_out"), order=order)
