@@ -7,8 +7,9 @@ n-grams without their first word (how many first words each has, and how often i
 go on in the same way, down to words. Nothing of the corpus is collected on the driver but
 count-of-counts.
 
-Scoring: workers memory-map the arrays and look the distinct n-grams of a slice of text up
-by binary search, so their memory does not grow with the model. Where the shared folder is
+Scoring: workers memory-map the arrays, one file for each part and table, and look the distinct
+n-grams of a slice of text up by binary search, so their memory does not grow with the model, nor
+do the files that they hold open. Where the shared folder is
 no mounted file system, Spark hands every worker a copy of the files.
 
 p(w|h) = (max(c(hw) - D(c), 0) + g(h) p'(w)) / c(h), g(h) = D1 n1(h) + D2 n2(h) + D3 n3+(h);
@@ -47,6 +48,8 @@ FLUSH = 1_500_000
 _CODEC = pa.Codec("zstd", compression_level=1)
 #: Counts have a byte in the arrays; this one stands for those that need more.
 MORE = 255
+#: Files of the model that a worker has mapped at once; systems allow a process some 65,000 maps.
+OPEN = 16_000
 
 
 def tokens(texts: list[bytes], cache: WordHash, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -180,24 +183,38 @@ def _count(order: int, parts: int):
     return run
 
 
-def _save(uri: str, name: str, key: np.ndarray, **counts: np.ndarray) -> None:
-    """Counts as bytes, with the places and values of those that need more in a file beside.
-    Files appear whole: written aside, then renamed; a second attempt writes the same."""
+def _save(uri: str, name: str, key: np.ndarray, *counts: np.ndarray) -> None:
+    """One file: how many kinds of counts, keys and counts beyond a byte there are; the keys; places
+    and values of the counts that need more than a byte; the counts as bytes. It appears whole:
+    written aside, then renamed; a second attempt writes the same."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path, recursive=True)
-    arrays = {"key": key}
-    for kind, n in counts.items():
-        arrays[kind] = np.minimum(n, MORE).astype(np.uint8)
-        more = np.flatnonzero(n >= MORE)
-        if len(more):
-            arrays[f"{kind}.more"] = np.array([more, n[more]], np.int64)
-    for kind, array in arrays.items():
-        aside = f"{path}/.{name}.{kind}.{uuid.uuid4().hex}"
-        with system.open_output_stream(aside) as out:
+    more = [np.flatnonzero(n >= MORE) for n in counts]
+    head = np.array([len(counts), len(key), *map(len, more)], np.int64)
+    arrays = [head, key, *(np.array([at, n[at]], np.int64) for at, n in zip(more, counts, strict=True)), *(np.minimum(n, MORE).astype(np.uint8) for n in counts)]
+    aside = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(aside) as out:
+        for array in arrays:
             out.write(np.ascontiguousarray(array).tobytes())
-        system.move(aside, f"{path}/{name}.{kind}")
+    system.move(aside, f"{path}/{name}")
+
+
+def _mapped(path: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Keys, and of each kind of counts the bytes and (places, values) beyond, of a file of ``_save``.
+    The map holds no file open."""
+    with pa.memory_map(path) as f:
+        raw = f.read_buffer()
+    kinds, rows = np.frombuffer(raw, np.int64, 2).tolist()
+    long = np.frombuffer(raw, np.int64, kinds, 16).tolist()
+    at = 16 + 8 * kinds
+    key, at = np.frombuffer(raw, np.uint64, rows, at), at + 8 * rows
+    more = []
+    for m in long:
+        more.append(np.frombuffer(raw, np.int64, 2 * m, at).reshape(2, m))
+        at += 16 * m
+    return key, [(np.frombuffer(raw, np.uint8, rows, at + k * rows), x) for k, x in enumerate(more)]
 
 
 def _by_part(batches):
@@ -228,15 +245,15 @@ def _write_level(uri: str, parts: int, k: int, top: bool):
             n = count if top else np.where(grams[0] == BEGIN, raw, count)
             out = [(*[None] * (1 + len(_PACK)), *of_counts(n), len(n), int(n.sum()), int(raw.sum()))]
             if k == 1:
-                _save(uri, f"1-{part}", grams[0], count=n, raw=raw)
+                _save(uri, f"1-{part}", grams[0], n, raw)
             else:
                 context = home(grams)
                 key = gram_key(context, grams[-1])
                 by = np.argsort(key)
-                _save(uri, f"{k}-{part}", key[by], count=n[by])
+                _save(uri, f"{k}-{part}", key[by], n[by])
                 head = np.r_[0, np.flatnonzero(np.diff(context)) + 1]
                 per = lambda x, at=head: np.add.reduceat(x.astype(np.int64), at)
-                _save(uri, f"context{k}-{part}", context[head], total=per(n), n1=per(n == 1), n2=per(n == 2), n3=per(n > 2))
+                _save(uri, f"context{k}-{part}", context[head], per(n), per(n == 1), per(n == 2), per(n > 2))
                 rest, (firsts, raw) = add_up(grams[1:], np.ones(len(n)), raw)
                 out += _sent(rest, firsts, raw, parts)
             yield _batch(out)
@@ -271,39 +288,39 @@ class Model:
 
         return SparkFiles.get(os.path.basename(self.uri))
 
-    def array(self, name: str, kind: str, of: type) -> np.ndarray:
-        """Empty where there is no file."""
-        if (name, kind) not in self._open:
-            path = f"{self.folder()}/{name}.{kind}"
-            there = os.path.exists(path) and os.path.getsize(path)
-            self._open[name, kind] = np.memmap(path, of, "r") if there else np.zeros(0, of)
-        return self._open[name, kind]
-
-    def counts(self, name: str, kind: str, at: np.ndarray) -> np.ndarray:
-        n = self.array(name, kind, np.uint8)[at].astype(np.int64)
-        more = n == MORE
-        if more.any():
-            where, value = self.array(name, f"{kind}.more", np.int64).reshape(2, -1)
-            n[more] = value[np.searchsorted(where, at[more])]
-        return n
-
-    def look_up(self, table: str, key: np.ndarray, part: np.ndarray, *kinds: str) -> list[np.ndarray]:
-        """Values of distinct keys; 0 where a key is not there."""
-        out = [np.zeros(len(key), np.int64) for _ in kinds]
+    def table(self, name: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]] | None:
+        """The file of this name, if there is one; beyond OPEN, the one used longest ago is let go."""
+        found = self._open.pop(name, None)
+        if found is None:
+            path = f"{self.folder()}/{name}"
+            if not os.path.exists(path):
+                return None
+            while len(self._open) >= OPEN:
+                del self._open[next(iter(self._open))]
+            found = _mapped(path)
+        self._open[name] = found
+        return found
+
+    def look_up(self, table: str, key: np.ndarray, part: np.ndarray, kinds: int) -> list[np.ndarray]:
+        """The counts of distinct keys, of each kind; 0 where a key is not there."""
+        out = [np.zeros(len(key), np.int64) for _ in range(kinds)]
         by = np.lexsort((key, part))
         cuts = np.r_[0, np.flatnonzero(np.diff(part[by])) + 1, len(by)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
                 continue
             at = by[a:b]
-            name = f"{table}-{int(part[at[0]])}"
-            there = self.array(name, "key", np.uint64)
+            there, counts = self.table(f"{table}-{int(part[at[0]])}") or (key[:0], [])
             if not len(there):
                 continue
             i = np.minimum(np.searchsorted(there, key[at]), len(there) - 1)
             hit = there[i] == key[at]
-            for o, kind in zip(out, kinds, strict=True):
-                o[at[hit]] = self.counts(name, kind, i[hit])
+            at, i = at[hit], i[hit]
+            for o, (small, (where, value)) in zip(out, counts, strict=True):
+                n = small[i].astype(np.int64)
+                more = n == MORE
+                n[more] = value[np.searchsorted(where, i[more])]
+                o[at] = n
         return out
 
     def less(self, n: np.ndarray, k: int) -> np.ndarray:
@@ -313,7 +330,7 @@ class Model:
     def score(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 p, base log10 p and whether it is known, of each token."""
         w, wi = np.unique(grams[-1], return_inverse=True)
-        cont, raw = self.look_up("1", w, place(w, self.parts), "count", "raw")
+        cont, raw = self.look_up("1", w, place(w, self.parts), 2)
         words, d = self.sums[1], self.less_by[1]
         v, mass = words["types"], words["total"]
         g = d[0] * words["n1"] + d[1] * words["n2"] + d[2] * (v - words["n1"] - words["n2"])
@@ -321,10 +338,10 @@ class Model:
         for k in range(2, self.order + 1):
             context, d = home(grams[-k:]), self.less_by[k]
             c, ci = np.unique(context, return_inverse=True)
-            total, n1, n2, n3 = self.look_up(f"context{k}", c, place(c, self.parts), "total", "n1", "n2", "n3")
+            total, n1, n2, n3 = self.look_up(f"context{k}", c, place(c, self.parts), 4)
             back = d[0] * n1 + d[1] * n2 + d[2] * n3
             key, first, ki = np.unique(gram_key(context, grams[-1]), return_index=True, return_inverse=True)
-            (count,) = self.look_up(str(k), key, place(context[first], self.parts), "count")
+            (count,) = self.look_up(str(k), key, place(context[first], self.parts), 1)
             t = total[ci]
             p = np.where(t > 0, (self.less(count, k)[ki] + back[ci] * p) / np.maximum(t, 1), p)
         base = np.log10((raw + 0.1) / (self.tokens + 0.1 * (v + 1)))[wi]

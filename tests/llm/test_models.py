@@ -3,7 +3,10 @@
 import collections
 import itertools
 import math
+import os
+import pickle
 import re
+import resource
 import zlib
 
 import numpy as np
@@ -287,6 +290,35 @@ def test_lm(spark, rows, odd, none, order):
     assert ngramlm.lm_scores(none, order).count() == 0
 
 
+def test_lm_holds_no_files_open(spark):
+    """More files of a model than a process may have open."""
+    docs = [(i, " ".join(f"w{i * j % 97}" for j in range(40))) for i in range(60)]
+    before, soft = spark.conf.get("spark.sql.shuffle.partitions"), resource.getrlimit(resource.RLIMIT_NOFILE)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        model = ngramlm.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    grams, _ = ngramlm.tokens([t.encode() for _, t in docs], ngramlm.WordHash(), 3)
+    want = model.score(grams)
+    model = pickle.loads(pickle.dumps(model))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (max(map(int, os.listdir("/proc/self/fd"))) + 60, soft[1]))
+    try:
+        for got in (model.score(grams), model.score(grams)):
+            assert all((x == y).all() for x, y in zip(got, want, strict=True))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, soft)
+
+
+def test_lm_lets_maps_go(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i % 3} d") for i in range(50)], "doc_id long, text string")
+    model, grams = ngramlm.train(docs), ngramlm.tokens([f"a{i} b{i} c{i} d".encode() for i in range(8)], ngramlm.WordHash(), 3)[0]
+    want = model.score(grams)
+    monkeypatch.setattr(ngramlm, "OPEN", 2)
+    model = pickle.loads(pickle.dumps(model))
+    assert all((x == y).all() for x, y in zip(model.score(grams), want, strict=True)) and len(model._open) <= 2
+
+
 def test_lm_probabilities_sum_up(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "a b b", "c a b a", "b a", "a d"] * 3)], "doc_id long, text string")
     cache = ngramlm.WordHash()
