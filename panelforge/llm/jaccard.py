@@ -6,10 +6,12 @@ links, ``jaccard_links`` counts each document's links as well. No link is missed
 
 1. Equal sets become one node (named by the set's digest; a second digest tells whether two
    sets share a name, and then all are named anew), counted by one aggregation.
-   If a node links with any other, at least ``least`` of its shingles are in other nodes too.
-   Fingerprints of all shingles are dealt out by hash, as packed arrays, to count for each
-   node how many of its own others have; only nodes with enough go on. (A collision makes a
-   shingle seem shared, which keeps a node and never loses one.)
+   If a node links with any other, at most n - ceil(least * n) of its n shingles are in no other
+   node, and so no more of any part of them. Fingerprints of half of all shingles (by one bit of
+   the hash) are dealt out by hash, as packed arrays, to count for each node how many of its own
+   others have; nodes that lack more go. For those left the same is done with all their
+   shingles, among each other. (A collision makes a shingle seem shared, which keeps a node and
+   never loses one.) What is stored for a step is deleted once the next one is.
 2. Groups that can hold links: if A and B link, then under any fixed order of all shingles
    each has a common shingle among its first n - ceil(least * n) + 1. The order is by a
    sketch's count of the shingle among the nodes left (a table of bounded size), rare first, so
@@ -48,7 +50,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import WordHash, components, doc_key, if_small, need, own_names, raw_texts, shingle_set, shuffle_parts, stored, text_bytes, word_hashes
+from panelforge.llm.common import WordHash, components, doc_key, drop_path, if_small, lean, need, new_path, own_names, raw_texts, shingle_set, shuffle_parts, stored, text_bytes, word_hashes
 
 #: Least and most counters of the sketch that orders shingles. Between, one for each shingle
 #: of the documents left; beyond, a shingle stands out if it is more frequent than the many that
@@ -85,15 +87,15 @@ def _sets(batch: pa.RecordBatch, column: int, cache: WordHash) -> Iterator[np.nd
         yield shingle_set(word_hashes(text, cache))
 
 
-_DEALT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("witness", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-DEALT = "part int, doc_id long, n long, node long, witness long, a binary, b binary, c binary"
+_DEALT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("half", pa.int64()), ("node", pa.int64()), ("witness", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+DEALT = "part int, doc_id long, n long, half long, node long, witness long, a binary, b binary, c binary"
 
 
 def _packed(parts: list[int], *columns: list[bytes]) -> pa.RecordBatch:
     none = pa.nulls(len(parts), pa.int64())
     columns = [pa.array(c, pa.binary()) for c in columns]
     columns += [pa.nulls(len(parts), pa.binary())] * (3 - len(columns))
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), none, none, none, none, *columns], schema=_DEALT)
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), none, none, none, none, none, *columns], schema=_DEALT)
 
 
 def _cut(part: np.ndarray) -> list[np.ndarray]:
@@ -103,9 +105,15 @@ def _cut(part: np.ndarray) -> list[np.ndarray]:
     return [by[x:y] for x, y in zip(edges, edges[1:], strict=False) if y > x]
 
 
-def _describe(parts: int, salt: int):
-    """doc -> n, node and witness; and packed (fingerprints, owners of runs, lengths of runs) for each
-    hash range, once for each set that this task has."""
+def half_of(s: np.ndarray) -> np.ndarray:
+    """By a bit that is neither in fingerprints nor names a hash range."""
+    return s[(s >> np.uint64(32)) & np.uint64(1) == 0]
+
+
+def _describe(parts: int, salt: int, every: bool):
+    """doc -> n, how many of them are in the half, node and witness; and packed (fingerprints, owners
+    of runs, lengths of runs) of the half for each hash range, once for each set that this task has.
+    every: only what is packed, of all shingles."""
 
     def run(batches):
         cache, seen, turn = WordHash(), set(), 0
@@ -125,24 +133,28 @@ def _describe(parts: int, salt: int):
             return _packed(ids, fp, who, long)
 
         for batch in batches:
-            n, node, second = [], [], []
+            n, halves, node, second = [], [], [], []
             for s in _sets(batch, 1, cache):
+                half = half_of(s)
                 n.append(len(s))
+                halves.append(len(half))
                 node.append(digest(s, salt) if len(s) else None)
                 second.append(witness(s))
                 if len(s) and node[-1] not in seen:
                     seen.add(node[-1])
-                    tokens.append(s)
+                    tokens.append(s if every else half)
                     owners.append(node[-1])
-                    size += len(s)
+                    size += len(tokens[-1])
                     if size > 2 * FLUSH:
                         yield flush()
                         tokens, owners, size = [], [], 0
             if len(seen) > 1_000_000:
                 seen.clear()
+            if every:
+                continue
             turn += 1
             none = pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([(turn + i) % parts for i in range(len(n))], pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(second, pa.int64()), none, none, none], schema=_DEALT)
+            yield pa.RecordBatch.from_arrays([pa.array([(turn + i) % parts for i in range(len(n))], pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(halves, pa.int64()), pa.array(node, pa.int64()), pa.array(second, pa.int64()), none, none, none], schema=_DEALT)
         if size:
             yield flush()
 
@@ -180,10 +192,10 @@ def _repeats(parts: int):
             return _packed([int(part[r[0]]) for r in rows], [nodes[r].tobytes() for r in rows], [count[r].astype(np.uint32).tobytes() for r in rows])
 
         for batch in batches:
-            packed = batch.column(5).is_valid()
-            yield batch.filter(batch.column(5).is_null())
+            packed = batch.column(6).is_valid()
+            yield batch.filter(batch.column(6).is_null())
             rows = batch.filter(packed)
-            for t, o, k in zip(*(rows.column(c).to_pylist() for c in (5, 6, 7)), strict=True):
+            for t, o, k in zip(*(rows.column(c).to_pylist() for c in (6, 7, 8)), strict=True):
                 tokens.append(np.frombuffer(t, np.uint32))
                 owners.append(np.repeat(np.frombuffer(o, np.int64), np.frombuffer(k, np.uint32)))
                 size += len(tokens[-1])
@@ -529,7 +541,12 @@ def _linked(nodes: DataFrame, texts: DataFrame, tasks: DataFrame, least: float,
     rows = stored(tasks.join(nodes, ["grp", "block"]).select("grp", "i", "j", "node", "block", "root", "copies"), "tasks")
     read = _near(texts, rows, ["node"]).select("grp", "i", "j", "node", "block", "root", F.lit(first).alias("first"), "copies", "text")
     parts = shuffle_parts(texts.sparkSession)
-    return stored(read.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_tasks(least, count, salt), "a long, b long, n long"), "links")
+    return stored(read.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(lean(_tasks(least, count, salt)), "a long, b long, n long"), "links")
+
+
+def _counted(both: DataFrame, parts: int) -> DataFrame:
+    """node, repeated: the sums of what ``_repeats`` has counted."""
+    return both.where("a is not null").select("part", "a", "b").repartition(parts, "part").mapInArrow(lean(_summed), "node long, repeated long")
 
 
 def _grouped(docs: DataFrame, least: float) -> tuple:
@@ -537,31 +554,44 @@ def _grouped(docs: DataFrame, least: float) -> tuple:
     the first round's tasks, block j with block 0 and with itself; the salt of the digests."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    parts = shuffle_parts(spark, text_bytes(docs), 8 << 20)
+    parts = shuffle_parts(spark, text_bytes(docs), 16 << 20)
     salt = 0
     while True:
-        dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe(parts, salt), DEALT)
-        both = stored(dealt.repartition(parts, "part").mapInArrow(_repeats(parts), DEALT), "sets")
-        described = both.where("a is null").select("doc_id", "n", "node", "witness")
-        ids = described.where("node is not null").groupBy("node").agg(F.min(doc_key()).alias("d"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), (F.min("witness") < F.max("witness")).alias("mixed"))
+        dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_describe(parts, salt, False)), DEALT)
+        sets = new_path(spark, "sets")
+        both = stored(dealt.repartition(parts, "part").mapInArrow(lean(_repeats(parts)), DEALT), path=sets)
+        described = stored(both.where("a is null").select("doc_id", "n", "half", "node", "witness"), "described")
+        ids = described.where("node is not null").groupBy("node").agg(F.min(doc_key()).alias("d"), F.first("n").alias("n"), F.first("half").alias("half"), F.count(F.lit(1)).alias("copies"), (F.min("witness") < F.max("witness")).alias("mixed"))
         ids = stored(ids, "nodes")
         if ids.where("mixed").isEmpty():
             break
+        drop_path(spark, sets)
         salt += 1  # two sets share a digest
-    repeated = both.where("a is not null").select("part", "a", "b").repartition(parts, "part").mapInArrow(_summed, "node long, repeated long")
-    left = ids.join(repeated, "node").where(F.col("repeated") >= F.ceil(F.lit(least) * F.col("n") - 1e-9)).select("node", "d", "n")
+    missing = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9)  # at most, in a set that links
+    left = ids.join(_counted(both, parts), "node", "left").where(F.coalesce("repeated", F.lit(0)) >= F.col("half") - missing).select("node", "d", "n")
     left = stored(left, "left")
+    drop_path(spark, sets)
+    some = new_path(spark, "some")
+    texts = _near(docs.select(doc_key().alias("d"), "text"), left.select("node", "d"), ["d"]).select("node", "d", "text").mapInArrow(lean(_verified(salt)), "node long, d long, text string")
+    texts = stored(texts, path=some)
+    parts = shuffle_parts(spark, text_bytes(texts), 8 << 20)
+    sets = new_path(spark, "sets")
+    dealt = texts.select(F.col("d").alias("doc_id"), "text").mapInArrow(lean(_describe(parts, salt, True)), DEALT)
+    both = stored(dealt.repartition(parts, "part").mapInArrow(lean(_repeats(parts)), DEALT), path=sets)
+    left = stored(left.join(_counted(both, parts), "node").where(F.col("repeated") >= F.col("n") - missing), "left")
+    drop_path(spark, sets)
+    texts = stored(_near(texts, left.select("node"), ["node"]), "texts")
+    drop_path(spark, some)
     shingles = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counters = min(COUNTERS, max(FEWEST, 1 << int(shingles).bit_length()))
-    texts = _near(docs.select(doc_key().alias("d"), "text"), left.select("node", "d"), ["d"]).select("node", "d", "text").mapInArrow(_verified(salt), "node long, d long, text string")
-    texts = stored(texts, "texts")
 
-    pieces = texts.select("text").mapInArrow(_sketch(counters), "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(_add_up, "piece int, counts binary")
+    pieces = texts.select("text").mapInArrow(lean(_sketch(counters)), "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(lean(_add_up), "piece int, counts binary")
     table = {r.piece: bytes(r.counts) for r in pieces.collect()}  # at most COUNTERS bytes
     blank = bytes(counters // PIECES)
     counts = spark.sparkContext.broadcast([table.get(i, blank) for i in range(PIECES)])
-    entries = texts.select("text").mapInArrow(_prefixes(counts, counters, parts, least, salt), "part int, tokens binary, owners binary")
-    ties = stored(entries.repartition(parts, "part").mapInArrow(_ties, "a long, b long"), "ties")
+    entries = texts.select("text").mapInArrow(lean(_prefixes(counts, counters, parts, least, salt)), "part int, tokens binary, owners binary")
+    ties = stored(entries.repartition(parts, "part").mapInArrow(lean(_ties), "a long, b long"), "ties")
+    counts.destroy()
     groups = components(ties).select("node", F.col("root").alias("grp"))
 
     members = stored(groups.join(ids, "node"), "members")
@@ -640,15 +670,21 @@ def keep_one(docs: DataFrame, least: float = 0.75) -> DataFrame:
     found = jaccard_components(docs, least).select(F.coalesce("doc_id", none).alias(d), F.coalesce("component_id", none).alias("c"), "node", "salt")
     found = stored(found, "kept")
     ids = found.groupBy(d).agg(F.count(F.lit(1)).alias(rows), F.first("salt").alias(salt), F.collect_set(F.when(F.col(d) == F.col("c"), F.coalesce("node", F.lit(0)))).alias(nodes))
-    ids = stored(ids.where(F.size(nodes) > 0), "kept")
+    ids = stored(ids, "kept")
     keyed = docs.withColumn(d, doc_key())
-    once = ids.where(F.col(rows) == 1).select(d)
-    out = keyed.join(if_small(once, 24), d, "left_semi").select(*docs.columns)
+    # Rows alone under their id: of those that stay and the others, the fewer are met.
+    stay = (F.col(rows) == 1) & (F.size(nodes) > 0)
+    once, others = ids.where(stay).select(d), ids.where(~stay).select(d)
+    if others.count() <= once.count():
+        out = keyed.join(if_small(others, 64), d, "left_anti").select(*docs.columns)
+    else:
+        out = keyed.join(if_small(once, 64), d, "left_semi").select(*docs.columns)
+    ids = ids.where(F.size(nodes) > 0)
     if ids.where(F.col(rows) > 1).isEmpty():
         return out
     # Ids on several rows: each row's own set decides.
     again = keyed.join(ids.where(F.col(rows) > 1), d).select(F.col("text").alias(text), nodes, salt, *docs.columns)
-    marked = again.mapInArrow(_chosen(node), T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())])).where(F.col(node).isNotNull())
+    marked = again.mapInArrow(lean(_chosen(node)), T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())])).where(F.col(node).isNotNull())
     worded = marked.where(F.col(node) != 0).dropDuplicates(["doc_id", node])
     return out.unionAll(worded.select(*docs.columns)).unionAll(marked.where(F.col(node) == 0).select(*docs.columns))
 

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from panelforge.llm import jaccard
+from panelforge.llm import common, jaccard
 from tests.llm.conftest import unharmed
 
 SF = "/root/testdata/sf0.01"
@@ -147,3 +147,41 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in unharmed(kept)), key=repr) == sorted([1, 3, 4, 5, None, 6, 7, 8, 9], key=repr)
     assert jaccard.jaccard_components(none).count() == 0 and jaccard.keep_one(none).count() == 0
+
+
+def test_deals_half_and_keeps_what_links(spark, tmp_path, monkeypatch):
+    """Shingles that are dealt out at first are about half of all; what is stored for it goes."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    rng = random.Random(3)
+    rows = []
+    for k in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((1, 5, 6, 9, 14, 40, 120)))]
+        for copy in range(3):
+            other = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 25)):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(5000)}"
+            rows.append((3 * k + copy, " ".join(other)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.jaccard_links(df).select("doc_id", "n_shingles", "component_id", "n_links").collect()))
+    assert got == sorted(brute_links(rows))
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith(("sets", "some"))] and len([p for p in tmp_path.iterdir() if p.name.startswith("edges")]) <= 2
+    batch = df.coalesce(1).toArrow().to_batches()[0]
+    dealt = [b for b in jaccard._describe(4, 0, False)(iter([batch]))]
+    bytes_dealt = sum(len(x) for b in dealt for x in b.column(6).to_pylist() if x)
+    every = {s for _, t in rows if (s := shingles(t))}
+    assert 0.4 < bytes_dealt / 4 / sum(map(len, every)) < 0.6
+
+
+def test_keep_one_sends_the_fewer(spark, monkeypatch):
+    """Where few documents go, it is their ids that are broadcast."""
+    rows = [(k, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(500)] + [(1000 + k, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 5_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard.keep_one(df)
+        assert sorted(r.doc_id for r in out.collect()) == list(range(500))
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
