@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import BROADCAST_BYTES, NO_ID, SLICE_BYTES, doc_key, need, own_names, raw_texts, shuffle_parts, slices, stored, text_bytes
+from panelforge.llm.common import BROADCAST_BYTES, NO_ID, SLICE_BYTES, doc_key, lean, need, own_names, raw_texts, shuffle_parts, slices, stored, text_bytes
 
 #: Bits of the hash that cut, crowding distance and longest chunk in bytes.
 SHIFT, CUT, CROWD, LONGEST = 11, 31, 8, 512
@@ -222,14 +222,14 @@ def _unpacked(batches):
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """d, r, s, e, w, pw, nw (words before and after), kd, kr, by: chunks with an earlier holder."""
     parts = shuffle_parts(docs.sparkSession, text_bytes(docs), 8 << 20)
-    dealt = docs.select(doc_key().alias("d"), "text").mapInArrow(_deal(parts), _DEALT)
-    met = stored(dealt.repartition(parts, "part").mapInArrow(_firsts, _MET), "chunks")
+    dealt = docs.select(doc_key().alias("d"), "text").mapInArrow(lean(_deal(parts)), _DEALT)
+    met = stored(dealt.repartition(parts, "part").mapInArrow(lean(_firsts), _MET), "chunks")
     cols = ["d", "r", "s", "e", "w", "pw", "nw", "kd", "kr", "ks"]
     again = met.where(F.col("kind") == ALL).select(*cols)
     heads = met.where(F.col("kind") == HEAD)
     if not heads.isEmpty():
         many = met.where(F.col("kind") == MANY).select("h", "fl", "entries").join(heads.select("h", "fl", "kd", "kr", "ks"), ["h", "fl"])
-        apart = many.select("entries", "kd", "kr", "ks").repartition(parts).mapInArrow(_unpacked, _MET).select(*cols).distinct()
+        apart = many.select("entries", "kd", "kr", "ks").repartition(parts).mapInArrow(lean(_unpacked), _MET).select(*cols).distinct()
         again = stored(again.unionAll(apart), "chunks")
     return again.select(*cols[:-1], (F.col("s") - F.col("ks")).alias("by"))
 
@@ -348,10 +348,10 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     whole, width = None, WINDOW
     while True:
         spans = found.select("d", "r", "s", "e").unionAll(found.selectExpr("kd", "kr", "s - by", "e - by"))
-        ends = stored(_asked(docs, spans).mapInArrow(_ends(width), _ENDS).dropDuplicates(["d", "r", "s", "e"]), "ends")
+        ends = stored(_asked(docs, spans).mapInArrow(lean(_ends(width)), _ENDS).dropDuplicates(["d", "r", "s", "e"]), "ends")
         theirs = ends.selectExpr("d as kd", "r as kr", "s as ks", "e as ke", "before as before_k", "after as after_k", "whole as whole_k")
         both = found.join(ends, ["d", "r", "s", "e"]).withColumns({"ks": F.col("s") - F.col("by"), "ke": F.col("e") - F.col("by")}).join(theirs, ["kd", "kr", "ks", "ke"]).where("whole = whole_k")
-        grown = both.select("d", "r", "s", "e", "kd", "kr", "by", "before", "after", "before_k", "after_k").mapInArrow(_grown(width), _FOUND + ", more boolean")
+        grown = both.select("d", "r", "s", "e", "kd", "kr", "by", "before", "after", "before_k", "after_k").mapInArrow(lean(_grown(width)), _FOUND + ", more boolean")
         grown = stored(grown, "grown")
         whole = grown.where("not more") if whole is None else whole.unionAll(grown.where("not more"))
         # Of those that have met in one place, one goes on for all.
@@ -363,7 +363,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     spans = stored(whole.groupBy("d", "r", "s", "e").agg(F.min("kd").alias("kept_d")), "spans")
     before = F.max("e").over(Window.partitionBy("d", "r").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1))
     outer = spans.withColumn("_before", before).where("_before is null or _before < e").drop("_before")
-    counted = _asked(docs, outer).mapInArrow(_counted, "d long, r int, s int, e int, w int").where(F.col("w") >= least_words).distinct()
+    counted = _asked(docs, outer).mapInArrow(lean(_counted), "d long, r int, s int, e int, w int").where(F.col("w") >= least_words).distinct()
     out = counted.join(outer, ["d", "r", "s", "e"])
     return out.select("d", "r", F.col("s").alias("start"), F.col("e").alias("end"), F.col("w").alias("words"), "kept_d")
 
@@ -398,7 +398,7 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
             out[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(out, [*cols, n_cut])
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(n_cut, T.LongType())]))
+    return rows.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(n_cut, T.LongType())]))
 
 
 def _named(spans: DataFrame) -> DataFrame:
