@@ -1,14 +1,21 @@
 """Language-model scores: interpolated modified Kneser-Ney of any order from two.
 
-Counting: every task sorts and adds up the n-grams of a few million tokens and sends them,
-packed, to the part that its context's hash names; a part adds up what it gets and writes
-sorted arrays (n-gram hash and count; context and its totals) to the shared folder. The
-n-grams without their first word (how many first words each has, and how often it occurs)
-go on in the same way, down to words. Nothing of the corpus is collected on the driver but
-count-of-counts.
-
-Scoring: workers memory-map the arrays, one file for each part and table, and look the distinct
-n-grams of a slice of text up by binary search, so their memory does not grow with the model, nor
+Words: a first pass counts words by their 64-bit hashes; a word's hash names its part, and each
+part numbers its words by falling counts, so frequent words have small numbers everywhere.
+
+Counting: every task sorts and adds up the n-grams of a few million tokens and sends them, as
+rising numbers, packed, to the part that their context names; a part adds up what it gets and
+writes its sorted n-grams to the shared folder. The n-grams without their first word (how many
+first words each has, and how often it occurs) go on in the same way, down to words. Nothing of
+the corpus is collected on the driver but count-of-counts.
+
+An n-gram in a file is the bits of its context that its part and bucket leave open, the number of
+its word, and two bits of count; what needs more stands beside. Counts of a context's n-grams are
+added up when they are asked for, beyond a few they are written down. All numbers have as many bits
+as the largest needs and are read in place.
+
+Scoring: workers memory-map the files, one for each part and level, and look the contexts
+and n-grams of a slice of text up by binary search, so their memory does not grow with the model, nor
 do the files that they hold open. Where the shared folder is
 no mounted file system, Spark hands every worker a copy of the files.
 
@@ -18,10 +25,11 @@ occurrences), and below words 1 / (V + 1). Discounts are those of the counts of
 each order; where these are too small to tell, 0.75.
 
 The query takes trigrams; ``order`` takes any. What a level hands to the next is deleted once the
-next is written, as are its shuffle files, so the disk holds the arrays and one level's n-grams.
+next is written, as are its shuffle files, so the disk holds the files and one level's n-grams.
 
-Words are 64-bit hashes, so counts of words are exact unless two words share one; contexts of
-several words and n-grams are 64-bit hashes of those. Nulls: a null text is one empty document,
+Words are 64-bit hashes, so counts of words are exact unless two words share one; contexts are
+their words' numbers, or a 64-bit hash of those where they need more than 64 bits together.
+Nulls: a null text is one empty document,
 of one end token; a null id counts as an empty string. Equal rows count as often as they are
 there. With no text to learn from every token has probability 1 / (V + 1) = 1. Empty tables
 give empty results. A text of any length is taken whole, its n-grams in slices.
@@ -29,6 +37,7 @@ give empty results. A text of any length is taken whole, its n-grams in slices.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -43,15 +52,33 @@ from panelforge.llm.common import WordHash, drop_path, need, new_path, raw_texts
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Ids of what stands before a text and behind it: hashes of what is no word.
 BEGIN, END = np.uint64(xxhash.xxh3_64_intdigest(b" begin")), np.uint64(xxhash.xxh3_64_intdigest(b" end"))
-#: Tokens that a task adds up before it sends them on.
-FLUSH = 1_500_000
+#: Tokens whose n-grams, and whose words, a task adds up before it sends them on.
+FLUSH, FLUSH_WORDS = 1_500_000, 4_000_000
 _CODEC = pa.Codec("zstd", compression_level=1)
-#: Counts have a byte in the arrays; this one stands for those that need more.
-MORE = 255
+#: The number of what stands before a text, and of a word that has none.
+FIRST, NONE = np.uint64(0), np.uint64(2**64 - 1)
+#: Counts from one have two bits; this one stands for those that need more.
+MORE = 3
+#: N-grams to a bucket of a file. A context's sums are written down from so many n-grams on.
+BUCKET, WIDE = 16, 8
+#: Text bytes to a part, and those that are scored at once.
+PART_BYTES, SCORED_BYTES = 24 << 20, 4 << 20
 #: Files of the model that a worker has mapped at once; systems allow a process some 65,000 maps.
 OPEN = 16_000
 
 
+def places(word: np.ndarray, starts: np.ndarray, order: int, begin: np.uint64) -> list[np.ndarray]:
+    """The n-grams of consecutive documents, as one array for each place."""
+    at = len(word)
+    since = np.arange(at) - np.repeat(starts, np.diff(np.r_[starts, at]))
+    grams = [word]
+    for back in range(1, order):
+        before = np.r_[np.full(min(back, at), begin), word[:-back]]
+        before[since < back] = begin
+        grams.insert(0, before)
+    return grams
+
+
 def tokens(texts: list[bytes], cache: WordHash, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The n-grams of some documents, each closed by an end, as one array for each place (the
     words themselves come last), and the documents' starts."""
@@ -63,13 +90,7 @@ def tokens(texts: list[bytes], cache: WordHash, order: int) -> tuple[list[np.nda
         at += len(words) + 1
     word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     starts = np.array(starts, np.int64)
-    since = np.arange(at) - np.repeat(starts, np.diff(np.r_[starts, at]))
-    grams = [word]
-    for back in range(1, order):
-        before = np.r_[np.full(min(back, at), BEGIN), word[:-back]]
-        before[since < back] = BEGIN
-        grams.insert(0, before)
-    return grams, starts
+    return places(word, starts, order, BEGIN), starts
 
 
 def place(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -82,139 +103,143 @@ def gram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def context_key(words: list[np.ndarray]) -> np.ndarray:
-    """One word is its own key."""
-    key = words[0]
-    for word in words[1:]:
-        key = gram_key(key, word)
-    return key
+# -- n-grams as numbers ------------------------------------------------------------------
 
 
-def home(grams: list[np.ndarray]) -> np.ndarray:
-    """What names the part of n-grams: their context, or the word."""
-    return context_key(grams[:-1] or grams)
+def joined(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """Numbers of ``bits`` bits, side by side in one."""
+    key = columns[0]
+    for c in columns[1:]:
+        key = (key << np.uint64(bits)) | c
+    return key
 
 
-def add_up(grams: list[np.ndarray], *weights: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct n-grams by context and word, with how many rows each has, or sums of ``weights``."""
-    by = np.lexsort([grams[-1], home(grams)]) if len(grams) > 1 else np.argsort(grams[0], kind="stable")
-    grams = [g[by] for g in grams]
+def spans(words: int, bits: int, parts: int) -> tuple[int, int]:
+    """How many bits contexts of so many words have, and how many of them fall to a part."""
+    wide = min(words * bits, 64)
+    return wide, -(-(1 << wide) // parts)
+
+
+def home(context: list[np.ndarray], bits: int, parts: int) -> np.ndarray:
+    """Contexts, stirred: another number of as many bits for each. The part is this divided by what
+    falls to a part, and the rest is the context's name there."""
+    wide, _ = spans(len(context), bits, parts)
+    if len(context) * bits <= 64:
+        x = joined(context, bits)
+    else:
+        x = context[0]
+        for c in context[1:]:
+            x = gram_key(x, c)
+    mask, half = np.uint64((1 << wide) - 1), np.uint64(max(1, wide // 2))
+    for odd in (_P, np.uint64(0xD6E8FEB86659FD93)):
+        x = (x * odd) & mask
+        x = x ^ (x >> half)
+    return x
+
+
+def add_up(columns: list[np.ndarray], bits: int, weight: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of numbers of ``bits`` bits, rising, with how many there are, or sums of ``weight``."""
+    if len(columns) * bits <= 64:
+        key = joined(columns, bits)
+        if weight is None:
+            key, n = np.unique(key, return_counts=True)
+        else:
+            by = np.argsort(key)
+            key = key[by]
+            at = np.flatnonzero(np.r_[np.ones(min(1, len(key)), np.bool_), key[1:] != key[:-1]])
+            key, n = key[at], np.add.reduceat(weight[by], at) if len(at) else weight[:0]
+        mask = np.uint64((1 << bits) - 1)
+        return [(key >> np.uint64(bits * k)) & mask for k in range(len(columns) - 1, -1, -1)], n
+    by = np.lexsort(columns[::-1])
+    columns = [c[by] for c in columns]
     new = np.ones(len(by), np.bool_)
-    if len(by):
-        new[1:] = np.any([g[1:] != g[:-1] for g in grams], axis=0)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     at = np.flatnonzero(new)
-    if not weights:
-        return [g[at] for g in grams], [np.diff(np.r_[at, len(by)])]
-    return [g[at] for g in grams], [np.add.reduceat(x[by].astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for x in weights]
-
-
-def smallest(x: np.ndarray) -> np.ndarray:
-    """In the fewest bytes that hold the largest."""
-    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+    n = np.diff(np.r_[at, len(by)]) if weight is None else np.add.reduceat(weight[by], at) if len(at) else weight[:0]
+    return [c[at] for c in columns], n
 
 
 def packed(x: np.ndarray) -> bytes:
-    x = smallest(x)
-    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + _CODEC.compress(x.tobytes(), asbytes=True)
+    """In the fewest bytes that hold the largest, first bytes first, compressed."""
+    x = x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
+    keep = 3 if x.itemsize == 4 and not planes[3].any() else x.itemsize
+    return bytes([keep]) + len(x).to_bytes(8, "little") + _CODEC.compress(planes[:keep].tobytes(), asbytes=True)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    width, rows = raw[0], int.from_bytes(raw[1:9], "little")
-    return np.frombuffer(_CODEC.decompress(raw[9:], width * rows, asbytes=True), f"u{width}").astype(np.int64)
-
-
-_PACK = ["ids", "grams", "counts", "raws"]
-_SUMS = ["n1", "n2", "n3", "n4", "types", "total", "raw"]
-_SCHEMA = ", ".join(["part int", *[f"{c} binary" for c in _PACK], *[f"{c} long" for c in _SUMS]])
+    keep, rows = raw[0], int.from_bytes(raw[1:9], "little")
+    planes = np.frombuffer(_CODEC.decompress(raw[9:], keep * rows, asbytes=True), np.uint8).reshape(keep, rows)
+    out = np.zeros((rows, 4 if keep == 3 else keep), np.uint8)
+    out[:, :keep] = planes.T
+    return out.view(f"u{out.shape[1]}").ravel().astype(np.uint64)
+
+
+def _rises(columns: list[np.ndarray]) -> list[bytes]:
+    """Rising rows: a number is what it adds to the one before where all places before it are equal."""
+    same, out = np.zeros(len(columns[0]), np.bool_), []
+    same[1:] = True
+    for c in columns:
+        more = c.copy()
+        more[1:][same[1:]] -= c[:-1][same[1:]]
+        out.append(packed(more))
+        same[1:] &= c[1:] == c[:-1]
+    return out
+
+
+def _risen(raws: list[bytes]) -> list[np.ndarray]:
+    out, same = [], None
+    for raw in raws:
+        c = unpacked(raw)
+        if same is None:
+            same = np.ones(len(c), np.bool_)
+            same[:1] = False
+        start = np.flatnonzero(~same)
+        total = np.cumsum(c, dtype=np.uint64)
+        c = total - np.repeat(total[start] - c[start], np.diff(np.r_[start, len(c)]))
+        out.append(c)
+        same[1:] &= c[1:] == c[:-1]
+    return out
+
+
+_SUMS = ["n1", "n2", "n3", "n4", "types", "total", "top"]
+_SCHEMA = ", ".join(["part int", "grams array<binary>", "counts binary", *[f"{c} long" for c in _SUMS]])
+_KINDS = [pa.int32(), pa.list_(pa.binary()), pa.binary(), *[pa.int64()] * len(_SUMS)]
+_PACK = ["part", "grams", "counts"]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.binary()] * len(_PACK), *[pa.int64()] * len(_SUMS)]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", *_PACK, *_SUMS])
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [*_PACK, *_SUMS])
 
 
-def _sent(grams: list[np.ndarray], count: np.ndarray, raw: np.ndarray, parts: int) -> list[tuple]:
-    """A row for each part: its words, once each, and n-grams as places among them."""
-    part = place(home(grams), parts)
-    by = np.argsort(part, kind="stable")
-    cuts = np.r_[0, np.flatnonzero(np.diff(part[by])) + 1, len(by)]
+def _dealt(part: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> list[tuple]:
+    """A row for each part of rising rows of numbers."""
+    by = np.argsort(smallest(part), kind="stable")
+    cuts = np.r_[0, np.flatnonzero(np.diff(part[by].astype(np.int64))) + 1, len(by)]
     rows = []
     for a, b in zip(cuts, cuts[1:], strict=False):
         if a < b:
             r = by[a:b]
-            ids, at = np.unique(np.concatenate([g[r] for g in grams]), return_inverse=True)
-            # By places: those of the first word rise, so they pack to little.
-            rise = np.lexsort(at.reshape(len(grams), -1)[::-1])
-            r, at = r[rise], at.reshape(len(grams), -1)[:, rise].ravel()
-            rows.append((int(part[r[0]]), ids.tobytes(), packed(at), packed(count[r]), None if raw is count else packed(raw[r]), *[None] * len(_SUMS)))
+            rows.append((int(part[r[0]]), _rises([c[r] for c in columns]), packed(n[r]), *[None] * len(_SUMS)))
     return rows
 
 
-def _received(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    grams, count, raw = [], [], []
-    for _, ids, at, n, r, *_ in rows:
-        n = unpacked(n)
-        grams.append(np.frombuffer(ids, np.uint64)[unpacked(at)].reshape(-1, len(n)))
-        count.append(n)
-        raw.append(n if r is None else unpacked(r))
-    return list(np.concatenate(grams, axis=1)), np.concatenate(count), np.concatenate(raw)
+def _received(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
+    grams = zip(*(_risen(x) for _, x, *_ in rows), strict=True)
+    return [np.concatenate(c) for c in grams], np.concatenate([unpacked(n) for _, _, n, *_ in rows]).astype(np.int64)
 
 
-def _count(order: int, parts: int):
-    def run(batches):
-        cache, held, size = WordHash(), [], 0
+def _sent(grams: list[np.ndarray], n: np.ndarray, bits: int, parts: int) -> list[tuple]:
+    if len(grams) == 1:
+        return _dealt((grams[0] - np.uint64(1)) % np.uint64(parts), grams, n)
+    _, each = spans(len(grams) - 1, bits, parts)
+    return _dealt(home(grams[:-1], bits, parts) // np.uint64(each), grams, n)
 
-        def flush():
-            grams, (n,) = add_up([np.concatenate(x) for x in zip(*held, strict=True)])
-            return _batch(_sent(grams, n, n, parts))
 
-        for batch in batches:
-            texts = raw_texts(batch.column(0))
-            for a, b in slices(texts):
-                grams, _ = tokens(texts[a:b], cache, order)
-                held.append(grams)
-                size += len(grams[-1])
-                if size > FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    return run
-
-
-def _save(uri: str, name: str, key: np.ndarray, *counts: np.ndarray) -> None:
-    """One file: how many kinds of counts, keys and counts beyond a byte there are; the keys; places
-    and values of the counts that need more than a byte; the counts as bytes. It appears whole:
-    written aside, then renamed; a second attempt writes the same."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
-    system.create_dir(path, recursive=True)
-    more = [np.flatnonzero(n >= MORE) for n in counts]
-    head = np.array([len(counts), len(key), *map(len, more)], np.int64)
-    arrays = [head, key, *(np.array([at, n[at]], np.int64) for at, n in zip(more, counts, strict=True)), *(np.minimum(n, MORE).astype(np.uint8) for n in counts)]
-    aside = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(aside) as out:
-        for array in arrays:
-            out.write(np.ascontiguousarray(array).tobytes())
-    system.move(aside, f"{path}/{name}")
-
-
-def _mapped(path: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Keys, and of each kind of counts the bytes and (places, values) beyond, of a file of ``_save``.
-    The map holds no file open."""
-    with pa.memory_map(path) as f:
-        raw = f.read_buffer()
-    kinds, rows = np.frombuffer(raw, np.int64, 2).tolist()
-    long = np.frombuffer(raw, np.int64, kinds, 16).tolist()
-    at = 16 + 8 * kinds
-    key, at = np.frombuffer(raw, np.uint64, rows, at), at + 8 * rows
-    more = []
-    for m in long:
-        more.append(np.frombuffer(raw, np.int64, 2 * m, at).reshape(2, m))
-        at += 16 * m
-    return key, [(np.frombuffer(raw, np.uint8, rows, at + k * rows), x) for k, x in enumerate(more)]
+def smallest(x: np.ndarray) -> np.ndarray:
+    """In the fewest bytes that hold the largest."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
 def _by_part(batches):
@@ -231,68 +256,129 @@ def _by_part(batches):
         yield now, rows
 
 
-def of_counts(n: np.ndarray) -> list[int]:
-    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+# -- files -------------------------------------------------------------------------------
 
 
-def _write_level(uri: str, parts: int, k: int, top: bool):
-    """Arrays of the n-grams of ``k`` words; what goes on to those of one word less, and sums."""
+class Bits:
+    """Numbers of ``width`` bits each, one behind the other in 64-bit words."""
 
-    def run(batches):
-        for part, rows in _by_part(batches):
-            grams, count, raw = _received(rows)
-            grams, (count, raw) = add_up(grams, count, raw)
-            n = count if top else np.where(grams[0] == BEGIN, raw, count)
-            out = [(*[None] * (1 + len(_PACK)), *of_counts(n), len(n), int(n.sum()), int(raw.sum()))]
-            if k == 1:
-                _save(uri, f"1-{part}", grams[0], n, raw)
-            else:
-                context = home(grams)
-                key = gram_key(context, grams[-1])
-                by = np.argsort(key)
-                _save(uri, f"{k}-{part}", key[by], n[by])
-                head = np.r_[0, np.flatnonzero(np.diff(context)) + 1]
-                per = lambda x, at=head: np.add.reduceat(x.astype(np.int64), at)
-                _save(uri, f"context{k}-{part}", context[head], per(n), per(n == 1), per(n == 2), per(n > 2))
-                rest, (firsts, raw) = add_up(grams[1:], np.ones(len(n)), raw)
-                out += _sent(rest, firsts, raw, parts)
-            yield _batch(out)
+    def __init__(self, words: np.ndarray, width: int):
+        self.words, self.width = words, width
 
-    return run
+    @staticmethod
+    def of(x: np.ndarray, width: int) -> np.ndarray:
+        """The words; one more than they fill."""
+        out = np.zeros((len(x) * width + 63) // 64 + 1, np.uint64)
+        if len(x) and width:
+            x = x.astype(np.uint64)
+            bit = np.arange(len(x), dtype=np.uint64) * np.uint64(width)
+            at, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            out[at[first]] = np.bitwise_or.reduceat(x << shift, first)
+            over = np.flatnonzero(shift + np.uint64(width) > 64)
+            out[at[over] + 1] |= x[over] >> (np.uint64(64) - shift[over])
+        return out
 
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(i), np.uint64)
+        bit = i.astype(np.uint64) * np.uint64(self.width)
+        at, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        x = (self.words[at] >> shift) | ((self.words[at + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        return x & np.uint64((1 << self.width) - 1)
+
+    def first(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The first place from ``lo`` and before ``hi``, between which numbers rise, that has
+        ``value`` or more; else ``hi``."""
+        lo, hi = lo.copy(), hi.copy()
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            a, z = lo[live], hi[live]
+            mid = (a + z) >> 1
+            less = self[mid] < value[live]
+            a, z = np.where(less, mid + 1, a), np.where(less, z, mid)
+            lo[live], hi[live] = a, z
+            live = live[a < z]
+        return lo
+
+
+def _counts(n: np.ndarray) -> dict:
+    """Counts from one: two bits each, places and values of the larger."""
+    n = n.astype(np.uint64)
+    more = np.flatnonzero(n > MORE)
+    return {"n": (np.minimum(n - np.uint64(1), np.uint64(MORE)), 2), "more": smallest(more), "much": smallest(n[more])}
+
+
+def _read_counts(table: dict, i: np.ndarray) -> np.ndarray:
+    n = table["n"][i].astype(np.int64) + 1
+    more = n > MORE
+    if more.any():
+        n[more] = table["much"][np.searchsorted(table["more"], i[more].astype(table["more"].dtype))]
+    return n
+
+
+def _save(uri: str, name: str, arrays: dict) -> None:
+    """One file: the length of what says where the arrays are, that, and the arrays, each an array
+    or numbers and their bits. It appears whole: written aside, then renamed; a second attempt
+    writes the same."""
+    from pyarrow import fs
 
-def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
-    if not n1 or not n2:
-        return [0.75, 0.75, 0.75]
-    y, n = n1 / (n1 + 2 * n2), [n1, n2, n3, n4]
-    found = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.75 for k in (1, 2, 3)]
-    return [min(max(d, 0.0), float(k)) if d > 0 else 0.75 for k, d in zip((1, 2, 3), found, strict=True)]
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path, recursive=True)
+    raws, says, at = [], {}, 0
+    for k, x in arrays.items():
+        width = 0
+        if isinstance(x, tuple):
+            x, width = Bits.of(*x), x[1]
+            says[k] = [at, len(x), "u8", width]
+        else:
+            says[k] = [at, len(x), f"u{x.itemsize}", None]
+        raw = np.ascontiguousarray(x).tobytes()
+        raws.append(raw + bytes(-len(raw) % 8))
+        at += len(raws[-1])
+    head = json.dumps(says).encode()
+    head += b" " * (-len(head) % 8)
+    aside = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(aside) as out:
+        for raw in (len(head).to_bytes(8, "little"), head, *raws):
+            out.write(raw)
+    system.move(aside, f"{path}/{name}")
 
 
-class Model:
-    """The arrays of a trained model, opened where they are needed; ``sums`` of each order."""
+def _mapped(path: str) -> dict:
+    """The arrays of a file of ``_save``. The map holds no file open."""
+    with pa.memory_map(path) as f:
+        raw = f.read_buffer()
+    size = int(np.frombuffer(raw, np.int64, 1)[0])
+    out = {}
+    for k, (at, rows, kind, width) in json.loads(bytes(raw[8 : 8 + size])).items():
+        x = np.frombuffer(raw, kind, rows, 8 + size + at) if rows else np.zeros(0, kind)
+        out[k] = x if width is None else Bits(x, width)
+    return out
 
-    def __init__(self, uri: str, parts: int, sums: dict[int, dict]):
-        self.uri, self.parts, self.sums, self.order = uri, parts, sums, max(sums)
-        self.tokens = sums[1]["raw"]
-        self.less_by = {k: discounts(*(x[c] for c in ("n1", "n2", "n3", "n4"))) for k, x in sums.items()}
+
+class Tables:
+    """The files of words, and of n-grams once they are there, opened where they are needed."""
+
+    def __init__(self, words: str, grams: str, parts: int, bits: int):
+        self.words, self.grams, self.parts, self.bits = words, grams, parts, bits
         self._open: dict = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def folder(self) -> str:
-        if self.uri.startswith("file:"):
-            return "/" + self.uri[5:].lstrip("/")
-        from pyspark import SparkFiles
-
-        return SparkFiles.get(os.path.basename(self.uri))
-
-    def table(self, name: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]] | None:
+    def table(self, name: str) -> dict | None:
         """The file of this name, if there is one; beyond OPEN, the one used longest ago is let go."""
         found = self._open.pop(name, None)
         if found is None:
-            path = f"{self.folder()}/{name}"
+            uri = self.words if name.startswith("words-") else self.grams
+            if uri.startswith("file:"):
+                folder = "/" + uri[5:].lstrip("/")
+            else:
+                from pyspark import SparkFiles
+
+                folder = SparkFiles.get(os.path.basename(uri))
+            path = f"{folder}/{name}"
             if not os.path.exists(path):
                 return None
             while len(self._open) >= OPEN:
@@ -301,73 +387,279 @@ class Model:
         self._open[name] = found
         return found
 
-    def look_up(self, table: str, key: np.ndarray, part: np.ndarray, kinds: int) -> list[np.ndarray]:
-        """The counts of distinct keys, of each kind; 0 where a key is not there."""
-        out = [np.zeros(len(key), np.int64) for _ in range(kinds)]
-        by = np.lexsort((key, part))
+    def numbers(self, word: np.ndarray, counts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each of distinct words, how often it occurs and behind how many words."""
+        number, raw, firsts = np.full(len(word), NONE), np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        part = place(word, self.parts).astype(np.int64)
+        by = np.lexsort((word, part))
         cuts = np.r_[0, np.flatnonzero(np.diff(part[by])) + 1, len(by)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
                 continue
             at = by[a:b]
-            there, counts = self.table(f"{table}-{int(part[at[0]])}") or (key[:0], [])
-            if not len(there):
+            p = int(part[at[0]])
+            table = self.table(f"words-{p}")
+            if table is None:
                 continue
-            i = np.minimum(np.searchsorted(there, key[at]), len(there) - 1)
-            hit = there[i] == key[at]
+            there = table["word"]
+            i = np.minimum(np.searchsorted(there, word[at]), len(there) - 1)
+            hit = there[i] == word[at]
             at, i = at[hit], i[hit]
-            for o, (small, (where, value)) in zip(out, counts, strict=True):
-                n = small[i].astype(np.int64)
-                more = n == MORE
-                n[more] = value[np.searchsorted(where, i[more])]
-                o[at] = n
-        return out
+            rank = table["rank"][i]
+            number[at] = rank * np.uint64(self.parts) + np.uint64(p + 1)
+            if counts:
+                raw[at] = _read_counts(table, i)
+                firsts[at] = _read_counts(self.table(f"1-{p}"), rank.astype(np.int64))
+        return number, raw, firsts
+
+
+# -- counting ----------------------------------------------------------------------------
+
+
+def _count_words(parts: int):
+    def run(batches):
+        cache, held, size = WordHash(), [], 0
+
+        def flush():
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            return _batch(_dealt(place(word, parts), [word], n))
+
+        for batch in batches:
+            texts = raw_texts(batch.column(0))
+            for a, b in slices(texts):
+                (word,), _ = tokens(texts[a:b], cache, 1)
+                held.append(word)
+                size += len(word)
+                if size > FLUSH_WORDS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _write_words(uri: str, parts: int):
+    """Words of a part: hashes, numbers in it, counts."""
+
+    def run(batches):
+        for part, rows in _by_part(batches):
+            (word,), n = _received(rows)
+            (word,), n = add_up([word], 64, n)
+            rank = np.empty(len(word), np.uint64)
+            rank[np.argsort(-n, kind="stable")] = np.arange(len(word), dtype=np.uint64)
+            _save(uri, f"words-{part}", {"word": word, "rank": (rank, (len(word) - 1).bit_length())} | _counts(n))
+            yield _batch([(None, None, None, None, None, None, None, len(word), int(n.sum()), (len(word) - 1) * parts + part + 1)])
+
+    return run
+
+
+def _count(words: Tables, order: int):
+    def run(batches):
+        cache, held, begins, size = WordHash(), [], [], 0
+
+        def flush():
+            # In a flush, words are places in the list of its numbers: three of them fit in 64 bits.
+            hashes, at = np.unique(np.concatenate(held), return_inverse=True)
+            number = words.numbers(hashes, counts=False)[0]
+            if (number == NONE).any():
+                raise ValueError("the texts to learn from were others when their words were counted: store them first")
+            by = np.argsort(number)
+            local = np.empty(len(by), np.uint64)
+            local[by] = np.arange(1, len(by) + 1, dtype=np.uint64)
+            number = np.r_[FIRST, number[by]]
+            grams, n = add_up(places(local[at], np.concatenate(begins), order, FIRST), len(by).bit_length())
+            return _batch(_sent([number[g.astype(np.int64)] for g in grams], n, words.bits, words.parts))
+
+        for batch in batches:
+            texts = raw_texts(batch.column(0))
+            for a, b in slices(texts):
+                (word,), starts = tokens(texts[a:b], cache, 1)
+                held.append(word)
+                begins.append(starts + size)
+                size += len(word)
+                if size > FLUSH:
+                    yield flush()
+                    held, begins, size = [], [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def of_counts(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _write_level(uri: str, parts: int, bits: int, k: int):
+    """Files of the n-grams of ``k`` words; what goes on to those of one word less, and sums."""
+
+    def grams_of(part: int, grams: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        _, each = spans(k - 1, bits, parts)
+        name = home(grams[:-1], bits, parts) - np.uint64(part * each)
+        wide = (each - 1).bit_length()
+        by = np.argsort((name << np.uint64(bits)) | grams[-1]) if wide + bits <= 64 else np.lexsort((grams[-1], name))
+        name, word = name[by], grams[-1][by]
+        at = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (word[1:] != word[:-1])])
+        n, name, word, grams = np.add.reduceat(n[by], at), name[at], word[at], [g[by[at]] for g in grams]
+        top = min(wide, (len(n) // BUCKET).bit_length())
+        low = wide - top
+        start = np.searchsorted(name >> np.uint64(low), np.arange((1 << top) + 1, dtype=np.uint64))
+        head = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        long = np.diff(np.r_[head, len(n)]) >= WIDE
+        sums = {c: np.add.reduceat(x.astype(np.int64), head)[long] for c, x in (("total", n), ("n1", n == 1), ("n2", n == 2))}
+        arrays = {
+            "start": (start, len(n).bit_length()),
+            "name": (name & np.uint64((1 << low) - 1), low),
+            "word": (word, bits),
+            "long": smallest(head[long]),
+        }
+        _save(uri, f"{k}-{part}", arrays | {c: smallest(x) for c, x in sums.items()} | _counts(n))
+        return grams, n
+
+    def run(batches):
+        for part, rows in _by_part(batches):
+            grams, n = _received(rows)
+            if k == 1:
+                n = np.bincount(((grams[0] - np.uint64(1)) // np.uint64(parts)).astype(np.int64), n).astype(np.int64)
+                _save(uri, f"1-{part}", _counts(n))
+            else:
+                grams, n = grams_of(part, grams, n)
+            out = [(None, None, None, *of_counts(n), len(n), int(n.sum()), None)]
+            if k > 1:
+                # Before a text's first words stand no others: there, occurrences go on.
+                rest, firsts = add_up(grams[1:], bits, np.where(grams[1] == FIRST, n, 1))
+                out += _sent(rest, firsts, bits, parts)
+            yield _batch(out)
+
+    return run
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    if not n1 or not n2:
+        return [0.75, 0.75, 0.75]
+    y, n = n1 / (n1 + 2 * n2), [n1, n2, n3, n4]
+    found = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.75 for k in (1, 2, 3)]
+    return [min(max(d, 0.0), float(k)) if d > 0 else 0.75 for k, d in zip((1, 2, 3), found, strict=True)]
+
+
+class Model(Tables):
+    """A trained model; ``sums`` of each order."""
+
+    def __init__(self, words: str, grams: str, parts: int, bits: int, tokens: int, sums: dict[int, dict]):
+        super().__init__(words, grams, parts, bits)
+        self.tokens, self.sums, self.order = tokens, sums, max(sums)
+        self.less_by = {k: discounts(*(x[c] for c in ("n1", "n2", "n3", "n4"))) for k, x in sums.items()}
 
     def less(self, n: np.ndarray, k: int) -> np.ndarray:
         """Counts without their discounts."""
         return np.maximum(n - np.array([0.0, *self.less_by[k]])[np.minimum(n, 3)], 0.0)
 
+    def level(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each n-gram: its count, its context's total and what its context leaves to the lower order."""
+        k, rows = len(grams), len(grams[0])
+        d, (_, each) = self.less_by[k], spans(k - 1, self.bits, self.parts)
+        count, total, back = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
+        at = np.flatnonzero(np.all([g != NONE for g in grams[:-1]], axis=0))
+        key = home([g[at] for g in grams[:-1]], self.bits, self.parts)
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        part = (key // np.uint64(each)).astype(np.int64)
+        cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(at)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            table = self.table(f"{k}-{part[a]}") if a < b else None
+            if table is None:
+                continue
+            head = np.flatnonzero(np.r_[True, key[a + 1 : b] != key[a : b - 1]])
+            name = key[a + head] - np.uint64(int(part[a]) * each)
+            low = table["name"].width
+            bucket = (name >> np.uint64(low)).astype(np.int64)
+            name &= np.uint64((1 << low) - 1)
+            hi = table["start"][bucket + 1].astype(np.int64)
+            lo = table["name"].first(table["start"][bucket].astype(np.int64), hi, name)
+            hi = table["name"].first(lo, hi, name + np.uint64(1))
+            size, sums = hi - lo, np.zeros((4, len(lo)), np.int64)
+            long = np.flatnonzero(size >= WIDE)
+            i = np.searchsorted(table["long"], lo[long].astype(table["long"].dtype))
+            for x, c in zip(sums, ("total", "n1", "n2"), strict=False):
+                x[long] = table[c][i]
+            sums[3] = size - sums[1] - sums[2]
+            live = np.flatnonzero((size > 0) & (size < WIDE))
+            sums[3][live] = 0
+            for j in range(WIDE - 1):
+                live = live[size[live] > j]
+                n = _read_counts(table, lo[live] + j)
+                sums[0][live] += n
+                for x, of in zip(sums[1:], (n == 1, n == 2, n > 2), strict=True):
+                    x[live] += of
+            times = np.diff(np.r_[head, b - a])
+            own = at[a:b]
+            total[own] = np.repeat(sums[0], times)
+            back[own] = np.repeat(d[0] * sums[1] + d[1] * sums[2] + d[2] * sums[3], times)
+            word, lo, hi = grams[-1][own], np.repeat(lo, times), np.repeat(hi, times)
+            i = table["word"].first(lo, hi, word)
+            hit = np.flatnonzero(i < hi)
+            hit = hit[table["word"][i[hit]] == word[hit]]
+            count[own[hit]] = _read_counts(table, i[hit])
+        return count, total, back
+
     def score(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 p, base log10 p and whether it is known, of each token."""
-        w, wi = np.unique(grams[-1], return_inverse=True)
-        cont, raw = self.look_up("1", w, place(w, self.parts), 2)
+        """log10 p, base log10 p and whether it is known, of each token, from hashes."""
+        hashes, at = np.unique(np.concatenate(grams), return_inverse=True)
+        number, raw, firsts = self.numbers(hashes)
+        number[hashes == BEGIN] = FIRST
+        at = at.reshape(len(grams), -1)
+        return self.score_numbers([number[x] for x in at], raw[at[-1]], firsts[at[-1]])
+
+    def score_numbers(self, grams: list[np.ndarray], raw: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words, d = self.sums[1], self.less_by[1]
         v, mass = words["types"], words["total"]
         g = d[0] * words["n1"] + d[1] * words["n2"] + d[2] * (v - words["n1"] - words["n2"])
-        p = ((self.less(cont, 1) + g / (v + 1)) / mass if mass else np.full(len(w), 1.0 / (v + 1)))[wi]
+        p = (self.less(firsts, 1) + g / (v + 1)) / mass if mass else np.full(len(raw), 1.0 / (v + 1))
         for k in range(2, self.order + 1):
-            context, d = home(grams[-k:]), self.less_by[k]
-            c, ci = np.unique(context, return_inverse=True)
-            total, n1, n2, n3 = self.look_up(f"context{k}", c, place(c, self.parts), 4)
-            back = d[0] * n1 + d[1] * n2 + d[2] * n3
-            key, first, ki = np.unique(gram_key(context, grams[-1]), return_index=True, return_inverse=True)
-            (count,) = self.look_up(str(k), key, place(context[first], self.parts), 1)
-            t = total[ci]
-            p = np.where(t > 0, (self.less(count, k)[ki] + back[ci] * p) / np.maximum(t, 1), p)
-        base = np.log10((raw + 0.1) / (self.tokens + 0.1 * (v + 1)))[wi]
-        return np.log10(p), base, (raw > 0)[wi]
+            count, total, back = self.level(grams[-k:])
+            p = np.where(total > 0, (self.less(count, k) + back * p) / np.maximum(total, 1), p)
+        return np.log10(p), np.log10((raw + 0.1) / (self.tokens + 0.1 * (v + 1))), raw > 0
+
+    def score_words(self, word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the words of documents that begin at ``starts``."""
+        hashes, at = np.unique(word, return_inverse=True)
+        number, raw, firsts = self.numbers(hashes)
+        return self.score_numbers(places(number[at], starts, self.order, FIRST), raw[at], firsts[at])
 
 
 def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
     if order < 2:
         raise ValueError("the order must be two or more")
     spark = docs.sparkSession
-    parts = shuffle_parts(spark, text_bytes(docs, text), 8 << 20)
-    uri = new_path(spark, "lm")
-    going, sums, read = docs.select(text).mapInArrow(_count(order, parts), _SCHEMA).select("part", *_PACK), {}, None
+    docs = docs.select(text)
+    parts = max(2, shuffle_parts(spark, text_bytes(docs, text), PART_BYTES))
+
+    def written(rows: DataFrame, write, path: str) -> DataFrame:
+        return stored(rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(write, _SCHEMA), path=path)
+
+    def handed_out(uri: str) -> None:
+        if not uri.startswith("file:") and tokens:
+            spark.sparkContext.addFile(uri, recursive=True)
+
+    words, uri, path = new_path(spark, "lm-words"), new_path(spark, "lm"), new_path(spark, "lm-0")
+    made = written(docs.mapInArrow(_count_words(parts), _SCHEMA).select(*_PACK), _write_words(words, parts), path)
+    tokens, top = made.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.max("top"), F.lit(1))).first()
+    drop_path(spark, path)
+    handed_out(words)
+    bits = int(top).bit_length()
+    going, sums, read = docs.mapInArrow(_count(Tables(words, uri, parts, bits), order), _SCHEMA).select(*_PACK), {}, None
     for k in range(order, 0, -1):
-        made = going.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_write_level(uri, parts, k, k == order), _SCHEMA)
         path = new_path(spark, f"lm-{k}")
-        if k > 1:
-            made = stored(made, path=path)
-        sums[k] = made.where("part is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]).first().asDict()
-        going = made.where("part is not null").select("part", *_PACK)
-        if read:  # its n-grams are in this level's arrays and rows now
+        made = written(going, _write_level(uri, parts, bits, k), path)
+        sums[k] = made.where("part is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS[:-1]]).first().asDict()
+        going = made.where("part is not null").select(*_PACK)
+        if read:  # its n-grams are in this level's files and rows now
             drop_path(spark, read)
         read = path
-    if not uri.startswith("file:") and sums[1]["types"]:
-        spark.sparkContext.addFile(uri, recursive=True)
-    return Model(uri, parts, sums)
+    drop_path(spark, read)
+    handed_out(uri)
+    return Model(words, uri, parts, bits, tokens, sums)
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
@@ -378,9 +670,9 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
         cache = WordHash()
         for batch in batches:
             texts, out = raw_texts(batch.column(len(keep))), []
-            for a, b in slices(texts):
-                grams, starts = tokens(texts[a:b], cache, model.order)
-                p, base, known = model.score(grams)
+            for a, b in slices(texts, SCORED_BYTES):
+                (word,), starts = tokens(texts[a:b], cache, 1)
+                p, base, known = model.score_words(word, starts)
                 out.append((np.diff(np.r_[starts, len(p)]), np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(p, starts)))
             cols = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], [*keep, "n_tokens", "n_known", "base_score", "score"])

@@ -7,6 +7,7 @@ import os
 import pickle
 import re
 import resource
+import uuid
 import zlib
 
 import numpy as np
@@ -319,6 +320,52 @@ def test_lm_lets_maps_go(spark, monkeypatch):
     assert all((x == y).all() for x, y in zip(model.score(grams), want, strict=True)) and len(model._open) <= 2
 
 
+def test_lm_disk(spark, monkeypatch, tmp_path):
+    """All that a training writes to the shared folder, were none of it deleted."""
+    monkeypatch.setattr(ngramlm, "drop_path", lambda *_: None)
+    monkeypatch.setattr(ngramlm, "new_path", lambda _, kind: f"file://{tmp_path}/{kind}-{uuid.uuid4().hex}")
+    ngramlm.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    wrote = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    assert wrote < 4 * os.path.getsize(f"{SF}/documents.parquet")
+
+
+def test_lm_wide_contexts(spark, rows, odd):
+    """Contexts whose words' numbers need more than 64 bits together, and n-grams that do."""
+    some = rows[:40] + [(r.doc_id, r.text) for r in odd.collect()]
+    got = ngramlm.lm_scores(spark.createDataFrame(some, "doc_id long, text string"), 8).collect()
+    assert sorted(repr((*tuple(r)[:5], round(r.base_score, 5), round(r.score, 5))) for r in got) == sorted(map(repr, brute_lm(some, 8)))
+
+
+@pytest.mark.parametrize("width", [0, 1, 2, 7, 31, 32, 33, 57, 63, 64])
+def test_lm_bits(width):
+    rng = np.random.default_rng(width)
+    x = rng.integers(0, 2**width - 1, 1000, np.uint64, endpoint=True)
+    there = ngramlm.Bits(ngramlm.Bits.of(x, width), width)
+    assert (there[np.arange(1000)] == x).all() and (there[np.array([999, 0, 5])] == x[[999, 0, 5]]).all()
+    up = np.sort(x)
+    asked = rng.integers(0, 2**width - 1, 200, np.uint64, endpoint=True)
+    there = ngramlm.Bits(ngramlm.Bits.of(up, width), width)
+    assert (there.first(np.zeros(200, np.int64), np.full(200, 1000), asked) == np.searchsorted(up, asked)).all()
+
+
+def test_lm_rows_travel_unharmed():
+    """Rising rows, and adding up, with numbers that fit in 64 bits together and that do not."""
+    rng = np.random.default_rng(3)
+    for bits in (3, 22, 40):
+        rows = [rng.integers(0, 2 ** min(bits, 4), 500, np.uint64) << np.uint64(max(0, bits - 4)) for _ in range(3)]
+        weight = rng.integers(1, 400, 500)
+        want = collections.Counter()
+        for *x, n in zip(*(c.tolist() for c in rows), weight.tolist()):
+            want[tuple(x)] += n
+        grams, n = ngramlm.add_up(rows, bits, weight)
+        again, m = ngramlm._received([(0, ngramlm._rises(grams), ngramlm.packed(n))])
+        assert dict(zip(zip(*(c.tolist() for c in again)), m.tolist())) == want
+        assert [tuple(c.tolist()) for c in grams] == [tuple(c) for c in zip(*sorted(want))]
+        times = collections.Counter(zip(*(c.tolist() for c in rows)))
+        grams, n = ngramlm.add_up(rows, bits)
+        assert dict(zip(zip(*(c.tolist() for c in grams)), n.tolist())) == times
+
+
 def test_lm_probabilities_sum_up(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "a b b", "c a b a", "b a", "a d"] * 3)], "doc_id long, text string")
     cache = ngramlm.WordHash()
