@@ -215,3 +215,24 @@ def test_stream_state_is_bounded_and_moves(spark, panel, tmp_path):
         two.load(spark, f"{tmp_path}/saved")
     steps(two, 30, 60, 10)
     same(pd.concat(got).pivot(index="t", columns="sym", values="v").astype(float), table(plan.run(panel), "v"))
+
+
+def test_first_of_tied_rows(spark, tmp_path):
+    """Rows that the order leaves tied: the first of the table counts, over files by name."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from panelforge.sources.panels import lineitem_panel
+
+    path = tmp_path / "some folder" / "lineitem.parquet"
+    path.mkdir(parents=True)
+    day = pd.Timestamp("1995-03-04")
+    for name, prices in (("b", [1.0, 9.0]), ("a c", [5.0, 3.0, 7.0])):
+        rows = [(k, day, p, 1, 1, 2.0) for k in (1, 2) for p in prices[:: 1 if k == 1 else -1]]
+        names = ["l_suppkey", "l_shipdate", "l_extendedprice", "l_orderkey", "l_linenumber", "l_quantity"]
+        pq.write_table(pa.table(dict(zip(names, zip(*rows, strict=True), strict=True))), path / f"{name}.parquet")
+    ends = lambda folder: {r.sym: (r.open, r.close) for r in lineitem_panel(spark, str(folder)).collect()}
+    assert ends(tmp_path / "some folder") == {1: (5.0, 5.0), 2: (7.0, 7.0)}
+    (tmp_path / "one").mkdir()
+    (path / "b.parquet").rename(tmp_path / "one" / "lineitem.parquet")
+    assert ends(tmp_path / "one") == {1: (1.0, 1.0), 2: (9.0, 9.0)}
