@@ -236,3 +236,16 @@ def test_first_of_tied_rows(spark, tmp_path):
     (tmp_path / "one").mkdir()
     (path / "b.parquet").rename(tmp_path / "one" / "lineitem.parquet")
     assert ends(tmp_path / "one") == {1: (1.0, 1.0), 2: (9.0, 9.0)}
+
+
+def test_powers_to_the_last_bit(spark):
+    """Plans with powers alone, by the C library as everywhere."""
+    import math
+
+    x = np.random.default_rng(3).uniform(0, 50, 20_000)
+    panel = spark.createDataFrame(pd.DataFrame({"sym": 1, "t": np.arange(len(x)), "x": x}))
+    plan = compile_factors({"v": op.Pow(X, 5), "u": op.Pow(X, X / 20), "c": Const(2.0), "b": X > 25})
+    got = plan.run(panel).toPandas()
+    assert plan.engine() == "arrow" and len(got) == len(x) and (got.c == 2).all()
+    x = x[got.t.to_numpy()]
+    assert (got.v == [math.pow(a, 5) for a in x]).all() and (got.u == [math.pow(a, a / 20) for a in x]).all() and ((got.b == 1) == (x > 25)).all()

@@ -61,9 +61,9 @@ def test_library_query(spark, db):
         check(got[sorted(got.columns)], want[sorted(got.columns)], sorted(got.columns))
 
 
-@pytest.mark.parametrize("name", ["a158_open"])
+@pytest.mark.parametrize("name", ["a158_open", "alpha054"])
 def test_to_the_last_bit(spark, name):
-    """On sf0.1, where a week's last row is tied with another."""
+    """On sf0.1, where a week's last row is tied with another, and where powers are large."""
     sf, con = "/root/testdata/sf0.1", duckdb.connect()
     for t in ("lineitem", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
