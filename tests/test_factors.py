@@ -249,3 +249,17 @@ def test_powers_to_the_last_bit(spark):
     assert plan.engine() == "arrow" and len(got) == len(x) and (got.c == 2).all()
     x = x[got.t.to_numpy()]
     assert (got.v == [math.pow(a, 5) for a in x]).all() and (got.u == [math.pow(a, a / 20) for a in x]).all() and ((got.b == 1) == (x > 25)).all()
+
+
+def test_little_travels():
+    """Between phases go the inputs and what later phases need, not what was finished early."""
+    from panelforge.plans import vector
+
+    jobs = vector.passes(compile_factors(alpha101()))
+    assert [j.by_time for j in jobs] == [False, True, False, True, False]
+    assert sum(len(j.reads) for j in jobs[1:]) < 250
+    deep = op.Rank(op.WindowedSum(op.Rank(X), 3))
+    jobs = vector.passes(compile_factors({"d": op.WindowedMax(deep, 2), "a": op.WindowedSum(X * Y, 5), "b": op.Rank(Y) + X, "c": X * Y - 1}))
+    assert [j.by_time for j in jobs] == [True, False, True, False] and [len(j.reads) for j in jobs] == [2, 3, 3, 3]
+    jobs = vector.passes(compile_factors({"a": op.WindowedSum(op.Rank(X), 3), "b": (X + Y) * 2, "c": (X + Y) / 3}))
+    assert [len(j.reads) for j in jobs] == [2, 2]  # the rank and X + Y
