@@ -54,13 +54,15 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 BEGIN, END = np.uint64(xxhash.xxh3_64_intdigest(b" begin")), np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 #: Tokens whose n-grams, and whose words, a task adds up before it sends them on.
 FLUSH, FLUSH_WORDS = 1_500_000, 4_000_000
+#: Bytes between words.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _CODEC = pa.Codec("zstd", compression_level=1)
 #: The number of what stands before a text, and of a word that has none.
 FIRST, NONE = np.uint64(0), np.uint64(2**64 - 1)
 #: Counts from one have two bits; this one stands for those that need more.
 MORE = 3
 #: N-grams to a bucket of a file. A context's sums are written down from so many n-grams on.
-BUCKET, WIDE = 16, 8
+BUCKET, WIDE = 4, 4
 #: Text bytes to a part, and those that are scored at once.
 PART_BYTES, SCORED_BYTES = 24 << 20, 4 << 20
 #: Files of the model that a worker has mapped at once; systems allow a process some 65,000 maps.
@@ -79,17 +81,25 @@ def places(word: np.ndarray, starts: np.ndarray, order: int, begin: np.uint64) -
     return grams
 
 
-def tokens(texts: list[bytes], cache: WordHash, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+def tokens(texts: list[bytes], cache: WordHash | None, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The n-grams of some documents, each closed by an end, as one array for each place (the
-    words themselves come last), and the documents' starts."""
-    parts, starts, at = [], [], 0
-    for text in texts:
-        words = text.lower().split()
-        starts.append(at)
-        parts += [np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), np.array([END])]
-        at += len(words) + 1
-    word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    starts = np.array(starts, np.int64)
+    words themselves come last), and the documents' starts. Equal words of the texts are hashed once, without the cache."""
+    raw = b"\n".join(texts).lower()
+    edges = np.flatnonzero(np.diff(_BLANK[np.frombuffer(raw, np.uint8)], prepend=True, append=True))  # a word's start, its end
+    kind, size = (pa.binary(), np.int32) if len(raw) < 2**31 else (pa.large_binary(), np.int64)
+    runs = pa.Array.from_buffers(kind, max(0, len(edges) - 1), [None, pa.py_buffer(edges.astype(size)), pa.py_buffer(raw)])
+    coded = runs.dictionary_encode()  # words and what stands between them, in turn
+    _, at, held = coded.dictionary.buffers()
+    held, at = held.to_pybytes() if held else b"", np.frombuffer(at, size, len(coded.dictionary) + 1).tolist() if at else [0]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, map(held.__getitem__, map(slice, at, at[1:]))), np.uint64, len(coded.dictionary))
+    begins = np.cumsum([0, *(len(x) + 1 for x in texts)])[:-1]
+    many = np.diff(np.r_[np.searchsorted(edges[::2], begins), len(edges) // 2])
+    ends = np.cumsum(many + 1)
+    word = np.full(len(edges) // 2 + len(texts), END)
+    at = np.ones(len(word), np.bool_)
+    at[ends - 1] = False
+    word[at] = hashes[coded.indices.to_numpy()[::2]]
+    starts = ends - many - 1
     return places(word, starts, order, BEGIN), starts
 
 
@@ -282,10 +292,17 @@ class Bits:
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.uint64)
-        bit = i.astype(np.uint64) * np.uint64(self.width)
-        at, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        x = (self.words[at] >> shift) | ((self.words[at + 1] << np.uint64(1)) << (np.uint64(63) - shift))
-        return x & np.uint64((1 << self.width) - 1)
+        bit = i.astype(np.int64) * self.width
+        at, shift = bit >> 6, (bit & 63).view(np.uint64)
+        x = self.words.take(at)
+        x >>= shift
+        at += 1
+        more = self.words.take(at)
+        more <<= np.uint64(1)
+        more <<= shift ^ np.uint64(63)
+        x |= more
+        x &= np.uint64((1 << self.width) - 1)
+        return x
 
     def first(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The first place from ``lo`` and before ``hi``, between which numbers rise, that has
@@ -418,7 +435,7 @@ class Tables:
 
 def _count_words(parts: int):
     def run(batches):
-        cache, held, size = WordHash(), [], 0
+        held, size = [], 0
 
         def flush():
             word, n = np.unique(np.concatenate(held), return_counts=True)
@@ -427,7 +444,7 @@ def _count_words(parts: int):
         for batch in batches:
             texts = raw_texts(batch.column(0))
             for a, b in slices(texts):
-                (word,), _ = tokens(texts[a:b], cache, 1)
+                (word,), _ = tokens(texts[a:b], None, 1)
                 held.append(word)
                 size += len(word)
                 if size > FLUSH_WORDS:
@@ -456,7 +473,7 @@ def _write_words(uri: str, parts: int):
 
 def _count(words: Tables, order: int):
     def run(batches):
-        cache, held, begins, size = WordHash(), [], [], 0
+        held, begins, size = [], [], 0
 
         def flush():
             # In a flush, words are places in the list of its numbers: three of them fit in 64 bits.
@@ -474,7 +491,7 @@ def _count(words: Tables, order: int):
         for batch in batches:
             texts = raw_texts(batch.column(0))
             for a, b in slices(texts):
-                (word,), starts = tokens(texts[a:b], cache, 1)
+                (word,), starts = tokens(texts[a:b], None, 1)
                 held.append(word)
                 begins.append(starts + size)
                 size += len(word)
@@ -667,11 +684,10 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
     from pyspark.sql import types as T
 
     def run(batches):
-        cache = WordHash()
         for batch in batches:
             texts, out = raw_texts(batch.column(len(keep))), []
             for a, b in slices(texts, SCORED_BYTES):
-                (word,), starts = tokens(texts[a:b], cache, 1)
+                (word,), starts = tokens(texts[a:b], None, 1)
                 p, base, known = model.score_words(word, starts)
                 out.append((np.diff(np.r_[starts, len(p)]), np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(p, starts)))
             cols = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]

@@ -378,3 +378,19 @@ def test_lm_probabilities_sum_up(spark):
             assert (10**p).sum() == pytest.approx(1.0)
     with pytest.raises(ValueError):
         ngramlm.train(docs, order=1)
+
+
+def test_lm_tokens_are_hashed_once(monkeypatch):
+    """Texts are cut at ASCII blanks only, whatever their bytes; each distinct word is hashed once."""
+    asked, digest = [], ngramlm.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(ngramlm.xxhash, "xxh3_64_intdigest", lambda x: asked.append(x) or digest(x))
+    for texts in ([], [b""], [b"", b" \t", b""], [b"A b\x0bC\x0cd\r e\x1cf\x85g\xc2\xa0h", b"", b"x"], [b" lead", b"trail ", b"\x00 z"], ["É é".encode(), b"", b"w w W" * 3]):
+        asked.clear()
+        (word,), starts = ngramlm.tokens(texts, None, 1)
+        want, at = [], []
+        for t in texts:
+            at.append(len(want))
+            want += [*map(digest, t.lower().split()), int(ngramlm.END)]
+        assert word.tolist() == want and starts.tolist() == at and word.dtype == np.uint64
+        words = [x for x in asked if x.strip(b" \t\n\x0b\x0c\r")]
+        assert len(words) == len(set(words))
