@@ -17,7 +17,8 @@ as the largest needs and are read in place.
 Scoring: workers memory-map the files, one for each part and level, and look the contexts
 and n-grams of a slice of text up by binary search, so their memory does not grow with the model, nor
 do the files that they hold open. Where the shared folder is
-no mounted file system, Spark hands every worker a copy of the files.
+no file system that workers reach, they return the files as rows, which Spark writes there, and
+Spark hands every executor a copy of them.
 
 p(w|h) = (max(c(hw) - D(c), 0) + g(h) p'(w)) / c(h), g(h) = D1 n1(h) + D2 n2(h) + D3 n3+(h);
 p' is the next lower order's, over distinct first words (n-grams that begin a text: over
@@ -37,17 +38,19 @@ give empty results. A text of any length is taken whole, its n-grams in slices.
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import WordHash, drop_path, need, new_path, raw_texts, shuffle_parts, slices, stored, text_bytes
+from panelforge.llm.common import WordHash, drop_path, local_path, need, new_path, raw_texts, shuffle_parts, slices, stored, text_bytes
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Ids of what stands before a text and behind it: hashes of what is no word.
@@ -213,14 +216,14 @@ def _risen(raws: list[bytes]) -> list[np.ndarray]:
 
 
 _SUMS = ["n1", "n2", "n3", "n4", "types", "total", "top"]
-_SCHEMA = ", ".join(["part int", "grams array<binary>", "counts binary", *[f"{c} long" for c in _SUMS]])
-_KINDS = [pa.int32(), pa.list_(pa.binary()), pa.binary(), *[pa.int64()] * len(_SUMS)]
-_PACK = ["part", "grams", "counts"]
+_PACK, _FILE = ["part", "grams", "counts"], ["name", "file"]
+_SCHEMA = ", ".join(["part int", "grams array<binary>", "counts binary", *[f"{c} long" for c in _SUMS], "name string", "file binary"])
+_KINDS = [pa.int32(), pa.list_(pa.binary()), pa.binary(), *[pa.int64()] * len(_SUMS), pa.string(), pa.binary()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * len(_KINDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [*_PACK, *_SUMS])
+    columns = zip(*(r + (None,) * (len(_KINDS) - len(r)) for r in rows), strict=True) if rows else [[]] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [*_PACK, *_SUMS, *_FILE])
 
 
 def _dealt(part: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> list[tuple]:
@@ -231,7 +234,7 @@ def _dealt(part: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> list[t
     for a, b in zip(cuts, cuts[1:], strict=False):
         if a < b:
             r = by[a:b]
-            rows.append((int(part[r[0]]), _rises([c[r] for c in columns]), packed(n[r]), *[None] * len(_SUMS)))
+            rows.append((int(part[r[0]]), _rises([c[r] for c in columns]), packed(n[r])))
     return rows
 
 
@@ -334,14 +337,18 @@ def _read_counts(table: dict, i: np.ndarray) -> np.ndarray:
     return n
 
 
-def _save(uri: str, name: str, arrays: dict) -> None:
-    """One file: the length of what says where the arrays are, that, and the arrays, each an array
-    or numbers and their bits. It appears whole: written aside, then renamed; a second attempt
-    writes the same."""
-    from pyarrow import fs
+def _put(folder: str, name: str, raws: list[bytes]) -> None:
+    """A file that appears whole: written aside, then renamed; a second attempt writes the same."""
+    os.makedirs(folder, exist_ok=True)
+    aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with open(aside, "wb") as out:
+        out.writelines(raws)
+    os.replace(aside, f"{folder}/{name}")
+
 
-    system, path = fs.FileSystem.from_uri(uri)
-    system.create_dir(path, recursive=True)
+def _save(uri: str, name: str, arrays: dict) -> list[tuple]:
+    """One file: the length of what says where the arrays are, that, and the arrays, each an array
+    or numbers and their bits. Where workers don't reach the folder, a row for Spark to write there."""
     raws, says, at = [], {}, 0
     for k, x in arrays.items():
         width = 0
@@ -355,11 +362,11 @@ def _save(uri: str, name: str, arrays: dict) -> None:
         at += len(raws[-1])
     head = json.dumps(says).encode()
     head += b" " * (-len(head) % 8)
-    aside = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(aside) as out:
-        for raw in (len(head).to_bytes(8, "little"), head, *raws):
-            out.write(raw)
-    system.move(aside, f"{path}/{name}")
+    raws = [len(head).to_bytes(8, "little"), head, *raws]
+    if folder := local_path(uri):
+        _put(folder, name, raws)
+        return []
+    return [(*[None] * (len(_PACK) + len(_SUMS)), name, b"".join(raws))]
 
 
 def _mapped(path: str) -> dict:
@@ -374,6 +381,19 @@ def _mapped(path: str) -> dict:
     return out
 
 
+def _copy(uri: str, name: str) -> str:
+    """The folder of this executor's copy, in which the file of this name, if there is one, has been
+    taken from Spark's."""
+    from pyspark import SparkFiles
+
+    folder = SparkFiles.get(os.path.basename(uri))
+    if not os.path.exists(f"{folder}/{name}"):
+        for path in glob.glob(f"{glob.escape(folder)}/name={name}/*.parquet"):
+            for raw in pq.ParquetFile(path).read(["file"]).column(0):
+                _put(folder, name, [raw.as_py()])
+    return folder
+
+
 class Tables:
     """The files of words, and of n-grams once they are there, opened where they are needed."""
 
@@ -389,12 +409,7 @@ class Tables:
         found = self._open.pop(name, None)
         if found is None:
             uri = self.words if name.startswith("words-") else self.grams
-            if uri.startswith("file:"):
-                folder = "/" + uri[5:].lstrip("/")
-            else:
-                from pyspark import SparkFiles
-
-                folder = SparkFiles.get(os.path.basename(uri))
+            folder = local_path(uri) or _copy(uri, name)
             path = f"{folder}/{name}"
             if not os.path.exists(path):
                 return None
@@ -465,8 +480,8 @@ def _write_words(uri: str, parts: int):
             (word,), n = add_up([word], 64, n)
             rank = np.empty(len(word), np.uint64)
             rank[np.argsort(-n, kind="stable")] = np.arange(len(word), dtype=np.uint64)
-            _save(uri, f"words-{part}", {"word": word, "rank": (rank, (len(word) - 1).bit_length())} | _counts(n))
-            yield _batch([(None, None, None, None, None, None, None, len(word), int(n.sum()), (len(word) - 1) * parts + part + 1)])
+            file = _save(uri, f"words-{part}", {"word": word, "rank": (rank, (len(word) - 1).bit_length())} | _counts(n))
+            yield _batch([(None, None, None, None, None, None, None, len(word), int(n.sum()), (len(word) - 1) * parts + part + 1), *file])
 
     return run
 
@@ -511,7 +526,7 @@ def of_counts(n: np.ndarray) -> list[int]:
 def _write_level(uri: str, parts: int, bits: int, k: int):
     """Files of the n-grams of ``k`` words; what goes on to those of one word less, and sums."""
 
-    def grams_of(part: int, grams: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    def grams_of(part: int, grams: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[tuple]]:
         _, each = spans(k - 1, bits, parts)
         name = home(grams[:-1], bits, parts) - np.uint64(part * each)
         wide = (each - 1).bit_length()
@@ -531,18 +546,17 @@ def _write_level(uri: str, parts: int, bits: int, k: int):
             "word": (word, bits),
             "long": smallest(head[long]),
         }
-        _save(uri, f"{k}-{part}", arrays | {c: smallest(x) for c, x in sums.items()} | _counts(n))
-        return grams, n
+        return grams, n, _save(uri, f"{k}-{part}", arrays | {c: smallest(x) for c, x in sums.items()} | _counts(n))
 
     def run(batches):
         for part, rows in _by_part(batches):
             grams, n = _received(rows)
             if k == 1:
                 n = np.bincount(((grams[0] - np.uint64(1)) // np.uint64(parts)).astype(np.int64), n).astype(np.int64)
-                _save(uri, f"1-{part}", _counts(n))
+                file = _save(uri, f"1-{part}", _counts(n))
             else:
-                grams, n = grams_of(part, grams, n)
-            out = [(None, None, None, *of_counts(n), len(n), int(n.sum()), None)]
+                grams, n, file = grams_of(part, grams, n)
+            out = [(None, None, None, *of_counts(n), len(n), int(n.sum())), *file]
             if k > 1:
                 # Before a text's first words stand no others: there, occurrences go on.
                 rest, firsts = add_up(grams[1:], bits, np.where(grams[1] == FIRST, n, 1))
@@ -652,15 +666,18 @@ def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
     docs = docs.select(text)
     parts = max(2, shuffle_parts(spark, text_bytes(docs, text), PART_BYTES))
 
-    def written(rows: DataFrame, write, path: str) -> DataFrame:
-        return stored(rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(write, _SCHEMA), path=path)
+    def written(rows: DataFrame, write, path: str, uri: str) -> DataFrame:
+        made = stored(rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(write, _SCHEMA), path=path)
+        if not local_path(uri):
+            made.where("name is not null").select(*_FILE).write.partitionBy("name").option("compression", "uncompressed").mode("append").parquet(uri)
+        return made
 
     def handed_out(uri: str) -> None:
-        if not uri.startswith("file:") and tokens:
+        if not local_path(uri) and tokens:
             spark.sparkContext.addFile(uri, recursive=True)
 
     words, uri, path = new_path(spark, "lm-words"), new_path(spark, "lm"), new_path(spark, "lm-0")
-    made = written(docs.mapInArrow(_count_words(parts), _SCHEMA).select(*_PACK), _write_words(words, parts), path)
+    made = written(docs.mapInArrow(_count_words(parts), _SCHEMA).select(*_PACK), _write_words(words, parts), path, words)
     tokens, top = made.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.max("top"), F.lit(1))).first()
     drop_path(spark, path)
     handed_out(words)
@@ -668,7 +685,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
     going, sums, read = docs.mapInArrow(_count(Tables(words, uri, parts, bits), order), _SCHEMA).select(*_PACK), {}, None
     for k in range(order, 0, -1):
         path = new_path(spark, f"lm-{k}")
-        made = written(going, _write_level(uri, parts, bits, k), path)
+        made = written(going, _write_level(uri, parts, bits, k), path, uri)
         sums[k] = made.where("part is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS[:-1]]).first().asDict()
         going = made.where("part is not null").select(*_PACK)
         if read:  # its n-grams are in this level's files and rows now

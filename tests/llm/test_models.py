@@ -7,13 +7,14 @@ import os
 import pickle
 import re
 import resource
+import types
 import uuid
 import zlib
 
 import numpy as np
 import pytest
 
-from panelforge.llm import chunks, ngramlm, quality, topk
+from panelforge.llm import chunks, common, ngramlm, quality, topk
 from tests.llm.conftest import unharmed
 
 SF = "/root/testdata/sf0.01"
@@ -320,6 +321,17 @@ def test_lm_lets_maps_go(spark, monkeypatch):
     assert all((x == y).all() for x, y in zip(model.score(grams), want, strict=True)) and len(model._open) <= 2
 
 
+def test_lm_in_a_store(spark, monkeypatch, tmp_path):
+    """A shared folder that only Spark reaches gives the same scores; one without a scheme is a local one."""
+    docs = spark.createDataFrame([(i, f"a b {'c' * (i % 3)} d {i % 5}") for i in range(40)], "doc_id long, text string")
+    want = sorted(map(repr, ngramlm.lm_scores(docs).collect()))
+    named = types.SimpleNamespace(conf={"spark.checkpoint.dir": f"{tmp_path}/no scheme/"}, sparkContext=spark.sparkContext)
+    assert common.shared_dir(named) == f"file:{tmp_path}/no scheme"
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.lm.link./shared", f"file://{tmp_path}")
+    monkeypatch.setattr(ngramlm, "new_path", lambda _, kind: f"viewfs://lm/shared/{kind}-{uuid.uuid4().hex}")
+    assert sorted(map(repr, ngramlm.lm_scores(docs).collect())) == want
+
+
 def test_lm_disk(spark, monkeypatch, tmp_path):
     """All that a training writes to the shared folder, were none of it deleted."""
     monkeypatch.setattr(ngramlm, "drop_path", lambda *_: None)
