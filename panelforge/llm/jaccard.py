@@ -10,7 +10,8 @@ links, ``jaccard_links`` counts each document's links as well. No link is missed
    node, and so no more of any part of them. Fingerprints of half of all shingles (by one bit of
    the hash) are dealt out by hash, as packed arrays, to count for each node how many of its own
    others have; nodes that lack more go. For those left the same is done with all their
-   shingles, among each other. (A collision makes a shingle seem shared, which keeps a node and
+   shingles, among each other. Each hash range has a task of its own: dealt by a hash of
+   the range's number, more and more of them would meet in one. (A collision makes a shingle seem shared, which keeps a node and
    never loses one.) What is stored for a step is deleted once the next one is.
 2. Groups that can hold links: if A and B link, then under any fixed order of all shingles
    each has a common shingle among its first n - ceil(least * n) + 1. The order is by a
@@ -546,7 +547,7 @@ def _linked(nodes: DataFrame, texts: DataFrame, tasks: DataFrame, least: float,
 
 def _counted(both: DataFrame, parts: int) -> DataFrame:
     """node, repeated: the sums of what ``_repeats`` has counted."""
-    return both.where("a is not null").select("part", "a", "b").repartition(parts, "part").mapInArrow(lean(_summed), "node long, repeated long")
+    return both.where("a is not null").select("part", "a", "b").repartitionById(parts, "part").mapInArrow(lean(_summed), "node long, repeated long")
 
 
 def _grouped(docs: DataFrame, least: float) -> tuple:
@@ -559,7 +560,7 @@ def _grouped(docs: DataFrame, least: float) -> tuple:
     while True:
         dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_describe(parts, salt, False)), DEALT)
         sets = new_path(spark, "sets")
-        both = stored(dealt.repartition(parts, "part").mapInArrow(lean(_repeats(parts)), DEALT), path=sets)
+        both = stored(dealt.repartitionById(parts, "part").mapInArrow(lean(_repeats(parts)), DEALT), path=sets)
         described = stored(both.where("a is null").select("doc_id", "n", "half", "node", "witness"), "described")
         ids = described.where("node is not null").groupBy("node").agg(F.min(doc_key()).alias("d"), F.first("n").alias("n"), F.first("half").alias("half"), F.count(F.lit(1)).alias("copies"), (F.min("witness") < F.max("witness")).alias("mixed"))
         ids = stored(ids, "nodes")
@@ -577,7 +578,7 @@ def _grouped(docs: DataFrame, least: float) -> tuple:
     parts = shuffle_parts(spark, text_bytes(texts), 8 << 20)
     sets = new_path(spark, "sets")
     dealt = texts.select(F.col("d").alias("doc_id"), "text").mapInArrow(lean(_describe(parts, salt, True)), DEALT)
-    both = stored(dealt.repartition(parts, "part").mapInArrow(lean(_repeats(parts)), DEALT), path=sets)
+    both = stored(dealt.repartitionById(parts, "part").mapInArrow(lean(_repeats(parts)), DEALT), path=sets)
     left = stored(left.join(_counted(both, parts), "node").where(F.col("repeated") >= F.col("n") - missing), "left")
     drop_path(spark, sets)
     texts = stored(_near(texts, left.select("node"), ["node"]), "texts")
@@ -590,7 +591,7 @@ def _grouped(docs: DataFrame, least: float) -> tuple:
     blank = bytes(counters // PIECES)
     counts = spark.sparkContext.broadcast([table.get(i, blank) for i in range(PIECES)])
     entries = texts.select("text").mapInArrow(lean(_prefixes(counts, counters, parts, least, salt)), "part int, tokens binary, owners binary")
-    ties = stored(entries.repartition(parts, "part").mapInArrow(lean(_ties), "a long, b long"), "ties")
+    ties = stored(entries.repartitionById(parts, "part").mapInArrow(lean(_ties), "a long, b long"), "ties")
     counts.destroy()
     groups = components(ties).select("node", F.col("root").alias("grp"))
 

@@ -185,3 +185,24 @@ def test_keep_one_sends_the_fewer(spark, monkeypatch):
         assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_task_takes_one_hash_range(spark, docs, monkeypatch):
+    """However many hash ranges there are, no worker holds the shingles of two."""
+
+    def watched(made):
+        def wrap(batches):
+            seen = set()
+            for batch in batches:
+                seen |= set(batch.column(0).to_pylist())
+                assert len(seen) == 1 or not batch.num_rows, f"ranges {sorted(seen)} in one task"
+                yield batch
+
+        return lambda batches: made(wrap(batches))
+
+    repeats, ties = jaccard._repeats, jaccard._ties
+    monkeypatch.setattr(jaccard, "_repeats", lambda parts: watched(repeats(parts)))
+    monkeypatch.setattr(jaccard, "_ties", watched(ties))
+    monkeypatch.setattr(jaccard, "shuffle_parts", lambda *_: 16)
+    described, *_ = jaccard._grouped(docs.select("doc_id", "text"), 0.75)
+    assert described.count() == docs.count()
